@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +28,8 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def extended(df: DataFrame, more: str) -> StructType:
+    """The schema of df followed by the columns of a DDL string."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])

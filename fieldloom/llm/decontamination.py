@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm._arrays import ALNUM, LOWER, Words, blocks, mix, text_arrays
+from fieldloom.llm._spark import extended
 
 _U = np.uint64
 _ODD = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)]
@@ -233,7 +234,7 @@ def contamination(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("d
     Every input row gives a row, repeated rows included.
     """
     indexes = _indexes(docs, items, item_id, item_text, text, window, shingle)
-    schema = docs.select(*keep).schema.add("n_words", "long").add("n_hit", "long").add("items", "array<string>").add("runs", "array<struct<first:int,end:int>>")
+    schema = extended(docs.select(*keep), "n_words long, n_hit long, items array<string>, runs array<struct<first:int,end:int>>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))

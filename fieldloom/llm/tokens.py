@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm._arrays import Words, blocks, text_arrays
+from fieldloom.llm._spark import extended
 
 _FAR = np.iinfo(np.int32).max
 #: Words remembered in one worker, by a 64-bit hash.
@@ -287,7 +288,7 @@ def count_tokens(df: DataFrame, model: str = "piece_bpe_32k.model", keep: tuple[
     model is a file of public_tokenizers or a path. Null counts as an empty text, which has no tokens; every input row gives a
     row. A text is taken whole: nothing is cut off, padded or added, and strings that spell special tokens are ordinary text.
     """
-    schema = df.select(*keep).schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
+    schema = extended(df.select(*keep), "n_bytes long, n_tokens long, over_limit boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file = model if "/" in model else model_path(model)
