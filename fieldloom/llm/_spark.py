@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -33,3 +34,8 @@ def partitions(spark: SparkSession) -> int:
 def extended(df: DataFrame, more: str) -> StructType:
     """The schema of df followed by the columns of a DDL string."""
     return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+
+
+def hash_share(key: Column, share: float) -> Column:
+    """Whether a 64-bit hash of key falls in the lowest share of its range: the same rows at every run, whatever their order."""
+    return F.xxhash64(key.cast("string"), F.lit("share")).cast("double") < -(2.0**63) + min(1.0, share) * 2.0**64
