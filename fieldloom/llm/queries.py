@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import decontamination, quality, simhash, tokens, toxicity
+from fieldloom.llm import decontamination, pii, quality, simhash, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,12 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.with_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [pii.count_of(F.col("pii"), k).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("pii"), pii.BASE), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3, seed=42)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -44,9 +50,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_pii": op8_pii,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
+def _found(kind: str, pattern: str) -> str:
+    """Rows r, v, a, b, of the matches of a pattern in t(r, text): value, start and end in code points."""
+    return f"""(SELECT r, '{kind}' AS kind, v, a, a + len(v) AS b, text FROM (
+        SELECT r, text, vs[i] AS v, CAST(list_sum([len(x) FOR x IN gs[1:i]]) + coalesce(list_sum([len(x) FOR x IN vs[1:i - 1]]), 0) AS BIGINT) AS a
+        FROM (SELECT r, text, regexp_extract_all(text, '{pattern}') AS vs, string_split_regex(text, '{pattern}') AS gs FROM t), unnest(range(1, len(vs) + 1)) AS u(i)))"""
+
+
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_BYTE = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_LUHN = f"list_sum([CASE WHEN i % 2 = 1 THEN CAST(reverse({_DIGITS})[i] AS INT) ELSE CAST(reverse({_DIGITS})[i] AS INT) * 2 - CASE WHEN CAST(reverse({_DIGITS})[i] AS INT) > 4 THEN 9 ELSE 0 END END FOR i IN range(1, len({_DIGITS}) + 1)]) % 10 = 0"
+_IBAN = "CAST(list_aggregate([CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE CAST(ascii(c) - 55 AS VARCHAR) END FOR c IN string_split(substr(v, 5) || substr(v, 1, 4), '')], 'string_agg', '') AS VARCHAR)"
+_MOD97 = f"list_reduce(list_prepend(0, [CAST(d AS BIGINT) FOR d IN string_split({_IBAN}, '')]), lambda x, y: (x * 10 + y) % 97) = 1"
+
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -64,4 +84,20 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
     """,
+    "op8_pii": rf"""
+        WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+        f AS (
+            SELECT r, kind, a, b, 0 AS k FROM {_found('email', r'[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')}
+            UNION ALL SELECT r, kind, a, b, 1 FROM {_found('ip', r'[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)')} WHERE regexp_full_match(v, '{_BYTE}(\.{_BYTE})(\.{_BYTE})(\.{_BYTE})')
+            UNION ALL SELECT r, kind, a, b, 2 FROM {_found('card', '[0-9](?:[ -]?[0-9])+')} WHERE len({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}
+            UNION ALL SELECT r, kind, a, b, 3 FROM {_found('phone', r'\+[0-9][ ().0-9-]+[0-9]')} WHERE len({_DIGITS}) BETWEEN 10 AND 15
+            UNION ALL SELECT r, kind, a, b, 4 FROM {_found('iban', '[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}')} WHERE {_MOD97}
+            UNION ALL SELECT r, kind, a, b, 5 FROM {_found('ssn', '[0-9]{3}-[0-9]{2}-[0-9]{4}')} WHERE regexp_matches(lower(substr(text, greatest(1, a - 39), least(40, a))), 'ssn|social security')
+        ),
+        g AS (SELECT r, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone,
+                     string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) FILTER (k < 4) AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS spans FROM f GROUP BY r)
+        SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM t LEFT JOIN g USING (r)
+    """,
 }
