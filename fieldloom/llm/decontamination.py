@@ -257,6 +257,7 @@ def contamination(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("d
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, shingle: int = 3, share: int = 20) -> DataFrame:
     """The rows of docs, with all their columns, that are not contaminated: no word hit, or share * n_hit < n_words."""
     indexes = _indexes(docs, items, item_id, item_text, text, window, shingle)
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -265,6 +266,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
                 n = _hits(w, hit)
                 clean.append((n == 0) | (share * n < w.count))
             kept = b.filter(pa.array(np.concatenate(clean) if clean else np.zeros(0, bool)))
-            yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=docs.columns)
+            yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=names)
 
     return docs.select("*", F.col(text).alias("__text")).mapInArrow(run, docs.schema)

@@ -259,11 +259,12 @@ def score_quality(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), doc_id:
 def keep_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, whose quality is at least `least`."""
     models = docs.sparkSession.sparkContext.broadcast(fit(docs, doc_id, text))
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, scorer = models.value
         for b in batches:
             kept = b.filter(pa.array(1 - scorer.bad(b.column(b.num_columns - 1)) >= least))
-            yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=docs.columns)
+            yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=names)
 
     return docs.select("*", F.col(text).alias("__text")).mapInArrow(run, docs.schema)

@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import decontamination, pii, quality, simhash, tokens, toxicity
+from fieldloom.llm import decontamination, mixing, pii, quality, simhash, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3, keep=("doc_id",))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +51,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
     "op6_quality_classifier": op6_quality_classifier,
@@ -70,6 +76,22 @@ _MOD97 = f"list_reduce(list_prepend(0, [CAST(d AS BIGINT) FOR d IN string_split(
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": r"""
+        WITH d AS (SELECT doc_id, source, coalesce(source, '') || CASE WHEN source IS NULL THEN 'n' ELSE 's' END AS key,
+                          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                          md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS h FROM documents),
+        s AS (SELECT key, any_value(source) AS source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY key),
+        w AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS weight, 3 * source_size AS cap,
+                     sum(source_size) OVER () AS total FROM s),
+        c AS (SELECT *, cap / weight <= (total - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS stops
+              FROM w WINDOW b AS (ORDER BY cap / weight, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        g AS (SELECT key, source_size, CASE WHEN stops THEN CAST(cap AS DOUBLE)
+                     ELSE CAST((total - coalesce(sum(cap) FILTER (stops) OVER (), 0)) * weight AS DOUBLE) / sum(weight) FILTER (NOT stops) OVER () END AS target FROM c),
+        o AS (SELECT doc_id, size, source_size, target, coalesce(sum(size) OVER (PARTITION BY key ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+              FROM d JOIN g USING (key))
+        SELECT doc_id, size, source_size, target,
+               CAST(size * CASE WHEN source_size = 0 THEN 0 ELSE greatest(0, least(3, ceil((target - start - size / 2) / source_size))) END AS BIGINT) AS taken FROM o
+    """,
     "op7_benchmark_decontamination": f"""
         WITH i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
         iw AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[k:k + least(13, len(w)) - 1], ' ') AS s

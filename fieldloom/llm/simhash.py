@@ -220,3 +220,18 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     joined = classes.join(root, classes["fp"] == root["node"], "left").select("fp", "__least", F.coalesce("root", "fp").alias("__root"))
     least = joined.groupBy("__root").agg(F.min("__least").alias("component_id"))
     return rows.join(joined.join(least, "__root").select("fp", "component_id"), "fp").select(*rows.columns, "component_id")
+
+
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of df, with all their columns, of which one stands for each component: that with the smallest doc_id (null
+    last), then the smallest hash of its text; of rows alike in both, one. Null texts count as empty."""
+    texts = df.select(F.col(doc_id).alias("__id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__th"), F.col(text).alias("__text"))
+    rows = written(with_fingerprint(texts, "__text", ("__id", "__th"), shingle, seed), "fingerprints")
+    rank = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__th").alias("th"))
+    classes = rows.groupBy("fp").agg(F.min(rank).alias("__least"))
+    root = connected_components(fingerprint_links(classes.select("fp"), radius))
+    joined = classes.join(root, classes["fp"] == root["node"], "left").select("__least", F.coalesce("root", "fp").alias("__root"))
+    chosen = joined.groupBy("__root").agg(F.min("__least").alias("w")).select(F.coalesce(F.col("w.id").cast("string"), F.lit("")).alias("__wid"), F.col("w.th").alias("__wth"))
+    # ids are long or string; the two parts together name one text, and of its equal rows the first stays
+    keyed = df.withColumn("__wid", F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).withColumn("__wth", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    return keyed.join(chosen, ["__wid", "__wth"], "left_semi").dropDuplicates(["__wid", "__wth"]).drop("__wid", "__wth")
