@@ -21,9 +21,9 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id; of several rows with this id, one.
 
-    The pipeline takes five-word shingles: texts linked at three bits share most of them.
+    Groups are those of the operator's contract: three-word shingles, fingerprints linked at three bits or fewer.
     """
-    return simhash.one_of_each(docs, shingle=5, radius=3)
+    return simhash.one_of_each(docs, shingle=3, radius=3)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ def position(share: Column, slope: Column) -> Column:
     The weight's integral is t + slope * (t² - t); this is its inverse.
     """
     root = (F.sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / (2 * slope)
-    return F.when(slope == 0, share).otherwise(root)
+    return F.when(slope == 0, share).otherwise(root + 0.0)  # no negative zero
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], slopes: tuple[float, ...], most: int) -> DataFrame:

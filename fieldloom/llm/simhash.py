@@ -19,7 +19,6 @@ _U = np.uint64
 #: Rows in a tile of fingerprints, and rows from which a key's fingerprints are dealt to several tasks.
 TILE, DEAL = 512, 4096
 #: For each byte value, its eight bits as eight byte-wide counters.
-_LANES = np.packbits(np.zeros(0, np.uint8))
 _LANES = np.array([sum(((i >> k) & 1) << (8 * k) for k in range(8)) for i in range(256)], dtype=_U)
 
 
@@ -222,7 +221,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     return rows.join(joined.join(least, "__root").select("fp", "component_id"), "fp").select(*rows.columns, "component_id")
 
 
-def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 3, seed: int = 42) -> DataFrame:
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
     """The rows of df, with all their columns, of which one stands for each component: that with the smallest doc_id (null
     last), then the smallest hash of its text; of rows alike in both, one. Null texts count as empty."""
     texts = df.select(F.col(doc_id).alias("__id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__th"), F.col(text).alias("__text"))
