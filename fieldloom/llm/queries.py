@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import decontamination, mixing, pii, quality, simhash, tokens, toxicity
+from fieldloom.llm import decontamination, mixing, pii, quality, secrets, simhash, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    counts = [pii.count_of(F.col("secrets"), k).cast("long").alias(f"n_{k}") for k in secrets.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("secrets"), secrets.BASE), 256).alias("base_sha256"), pii.listed(F.col("secrets")).alias("spans"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3, keep=("doc_id",))
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -51,6 +57,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
