@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import decontamination, mixing, pii, quality, secrets, simhash, tokens, toxicity
+from fieldloom.llm import chat, decontamination, mixing, pii, quality, secrets, simhash, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,15 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("pii"), pii.BASE), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    found = chat.read_back(chat.format_conversations(rows))
+    learnt = F.array_join("learnt", "")
+    return found.select("conv_id", F.size("turns").cast("long").alias("n_turns"), chat.turns_digest(F.col("turns")).alias("turns_sha256"), F.length(learnt).cast("long").alias("loss_chars"), F.sha2(learnt, 256).alias("loss_sha256"), "formatted_chars")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3, seed=42)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -64,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_pii": op8_pii,
+    "op9_chat_format": op9_chat_format,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
@@ -129,4 +139,14 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
         FROM t LEFT JOIN g USING (r)
     """,
+    "op9_chat_format": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
+                       SELECT conv_id, turn, role, text FROM conversations
+                       UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+                     coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+                     sum(13 + len(role) + len(text) + len(regexp_replace(role, '[^\\<|]', '', 'g')) + len(regexp_replace(text, '[^\\<]', '', 'g'))) AS formatted_chars
+              FROM c GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(len(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g
+    """,
 }
