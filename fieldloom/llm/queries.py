@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import chat, decontamination, mixing, pii, quality, secrets, simhash, tokens, toxicity
+from fieldloom.llm import ann, chat, decontamination, mixing, pii, quality, secrets, simhash, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("secrets"), secrets.BASE), 256).alias("base_sha256"), pii.listed(F.col("secrets")).alias("spans"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(rows, rows.where(F.col("vec_id") % 20 == 0), k=20, factor=1.0)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3, keep=("doc_id",))
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -67,6 +72,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
@@ -93,6 +99,13 @@ _MOD97 = f"list_reduce(list_prepend(0, [CAST(d AS BIGINT) FOR d IN string_split(
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_nearest_neighbours": """
+        WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM (SELECT * FROM v WHERE vec_id % 20 = 0) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 20
+    """,
     "op3_mixing": r"""
         WITH d AS (SELECT doc_id, source, coalesce(source, '') || CASE WHEN source IS NULL THEN 'n' ELSE 's' END AS key,
                           CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
