@@ -55,12 +55,12 @@ def nearby(df: DataFrame, doc: str, pos: str, flag: str, text: str, span: int =
 
 
 def sections(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """doc, section, heading, role and body (its lines joined) by headings of one to four hashes; lines before the first make
+    """doc, section, heading, role, lines and body (these joined) by headings of one to four hashes; lines before the first make
     section 0 without a heading."""
     line = df.select(doc, F.posexplode(F.split(F.col(text), "\n")).alias("n", "line"))
     head = F.regexp_extract("line", r"^#{1,4}\s+(.*)$", 1)
     line = line.withColumn("heading", F.nullif(head, F.lit(""))).withColumn("section", F.count("heading").over(Window.partitionBy(doc).orderBy("n")).cast("int"))
-    out = line.groupBy(doc, "section").agg(F.max("heading").alias("heading"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("heading").isNull(), F.struct("n", "line")))), lambda x: x["line"]), "\n").alias("body"))
+    out = line.groupBy(doc, "section").agg(F.max("heading").alias("heading"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("heading").isNull(), F.struct("n", "line")))), lambda x: x["line"]), "\n").alias("body"), F.count_if(F.col("heading").isNull()).alias("lines"))
     return out.withColumn("role", role(F.coalesce("heading", F.lit(""))))
 
 
