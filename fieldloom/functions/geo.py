@@ -35,7 +35,7 @@ def parse_degrees(c: Column, latitude: bool) -> Column:
 
 def coordinate_pairs(c: Column) -> Column:
     """Pairs of decimal numbers of three digits or more after the point, within range, in the order of the text."""
-    pattern = r"(-?[0-9]{1,2}\.[0-9]{3,})\s*[,;]\s*(-?[0-9]{1,3}\.[0-9]{3,})"
+    pattern = r"(?<![0-9.])(-?[0-9]{1,2}\.[0-9]{3,})\s*[,;]\s*(-?[0-9]{1,3}\.[0-9]{3,})"
     first, second = (F.regexp_extract_all(c, F.lit(pattern), F.lit(i)) for i in (1, 2))
     pairs = F.zip_with(first, second, lambda a, b: F.struct(a.cast("double").alias("lat"), b.cast("double").alias("lon")))
     return F.filter(pairs, lambda p: p["lat"].between(-90, 90) & p["lon"].between(-180, 180))
