@@ -21,9 +21,9 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id; of several rows with this id, one.
 
-    Groups are those of the operator's contract: three-word shingles, fingerprints linked at three bits or fewer.
+    Near-duplicates are texts of a similarity of 0.8 or more in five-word shingles.
     """
-    return simhash.one_of_each(docs, shingle=3, radius=3)
+    return simhash.one_of_each(docs, shingle=5, similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,13 +11,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm._arrays import LOWER, NOT_SPACE, Words, blocks, text_arrays
-from fieldloom.llm._spark import partitions, written
+from fieldloom.llm._arrays import LOWER, NOT_SPACE, Words, blocks, mix, text_arrays
+from fieldloom.llm._spark import extended, partitions, written
 from fieldloom.llm.components import connected_components
 
 _U = np.uint64
 #: Rows in a tile of fingerprints, and rows from which a key's fingerprints are dealt to several tasks.
 TILE, DEAL = 512, 4096
+#: Words of 64 bits in the wide fingerprint that tells similarity.
+SKETCH = 4
 #: For each byte value, its eight bits as eight byte-wide counters.
 _LANES = np.array([sum(((i >> k) & 1) << (8 * k) for k in range(8)) for i in range(256)], dtype=_U)
 
@@ -52,25 +54,53 @@ def _block(buf: np.ndarray, offsets: np.ndarray, shingle: int, seed: int) -> np.
     start, end = place[w.start] - 1, place[w.end - 1]
     text = text[keep].tobytes()
 
+    first, last, doc, head = _runs(w, shingle)
+    digest = xxhash.xxh64_intdigest
+    h = np.array([digest(text[a:b], seed) for a, b in zip(start[first].tolist(), end[last].tolist(), strict=True)], dtype=_U)
+    return _majority(h, doc, head)
+
+
+def _runs(w: Words, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last word and document of each shingle (the whole text where it has fewer words), and each document's first one."""
     n = np.where(w.count > 0, np.maximum(1, w.count - shingle + 1), 0)
     doc = np.repeat(np.arange(len(n)), n)
     head = np.concatenate([[0], np.cumsum(n)])
     first = np.arange(head[-1]) - head[doc] + w.first[doc]
-    last = np.minimum(first + shingle, w.first[doc + 1]) - 1
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(text[a:b], seed) for a, b in zip(start[first].tolist(), end[last].tolist(), strict=True)], dtype=_U)
+    return first, np.minimum(first + shingle, w.first[doc + 1]) - 1, doc, head
+
 
-    # count bits in byte-wide lanes over at most 255 shingles, then over each document
-    rank = np.arange(len(h)) - head[doc]
-    seg = np.flatnonzero(rank % 255 == 0)
+def _majority(h: np.ndarray, doc: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """For each document the bits set in over half of its hashes, counted in byte-wide lanes over at most 255 at a time."""
+    n = np.diff(head)
+    out = np.zeros(len(n), _U)
+    if not len(h):
+        return out
+    seg = np.flatnonzero((np.arange(len(h)) - head[doc]) % 255 == 0)
     full = np.flatnonzero(n)
     heads = np.searchsorted(seg, head[full])
     ones = np.zeros((len(full), 64), np.int64)
     for k in range(8):
         lanes = np.add.reduceat(_LANES[(h >> _U(8 * k)) & _U(255)], seg)
         ones[:, 8 * k : 8 * k + 8] = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), heads)
-    bits = 2 * ones > n[full][:, None]
-    out[full] = np.packbits(bits, axis=1, bitorder="little").view(_U).ravel()
+    out[full] = np.packbits(2 * ones > n[full][:, None], axis=1, bitorder="little").view(_U).ravel()
+    return out
+
+
+def sketches(column: pa.Array, near: int = 3, shingle: int = 5, words: int = SKETCH) -> np.ndarray:
+    """A row for each text: a fingerprint of shorter shingles, by which candidates meet, and a wide one of `words` times 64 bits of
+    the shingles that count, whose distance tells their similarity. Hashes are made from the words' own, all at once."""
+    buf, offsets = text_arrays(column)
+    out = np.zeros((len(column), 1 + words), _U)
+    for i, j in blocks(offsets):
+        w = Words(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], NOT_SPACE)
+        for at, size in ((slice(0, 1), near), (slice(1, None), shingle)):
+            first, last, doc, head = _runs(w, size)
+            h = np.zeros(len(first), _U)
+            for k in range(size):
+                use = np.minimum(first + k, last)
+                h = mix(h * _U(0x9E3779B97F4A7C15) + w.hash[use] + _U(k)) if len(w) else h
+            for c in range(*at.indices(1 + words)):
+                out[i:j, c] = _majority(mix(h + _U(c)), doc, head)
     return out
 
 
@@ -100,23 +130,43 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = up
 
 
-def linked(fp: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def linked(fp: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int, wide: np.ndarray | None = None, wide_radius: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest, as positions, of the links at most radius bits apart within each group.
 
     Rows are sorted by group. Where a group has both sides 0 and 1, only rows of different sides are compared. Groups are cut
     in tiles ordered by population count; tile pairs whose counts differ beyond the radius are skipped, the others are compared
-    in full by exclusive-or and bit count.
+    in full by exclusive-or and bit count. With wide fingerprints, a link must be within wide_radius by them as well.
     """
     fp = fp.view(_U)
     ones = np.bitwise_count(fp).astype(np.int64)
     order = np.lexsort((ones, side, group))
     fp, ones, group, side = fp[order], ones[order], group[order], side[order]
+    wide = None if wide is None else wide[order].view(_U)
     bound = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(fp) else np.zeros(1, np.int64)
     size = np.diff(bound)
-    mixed = np.zeros(len(size), bool)
-    if len(size):
-        mixed = side[bound[:-1]] != side[bound[1:] - 1]
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    mixed = side[bound[:-1]] != side[bound[1:] - 1] if len(size) else np.zeros(0, bool)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def forest() -> None:
+        nonlocal pairs, held
+        x, y = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
+        used, both = np.unique(np.concatenate([x, y]), return_inverse=True)
+        root = _roots(len(used), both[: len(x)], both[len(x) :])
+        far = np.flatnonzero(root != np.arange(len(used)))
+        pairs, held = [(used[far], used[root[far]])], len(far)
+
+    def found(x: np.ndarray, y: np.ndarray) -> None:
+        nonlocal held
+        if wide is not None and len(x):
+            close = np.bitwise_count(wide[x] ^ wide[y]).sum(1) <= wide_radius
+            x, y = x[close], y[close]
+        if len(x):
+            pairs.append((x, y))
+            held += len(x)
+            if held > 1 << 20:
+                forest()
+
     small = (size <= 32) & ~mixed
     stop = np.repeat(np.where(small, bound[1:], 0), size)
     i = np.flatnonzero(stop)
@@ -125,33 +175,23 @@ def linked(fp: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int) ->
         d += 1
         i = i[i + d < stop[i]]
         near = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= radius]
-        a.append(near)
-        b.append(near + d)
+        found(near, near + d)
     for g in np.flatnonzero(~small):
         lo, hi = int(bound[g]), int(bound[g + 1])
         mid = lo + int(np.searchsorted(side[lo:hi], 1)) if mixed[g] else hi
         rows = [(s, min(s + TILE, mid)) for s in range(lo, mid, TILE)]
         cols = [(s, min(s + TILE, hi)) for s in range(mid, hi, TILE)] if mixed[g] else rows
-        own = np.arange(hi - lo)
         for x0, x1 in rows:
-            pa_, pb_ = [], []
             for y0, y1 in cols:
                 if (not mixed[g] and y0 < x0) or ones[y0] - ones[x1 - 1] > radius or ones[x0] - ones[y1 - 1] > radius:
                     continue
                 x, y = np.nonzero(np.bitwise_count(fp[x0:x1, None] ^ fp[None, y0:y1]) <= radius)
-                pa_.append(x + x0 - lo)
-                pb_.append(y + y0 - lo)
-            if pa_:  # each stripe of tiles is reduced to a forest at once
-                x, y = np.concatenate([np.arange(hi - lo), *pa_]), np.concatenate([own, *pb_])
-                own = _roots(hi - lo, x, y)
-        far = np.flatnonzero(own != np.arange(hi - lo))
-        a.append(far + lo)
-        b.append(own[far] + lo)
-    a, b = np.concatenate(a), np.concatenate(b)
-    used, both = np.unique(np.concatenate([a, b]), return_inverse=True)
-    root = _roots(len(used), both[: len(a)], both[len(a) :])
-    far = np.flatnonzero(root != np.arange(len(used)))
-    return order[used[far]], order[used[root[far]]]
+                x, y = x + x0, y + y0
+                once = x < y
+                found(x[once], y[once])
+    forest()
+    a, b = pairs[0]
+    return order[a], order[b]
 
 
 def key_masks(radius: int, spare: int = 2) -> list[int]:
@@ -163,44 +203,45 @@ def key_masks(radius: int, spare: int = 2) -> list[int]:
     return [sum(block[i] for i in some) for some in combinations(range(n), spare)]
 
 
-def fingerprint_links(prints: DataFrame, radius: int = 3, spare: int = 2) -> DataFrame:
-    """a, b: links that span each component of the distinct fingerprints (column fp) at most radius bits apart.
+def fingerprint_links(prints: DataFrame, radius: int = 3, spare: int = 2, node: str = "fp", wide: tuple[str, ...] = (), wide_radius: int = 0) -> DataFrame:
+    """a, b: links that span each component of the distinct rows whose fingerprints (column fp) are at most radius bits apart, and
+    whose wide ones, if named, at most wide_radius; named by a column of longs.
 
     Fingerprints meet under keys that lose no link (key_masks). A key that over DEAL fingerprints share is dealt out: they are
     split by hash into parts, and each pair of parts is a group of its own, so that no task grows with the key.
     """
     spark = prints.sparkSession
     signed = [m - (1 << 64) if m >> 63 else m for m in key_masks(radius, spare)]
-    keyed = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("mask", "key"))
-    crowd = keyed.groupBy("mask", "key").count().where("count > 1").withColumn("parts", F.ceil(F.col("count") / DEAL).cast("int")).select("mask", "key", "parts")
-    met = keyed.join(crowd, ["mask", "key"])
-    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    met = met.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select(
-        F.xxhash64("mask", "key", F.least("part", "other"), F.greatest("part", "other")).alias("group"), F.struct("mask", "key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")).alias("exact"),
-        "fp", (F.col("part") > F.col("other")).cast("int").alias("side"),
-    )
-    met = met.select("exact.*", "fp", "side").repartition(partitions(spark), "mask", "key", "p", "q").sortWithinPartitions("mask", "key", "p", "q")
+    rows = prints.select(F.col(node).alias("node"), "fp", *wide)
+    meet = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("mask", "key")
+    crowd = rows.select("fp", meet).groupBy("mask", "key").count().where("count > 1").withColumn("parts", F.ceil(F.col("count") / DEAL).cast("int")).select("mask", "key", "parts")
+    met = rows.select("node", "fp", *wide, meet).join(crowd, ["mask", "key"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("mask", "key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "node", "fp", (F.col("part") > F.col("other")).cast("int").alias("side"), *wide)
+    met = met.repartition(partitions(spark), "mask", "key", "p", "q").sortWithinPartitions("mask", "key", "p", "q")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
         def flush(rows: np.ndarray) -> pa.RecordBatch:
-            group = np.cumsum(np.concatenate([[0], (rows[1:, :4] != rows[:-1, :4]).any(1)])) if len(rows) else np.zeros(0, np.int64)
-            a, b = linked(rows[:, 4].copy(), group, rows[:, 5], radius)
+            group = np.cumsum(np.concatenate([[0], (rows[1:, :4] != rows[:-1, :4]).any(1)]))
+            a, b = linked(rows[:, 5].copy(), group, rows[:, 6], radius, np.ascontiguousarray(rows[:, 7:]) if wide else None, wide_radius)
             return pa.RecordBatch.from_arrays([pa.array(rows[a, 4]), pa.array(rows[b, 4])], names=["a", "b"])
 
+        held: list[np.ndarray] = []
         for batch in batches:
             rows = np.column_stack([np.asarray(c).astype(np.int64) for c in batch.columns])
             if not len(rows):
                 continue
-            rows = np.concatenate([*held, rows])
-            open_ = len(rows) - 1 - int(np.argmax((rows[::-1, :4] != rows[-1, :4]).any(1))) if (rows[:, :4] != rows[-1, :4]).any() else -1
-            held = [rows[open_ + 1 :]]
-            if open_ >= 0:
-                yield flush(rows[: open_ + 1])
+            change = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(1))
+            if held and (held[-1][-1, :4] == rows[0, :4]).all() and not len(change):
+                held.append(rows)  # a group goes on over whole batches
+                continue
+            cut = int(change[-1]) + 1 if len(change) else 0
+            ready = [*held, rows[:cut]] if cut else held
+            if ready:
+                yield flush(np.concatenate(ready))
+            held = [rows[cut:]]
         if held:
-            yield flush(held[0])
+            yield flush(np.concatenate(held))
 
     return met.mapInArrow(run, "a long, b long")
 
@@ -221,15 +262,36 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     return rows.join(joined.join(least, "__root").select("fp", "component_id"), "fp").select(*rows.columns, "component_id")
 
 
-def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
-    """The rows of df, with all their columns, of which one stands for each component: that with the smallest doc_id (null
-    last), then the smallest hash of its text; of rows alike in both, one. Null texts count as empty."""
+#: Bits of the wide fingerprint (of 256) in which texts of a given similarity (Jaccard, of the sets of shingles) may differ. Two
+#: sets of equal size and similarity s form an angle of arccos(2s / (1 + s)); so many of the bits differ on average, to which a
+#: standard deviation is added.
+def allowed_bits(similarity: float, bits: int = 64 * SKETCH) -> int:
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(np.floor(bits * share + np.sqrt(bits * share * (1 - share))))
+
+
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, near: int = 3, radius: int = 10) -> DataFrame:
+    """The rows of df, with all their columns, of which one stands for each group of near-duplicates: that with the smallest doc_id
+    (null last), then the smallest hash of its text; of rows alike in both, one. Null texts count as empty.
+
+    Groups are components of links between texts whose wide fingerprints of `shingle`-word shingles lie as close as those of texts
+    with the given similarity do (allowed_bits); candidates are texts whose 64-bit fingerprints of shorter shingles differ in at
+    most radius bits, which at that similarity is nearly all. Exact copies are one text from the start.
+    """
+    wide = tuple(f"w{k}" for k in range(SKETCH))
     texts = df.select(F.col(doc_id).alias("__id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__th"), F.col(text).alias("__text"))
-    rows = written(with_fingerprint(texts, "__text", ("__id", "__th"), shingle, seed), "fingerprints")
+    schema = extended(texts.select("__id", "__th"), f"fp long, {', '.join(f'{c} long' for c in wide)}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = sketches(b.column(2), near, shingle).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(np.ascontiguousarray(s[:, k])) for k in range(1 + SKETCH)]], names=schema.names)
+
+    rows = written(texts.mapInArrow(run, schema), "sketches")
     rank = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__th").alias("th"))
-    classes = rows.groupBy("fp").agg(F.min(rank).alias("__least"))
-    root = connected_components(fingerprint_links(classes.select("fp"), radius))
-    joined = classes.join(root, classes["fp"] == root["node"], "left").select("__least", F.coalesce("root", "fp").alias("__root"))
+    classes = written(rows.groupBy("__th").agg(F.min(rank).alias("__least"), *[F.min(c).alias(c) for c in ("fp", *wide)]), "texts")
+    root = connected_components(fingerprint_links(classes, radius, 2, "__th", wide, allowed_bits(similarity)))
+    joined = classes.join(root, classes["__th"] == root["node"], "left").select("__least", F.coalesce("root", "__th").alias("__root"))
     chosen = joined.groupBy("__root").agg(F.min("__least").alias("w")).select(F.coalesce(F.col("w.id").cast("string"), F.lit("")).alias("__wid"), F.col("w.th").alias("__wth"))
     # ids are long or string; the two parts together name one text, and of its equal rows the first stays
     keyed = df.withColumn("__wid", F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).withColumn("__wth", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))

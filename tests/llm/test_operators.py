@@ -125,10 +125,27 @@ def test_near_duplicates(docs, empty):
     expected = sorted(((d, f - (1 << 64) if f >> 63 else f, least[x]) for (d, f), x in zip(data, root, strict=True)), key=key)
     assert sorted(((r["doc_id"], r["fp"], r["component_id"]) for r in rows), key=key) == expected
     assert simhash.near_duplicates(empty).count() == 0
-    kept = simhash.one_of_each(docs)
-    assert kept.columns == docs.columns
-    assert kept.count() == len(set(root))
+
+
+def shingle_set(text, k=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
+def test_one_of_each(spark, empty):
+    r = random.Random(8)
+    base = [[r.choice(WORDS) + str(r.randrange(99)) for _ in range(150)] for _ in range(30)]
+    rows = [(100 + i, " ".join(w)) for i, w in enumerate(base)]
+    rows += [(200 + i, " ".join([*w[:70], "changed", *w[71:]])) for i, w in enumerate(base[:10])]  # similarity 0.93
+    rows += [(300 + i, " ".join(w)) for i, w in enumerate(base[10:15])]  # copies
+    rows += [(400 + i, " ".join([*w[:75], *base[(i + 1) % 30][75:]])) for i, w in enumerate(base[20:25], 20)]  # half of each of two
+    rows += [(None, " ".join(base[29])), (None, "a text of its own, without an id"), (7, ""), (8, None), (9, " "), (500, "once again"), (500, "once again")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1, "", "", 1) for i, t in rows], SCHEMA)
+    kept = simhash.one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 7), *((False, 100 + i) for i in range(30)), *((False, 400 + i) for i in range(20, 25)), (False, 500), (True, 0)]
     assert simhash.one_of_each(empty).count() == 0
+    assert simhash.allowed_bits(1.0) == 0 and simhash.allowed_bits(0.8) == 44
 
 
 # Benchmark windows
