@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.sources.tables import cut
+
 
 def upsert_nodes(rows: DataFrame, seq: str = "seq") -> DataFrame:
     """One row for each node_id and kind: the first label stays, the last properties win."""
@@ -74,7 +76,7 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     for _ in range(rounds):
         around = both.join(labels.select(F.col("node_id").alias("v"), "label"), "v").groupBy("u", "label").agg(F.sum("weight").alias("w"))
         labels = around.groupBy("u").agg(F.min(F.struct((-F.col("w")).alias("w"), "label")).alias("best")).select(F.col("u").alias("node_id"), F.col("best.label").alias("label"))
-        labels = labels.checkpoint()
+        labels = cut(labels, "labels")
     return labels
 
 

@@ -9,6 +9,7 @@ from fieldloom.functions.values import filled, strip
 
 _AUTHOR = r"([A-Z][A-Za-z'-]+)"
 _YEAR = "(19[5-9][0-9]|20[0-2][0-9])"
+#: Phrases before a cited author (fixed values).
 _CUES = "according to|reported by|recorded by|described by|as per|cited in|sensu"
 
 

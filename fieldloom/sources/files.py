@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.sources.tables import shared_dir
+
 
 def read_tsv(spark: SparkSession, path: str, required: Sequence[str]) -> DataFrame:
     """A tab-separated file with a header, all strings; a mark of byte order is dropped, missing columns are an error."""
@@ -75,7 +77,6 @@ def write_graphml(lines: DataFrame, path: str) -> None:
 def round_trip_csv(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
     """What write_csv has written, read again with the types of df."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/fieldloom/export-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/fieldloom/export-{uuid.uuid4().hex}"
     write_csv(df, columns, order, path)
     return spark.read.csv(path, header=True, schema=df.select(*columns).schema)

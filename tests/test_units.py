@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.functions import geo, names, repair, values
-from fieldloom.operators import articles, dedup, graph, lookup, memory, records, text
+from fieldloom.functions import calls, geo, names, repair, values
+from fieldloom.operators import articles, dedup, graph, lookup, memory, records, review_rules, text
 from fieldloom.streaming import state
 
 
@@ -103,3 +103,38 @@ def test_stream_counts(spark, tmp_path):
     q = windowed.writeStream.outputMode("update").foreachBatch(lambda df, _: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sum({(r["start"], r["k"]): r["n"] for r in seen}.values()) == 10
+
+
+def test_calls_fail_softly(spark):
+    def call(s):
+        if s == "bad":
+            raise ValueError(s)
+        return s.upper()
+
+    df = spark.createDataFrame([("a",), ("bad",), (None,)], "s string")
+    assert [r["x"] for r in df.select(calls.as_column(call, "?")(F.col("s")).alias("x")).collect()] == ["A", "?", None]
+    assert one(spark, calls.traits(F.col("c"), ("a", "b", "c")), c='{"a": 2, "b": -1}') == [1.0, 0.0, 0.5]
+
+
+def test_corrected_asks_again_where_few_are_found(spark):
+    texts = spark.createDataFrame([(1, "2 of them"), (2, "1 of them")], "doc int, text string")
+    rounds = []
+
+    def extract(df):
+        rounds.append(1)
+        return df.select("doc", F.lit(f"name{len(rounds)}").alias("name"))
+
+    got = calls.corrected(texts, extract, "doc", "name", F.regexp_extract("text", "([0-9]+)", 1).cast("int"), tries=1)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "name1"), (1, "name2"), (2, "name1")]
+
+
+def test_spans_have_offsets(spark):
+    got = one(spark, review_rules.spans(F.col("c"), "[0-9]+", "n"), c="é12 x 3")
+    assert [(s["start"], s["end"], s["text"]) for s in got] == [(1, 3, "12"), (6, 7, "3")]
+
+
+def test_graphml_lines(spark):
+    nodes = spark.createDataFrame([("a", "x<y"), ("b", "z")], "node_id string, label string")
+    edges = spark.createDataFrame([("a", "R", "b")], "src string, rel string, tgt string")
+    lines = [r["line"] for r in graph.graphml(nodes, edges).orderBy("part", "key").collect()]
+    assert lines[0].startswith("<graphml") and lines[-1] == "</graph></graphml>" and "x&lt;y" in lines[1] and len(lines) == 5
