@@ -64,3 +64,17 @@ def split_places(c: Column, shortest: int = 4) -> Column:
     outer = F.split(F.regexp_replace(c, r"\([^)]*\)", ""), r"\s+and\s+|\s*;\s*|\s*&\s*|,\s*(?=[A-Z])")
     parts = F.transform(F.concat(outer, inner), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
     return F.array_distinct(F.filter(parts, lambda p: F.length(p) >= shortest))
+
+
+def completed_place(place: Column, *wider: Column) -> Column:
+    """A place followed by its wider ones (district, state, country) that it does not name already, joined by commas."""
+    out = place
+    for w in wider:
+        out = F.when(w.isNull() | (w == "") | F.contains(F.lower(out), F.lower(w)), out).otherwise(F.concat(out, F.lit(", "), w))
+    return out
+
+
+def enhanced_place(place: Column, study_area: Column, short: int = 12) -> Column:
+    """A short or empty place with the study area of its document, if that is known and not named already."""
+    bare = F.regexp_replace(F.lower(F.coalesce(place, F.lit(""))), r"^(?:at|near|in|off|from|the)\s+", "")
+    return F.when((F.length(bare) >= short) | study_area.isNull() | F.contains(bare, F.lower(study_area)), place).when(bare == "", study_area).otherwise(F.concat(place, F.lit(", "), study_area))

@@ -148,3 +148,28 @@ def spelling_key(c: Column) -> Column:
     for pattern, by in (("aa", "a"), ("ee", "i"), ("oo", "u"), ("ii", "i"), ("uu", "u"), ("([kgcjtdpb])h", "$1"), ("[vw]", "b"), ("sh", "s"), ("(?<=[aeiou])h", ""), (r"(.)\1+", "$1"), (" ", "")):
         out = F.regexp_replace(out, pattern, by)
     return out
+
+
+def approval(score: Column, match: Column, least: float) -> Column:
+    """What a reviewer sees first: approved for a sure exact or fuzzy match, none where nothing matches, else review."""
+    return F.when(F.coalesce(match, F.lit("NONE")) == "NONE", "none").when(match.isin("EXACT", "FUZZY") & (score >= least), "approved").otherwise("review")
+
+
+def ticked(df: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
+    """Rows that the decisions (key, keep) keep."""
+    return df.join(decisions.where("keep").select(key), key, "left_semi")
+
+
+def sure_entities(df: DataFrame, doc: str, label: str = "LIVB", least: float = 0.8, longer_than: int = 3) -> DataFrame:
+    """doc and its distinct texts of one label, of a high score and over three characters."""
+    return df.where((F.col("label") == label) & (F.col("score") >= least) & (F.length("text") > longer_than)).select(doc, "text").distinct()
+
+
+def related(df: DataFrame, key: str, wanted: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Keys of relations (key, rel, value) that for each predicate wanted have a value containing one of its words."""
+    out = df.select(key).distinct()
+    for rel, words in wanted.items():
+        if words:
+            hit = F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(F.lower("value"), w))
+            out = out.join(df.where((F.col("rel") == rel) & hit).select(key), key, "left_semi")
+    return out

@@ -123,3 +123,10 @@ def budgeted(df: DataFrame, key: str, order: str, text: str, budget: int) -> Dat
     """Rows of each key in order while their characters fit the budget; the last is cut."""
     before = F.coalesce(F.sum(F.length(text)).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return df.withColumn("__before", before).where(F.col("__before") < budget).withColumn(text, F.substring(F.col(text), F.lit(1), (budget - F.col("__before")).cast("int"))).drop("__before")
+
+
+def page_range(chunk: Column, marker: str, share: Column, pages: Column) -> Column:
+    """First and last page that markers in a chunk name; without markers the page at that share of the document, at least the first."""
+    found = F.transform(F.regexp_extract_all(chunk, F.lit(marker), F.lit(1)), lambda p: p.cast("int"))
+    guess = F.greatest(F.lit(1), F.bround(share * pages).cast("int"))
+    return F.struct(F.coalesce(F.array_min(found), guess).alias("first"), F.coalesce(F.array_max(found), guess).alias("last"))

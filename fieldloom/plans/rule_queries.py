@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fieldloom.functions import geo
 from fieldloom.operators import review_rules as rules
 from fieldloom.operators import text
 from fieldloom.plans.registry import query
@@ -84,3 +85,54 @@ def document_context(t, spark):
     md = F.concat(F.lit("# Methods\nat 12 m and 5 m and 12 m\n# Results\nfound at "), F.col("n_name"))
     s = text.sections(t("nation").select("n_nationkey", md.alias("md")), "n_nationkey", "md").where("section > 0")
     return rules.with_document_context(s, "n_nationkey", "role", "body", ("METHODS",), ("RESULTS",), "[0-9]+ m").select("n_nationkey", "role", F.array_join("context", ",").alias("context"))
+
+
+@query("SELECT n_nationkey, n_name || CASE WHEN n_nationkey % 2 = 0 THEN ', ' || r_name ELSE '' END || ', Earth' AS place FROM nation JOIN region ON n_regionkey = r_regionkey")
+def completed_places(t, spark):
+    """a place with the wider ones it does not name."""
+    j = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    region = F.when(F.col("n_nationkey") % 2 == 0, F.col("r_name"))
+    return j.select("n_nationkey", geo.completed_place(F.col("n_name"), region, F.lower("n_name"), F.lit("Earth")).alias("place"))
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'the reef, Long Bay' WHEN 1 THEN 'Long Bay' ELSE s_name END AS place FROM supplier")
+def enhanced_places(t, spark):
+    """short places with their document's study area."""
+    p = F.when(F.col("s_suppkey") % 3 == 0, "the reef").when(F.col("s_suppkey") % 3 == 1, "").otherwise(F.col("s_name"))
+    return t("supplier").select("s_suppkey", geo.enhanced_place(p, F.lit("Long Bay")).alias("place"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 3 ELSE greatest(1, CAST(round_even(doc_id % 10 / 10.0 * 7, 0) AS INT)) END AS \"first\", CASE WHEN doc_id % 2 = 0 THEN 12 ELSE greatest(1, CAST(round_even(doc_id % 10 / 10.0 * 7, 0) AS INT)) END AS \"last\" FROM documents")
+def page_ranges(t, spark):
+    """T4: pages by markers, else by the place in the document."""
+    c = F.when(F.col("doc_id") % 2 == 0, "x [page 12] y [page 3]").otherwise("none")
+    r = text.page_range(c, r"\[page ([0-9]+)\]", F.col("doc_id") % 10 / 10.0, F.lit(7))
+    return t("documents").select("doc_id", r["first"].alias("first"), r["last"].alias("last"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'none' WHEN p_size >= 25 AND p_size % 3 = 1 THEN 'approved' ELSE 'review' END AS first_view FROM part WHERE p_partkey % 2 = 0""")
+def approval_gate(t, spark):
+    """What is approved at once, and the rows that a reviewer has ticked."""
+    match = F.when(F.col("p_size") % 3 == 1, "EXACT").when(F.col("p_size") % 3 == 2, "HIGHER")
+    view = t("part").select("p_partkey", rules.approval(F.col("p_size"), match, 25).alias("first_view"))
+    return rules.ticked(view, t("part").select("p_partkey", (F.col("p_partkey") % 2 == 0).alias("keep")), "p_partkey")
+
+
+@query("SELECT DISTINCT l_orderkey, 'flag ' || l_returnflag AS text FROM lineitem WHERE l_linestatus = 'F' AND l_quantity >= 40")
+def sure_entities(t, spark):
+    """P20: entities of one label and a high score, each once."""
+    e = t("lineitem").select("l_orderkey", F.col("l_linestatus").alias("label"), (F.col("l_quantity") / 50).alias("score"), F.concat(F.lit("flag "), F.col("l_returnflag")).alias("text"))
+    return rules.sure_entities(e, "l_orderkey", "F", 0.8)
+
+
+@query("""SELECT user_id FROM events WHERE event_type = 'click' AND (contains(props, '7') OR contains(props, '42')) INTERSECT SELECT user_id FROM events WHERE event_type = 'view' AND contains(props, '9')""")
+def related_keys(t, spark):
+    """Any of the words of a predicate, all of the predicates."""
+    e = t("events").select("user_id", F.col("event_type").alias("rel"), F.col("props").alias("value"))
+    return rules.related(e, "user_id", {"click": ("7", "42"), "view": ("9",), "error": ()})
+
+
+@query("SELECT user_id, event_type, arg_min(event_id, event_id) AS first, arg_max(props, event_id) AS latest, count(*) AS offered FROM events GROUP BY ALL")
+def first_and_latest(t, spark):
+    """Relations of which the first stays, with how many were offered, and the latest record of each key."""
+    return t("events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first"), F.max_by("props", "event_id").alias("latest"), F.count("*").alias("offered"))
