@@ -15,7 +15,7 @@ from fieldloom.llm.decontamination import Lookup
 from fieldloom.llm.toxicity import FUNCTION_WORDS
 
 #: Rows used to fit the scorer, about, and the bytes of the longest text among them.
-FIT_ROWS, FIT_BYTES = 6000, 40_000
+FIT_ROWS, FIT_BYTES = 3000, 40_000
 SLOTS = 1 << 16
 #: Votes of a labeller.
 ABSTAIN, GOOD, BAD = 0, 1, 2
@@ -181,11 +181,13 @@ class LinearScorer:
         if not len(bad):
             return self
         buf, offsets = text_arrays(column)
-        w, slots = _features(buf, offsets)
-        doc = np.repeat(np.arange(len(bad)), w.count)
-        key, n = np.unique((doc[:, None] * SLOTS + slots).ravel(), return_counts=True)
-        row, col = key // SLOTS, key % SLOTS
-        x = n / np.maximum(w.count, 1)[row]
+        parts = []
+        for i, j in blocks(offsets, 1 << 19):  # little memory: the driver counts each block's features at once
+            w, slots = _features(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            doc = np.repeat(np.arange(i, j), w.count)
+            key, n = np.unique((doc[:, None] * SLOTS + slots).ravel(), return_counts=True)
+            parts.append(((key // SLOTS).astype(np.int32), (key % SLOTS).astype(np.int32), (n / np.maximum(w.count, 1)[key // SLOTS - i]).astype(np.float32)))
+        row, col, x = (np.concatenate(c) for c in zip(*parts, strict=True))
         cost = np.where(bad > 0.5, 0.5 / max(1e-6, (bad > 0.5).mean()), 0.5 / max(1e-6, (bad <= 0.5).mean())) / len(bad)
         seen, off_seen = np.full(SLOTS, 1e-8), 1e-8
         for _ in range(rounds):
