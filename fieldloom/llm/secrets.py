@@ -167,7 +167,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def _worth_reading(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Whether each text may hold a span: a colon or equals sign, or a run of candidate characters that has a digit or 24 of them."""
+    """Whether each text may hold a span: a colon or equals sign, or a run of 16 candidate characters that has a digit or 20 of
+    them in all, as an access key without a digit may have."""
     sums = lambda mask: np.concatenate([[0], np.cumsum(mask)])
     mark = sums((raw == 58) | (raw == 61))
     inside = _RUN_BYTES[raw]
@@ -178,7 +179,7 @@ def _worth_reading(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     long_ = end - start >= 16
     start, end = start[long_], end[long_]
     digits = sums(_DIGIT[raw])
-    use = (digits[end] > digits[start]) | (end - start >= 24)
+    use = (digits[end] > digits[start]) | (end - start >= 20)
     out = mark[offsets[1:]] > mark[offsets[:-1]]
     # a run may reach over the end of a text into the next one
     for d in (np.searchsorted(offsets, start[use], "right") - 1, np.searchsorted(offsets, end[use] - 1, "right") - 1):
