@@ -86,24 +86,51 @@ def _majority(h: np.ndarray, doc: np.ndarray, head: np.ndarray) -> np.ndarray:
     return out
 
 
+def _shingle_sets(w: Words, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and document of the distinct shingles of each document, and each document's first one. Hashes are made from the words'
+    own, all at once; a text of fewer words differs from one that repeats its last word."""
+    first, last, doc, head = _runs(w, shingle)
+    if not len(first):
+        return np.zeros(0, _U), doc, head
+    h = (last - first).astype(_U)
+    for k in range(shingle):
+        h = mix(h * _U(0x9E3779B97F4A7C15) + w.hash[np.minimum(first + k, last)] + _U(k))
+    order = np.lexsort((h, doc))
+    h = h[order]
+    once = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])  # doc is in order already
+    doc = doc[once]
+    return h[once], doc, np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(w.count)))])
+
+
 def sketches(column: pa.Array, near: int = 3, shingle: int = 5, words: int = SKETCH) -> np.ndarray:
     """A row for each text: a fingerprint of shorter shingles, by which candidates meet, and a wide one of `words` times 64 bits of
-    the shingles that count, whose distance tells their similarity. Hashes are made from the words' own, all at once."""
+    the shingles that count, whose distance estimates their similarity. Each distinct shingle counts once."""
     buf, offsets = text_arrays(column)
     out = np.zeros((len(column), 1 + words), _U)
     for i, j in blocks(offsets):
         w = Words(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], NOT_SPACE)
         for at, size in ((slice(0, 1), near), (slice(1, None), shingle)):
-            first, last, doc, head = _runs(w, size)
-            h = np.zeros(len(first), _U)
-            for k in range(size):
-                use = np.minimum(first + k, last)
-                h = mix(h * _U(0x9E3779B97F4A7C15) + w.hash[use] + _U(k)) if len(w) else h
+            h, doc, head = _shingle_sets(w, size)
             for c in range(*at.indices(1 + words)):
                 out[i:j, c] = _majority(mix(h + _U(c)), doc, head)
     return out
 
 
+def similarities(one: pa.Array, other: pa.Array, shingle: int = 5) -> np.ndarray:
+    """The Jaccard similarity of the sets of shingles of the texts of each row; 1 where both have no words."""
+    (buf, offsets), (buf2, offsets2) = text_arrays(one), text_arrays(other)
+    out = np.ones(len(one))
+    for i, j in blocks(offsets + offsets2):
+        sets = [_shingle_sets(Words(b[o[i] : o[j]], o[i : j + 1] - o[i], NOT_SPACE), shingle) for b, o in ((buf, offsets), (buf2, offsets2))]
+        h, doc = (np.concatenate([s[k] for s in sets]) for k in (0, 1))
+        order = np.lexsort((h, doc))
+        h, doc = h[order], doc[order]
+        both = np.bincount(doc[1:][(h[1:] == h[:-1]) & (doc[1:] == doc[:-1])], minlength=j - i)
+        every = np.bincount(doc, minlength=j - i) - both
+        out[i:j] = np.where(every > 0, both / np.maximum(every, 1), 1.0)
+    return out
+
+
 def with_fingerprint(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = 3, seed: int = 42) -> DataFrame:
     """The columns keep of df, and fp, the fingerprint of text as a signed long."""
     schema = df.select(*keep).schema.add("fp", "long")
@@ -130,39 +157,56 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = up
 
 
-def linked(fp: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int, wide: np.ndarray | None = None, wide_radius: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def linked(fp: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int, wide: np.ndarray | None = None, wide_radius: int = 0, apart: np.ndarray | None = None, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest, as positions, of the links at most radius bits apart within each group.
 
     Rows are sorted by group. Where a group has both sides 0 and 1, only rows of different sides are compared. Groups are cut
     in tiles ordered by population count; tile pairs whose counts differ beyond the radius are skipped, the others are compared
     in full by exclusive-or and bit count. With wide fingerprints, a link must be within wide_radius by them as well.
+
+    With apart, these are no forest but all links between rows that differ in it, or with nearest each row's closest one by the
+    wide fingerprints.
     """
     fp = fp.view(_U)
     ones = np.bitwise_count(fp).astype(np.int64)
     order = np.lexsort((ones, side, group))
     fp, ones, group, side = fp[order], ones[order], group[order], side[order]
     wide = None if wide is None else wide[order].view(_U)
+    apart = None if apart is None else apart[order]
     bound = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(fp) else np.zeros(1, np.int64)
     size = np.diff(bound)
     mixed = side[bound[:-1]] != side[bound[1:] - 1] if len(size) else np.zeros(0, bool)
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    pairs: list[tuple[np.ndarray, ...]] = []
     held = 0
 
     def forest() -> None:
         nonlocal pairs, held
-        x, y = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
+        x, y, far = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1, 2))
+        if apart is not None:
+            if nearest and len(x):
+                x, y, far = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([far, far])
+                best = np.lexsort((far, x))
+                best = best[np.concatenate([[True], x[best][1:] != x[best][:-1]])]
+                x, y, far = x[best], y[best], far[best]
+            pairs, held = [(x, y, far)], len(x) if nearest else 0
+            return
         used, both = np.unique(np.concatenate([x, y]), return_inverse=True)
         root = _roots(len(used), both[: len(x)], both[len(x) :])
         far = np.flatnonzero(root != np.arange(len(used)))
-        pairs, held = [(used[far], used[root[far]])], len(far)
+        pairs, held = [(used[far], used[root[far]], np.zeros(len(far), np.int64))], len(far)
 
     def found(x: np.ndarray, y: np.ndarray) -> None:
         nonlocal held
+        if apart is not None:
+            use = apart[x] != apart[y]
+            x, y = x[use], y[use]
+        far = np.zeros(len(x), np.int64)
         if wide is not None and len(x):
-            close = np.bitwise_count(wide[x] ^ wide[y]).sum(1) <= wide_radius
-            x, y = x[close], y[close]
+            far = np.bitwise_count(wide[x] ^ wide[y]).sum(1).astype(np.int64)
+            close = far <= wide_radius
+            x, y, far = x[close], y[close], far[close]
         if len(x):
-            pairs.append((x, y))
+            pairs.append((x, y, far))
             held += len(x)
             if held > 1 << 20:
                 forest()
@@ -190,7 +234,7 @@ def linked(fp: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int, wid
                 once = x < y
                 found(x[once], y[once])
     forest()
-    a, b = pairs[0]
+    a, b, _ = pairs[0]
     return order[a], order[b]
 
 
@@ -203,27 +247,29 @@ def key_masks(radius: int, spare: int = 2) -> list[int]:
     return [sum(block[i] for i in some) for some in combinations(range(n), spare)]
 
 
-def fingerprint_links(prints: DataFrame, radius: int = 3, spare: int = 2, node: str = "fp", wide: tuple[str, ...] = (), wide_radius: int = 0) -> DataFrame:
+def fingerprint_links(prints: DataFrame, radius: int = 3, spare: int = 2, node: str = "fp", wide: tuple[str, ...] = (), wide_radius: int = 0, apart: str = "", nearest: bool = False) -> DataFrame:
     """a, b: links that span each component of the distinct rows whose fingerprints (column fp) are at most radius bits apart, and
-    whose wide ones, if named, at most wide_radius; named by a column of longs.
+    whose wide ones, if named, at most wide_radius; named by a column of longs. With apart, a column of longs, the links between
+    rows that differ in it (see linked).
 
     Fingerprints meet under keys that lose no link (key_masks). A key that over DEAL fingerprints share is dealt out: they are
     split by hash into parts, and each pair of parts is a group of its own, so that no task grows with the key.
     """
     spark = prints.sparkSession
     signed = [m - (1 << 64) if m >> 63 else m for m in key_masks(radius, spare)]
-    rows = prints.select(F.col(node).alias("node"), "fp", *wide)
+    more = (*wide, apart) if apart else wide
+    rows = prints.select(F.col(node).alias("node"), "fp", *more)
     meet = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("mask", "key")
     crowd = rows.select("fp", meet).groupBy("mask", "key").count().where("count > 1").withColumn("parts", F.ceil(F.col("count") / DEAL).cast("int")).select("mask", "key", "parts")
-    met = rows.select("node", "fp", *wide, meet).join(crowd, ["mask", "key"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    met = rows.select("node", "fp", *more, meet).join(crowd, ["mask", "key"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("mask", "key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "node", "fp", (F.col("part") > F.col("other")).cast("int").alias("side"), *wide)
+    met = met.select("mask", "key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "node", "fp", (F.col("part") > F.col("other")).cast("int").alias("side"), *more)
     met = met.repartition(partitions(spark), "mask", "key", "p", "q").sortWithinPartitions("mask", "key", "p", "q")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(rows: np.ndarray) -> pa.RecordBatch:
             group = np.cumsum(np.concatenate([[0], (rows[1:, :4] != rows[:-1, :4]).any(1)]))
-            a, b = linked(rows[:, 5].copy(), group, rows[:, 6], radius, np.ascontiguousarray(rows[:, 7:]) if wide else None, wide_radius)
+            a, b = linked(rows[:, 5].copy(), group, rows[:, 6], radius, np.ascontiguousarray(rows[:, 7 : 7 + len(wide)]) if wide else None, wide_radius, rows[:, -1] if apart else None, nearest)
             return pa.RecordBatch.from_arrays([pa.array(rows[a, 4]), pa.array(rows[b, 4])], names=["a", "b"])
 
         held: list[np.ndarray] = []
@@ -270,13 +316,44 @@ def allowed_bits(similarity: float, bits: int = 64 * SKETCH) -> int:
     return int(np.floor(bits * share + np.sqrt(bits * share * (1 - share))))
 
 
+def alike(links: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The links (a, b) between texts (__th, __text) whose sets of shingles have a Jaccard similarity of at least so much."""
+    ends = links.select(F.col("a").alias("__th")).union(links.select("b")).distinct()
+    own = written(texts.join(ends, "__th", "left_semi").dropDuplicates(["__th"]), "linked-texts")
+    pairs = links.join(own.select(F.col("__th").alias("a"), F.col("__text").alias("__one")), "a").join(own.select(F.col("__th").alias("b"), F.col("__text").alias("__other")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(similarities(batch.column(2), batch.column(3), shingle) >= similarity))
+
+    return pairs.select("a", "b", "__one", "__other").mapInArrow(run, "a long, b long")
+
+
+def similar_components(classes: DataFrame, texts: DataFrame, radius: int, wide: tuple[str, ...], shingle: int, similarity: float) -> DataFrame:
+    """node, root: components of the candidate links that exact comparison confirms.
+
+    A forest of candidates will not do, as one that fails may stand for others that hold. Twice each text is compared with its
+    closest candidate outside its component, then with all that are left: few, unless many texts lie about the bound.
+    """
+    left, sure = classes.withColumn("__part", F.col("__th")), None
+    for nearest in (True, True, False):
+        found = fingerprint_links(left, radius, 2, "__th", wide, allowed_bits(similarity), "__part", nearest)
+        links = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+        held = written(alike(links, texts, shingle, similarity), "alike")
+        sure = held if sure is None else sure.union(held)
+        root = connected_components(sure)
+        ends = links.select(F.col("a").alias("__th")).union(links.select("b")).distinct()
+        left = classes.join(ends, "__th", "left_semi").join(root, F.col("__th") == F.col("node"), "left").withColumn("__part", F.coalesce("root", "__th")).drop("node", "root")
+    return root
+
+
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, near: int = 3, radius: int = 10) -> DataFrame:
     """The rows of df, with all their columns, of which one stands for each group of near-duplicates: that with the smallest doc_id
     (null last), then the smallest hash of its text; of rows alike in both, one. Null texts count as empty.
 
-    Groups are components of links between texts whose wide fingerprints of `shingle`-word shingles lie as close as those of texts
-    with the given similarity do (allowed_bits); candidates are texts whose 64-bit fingerprints of shorter shingles differ in at
-    most radius bits, which at that similarity is nearly all. Exact copies are one text from the start.
+    Groups are components of links between texts whose sets of `shingle`-word shingles have the given similarity (Jaccard) or more,
+    compared exactly. Candidates are texts whose 64-bit fingerprints of shorter shingles differ in at most radius bits and whose wide
+    ones lie as close as those of texts with that similarity do (allowed_bits). Exact copies are one text from the start.
     """
     wide = tuple(f"w{k}" for k in range(SKETCH))
     texts = df.select(F.col(doc_id).alias("__id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__th"), F.col(text).alias("__text"))
@@ -290,7 +367,7 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shing
     rows = written(texts.mapInArrow(run, schema), "sketches")
     rank = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__th").alias("th"))
     classes = written(rows.groupBy("__th").agg(F.min(rank).alias("__least"), *[F.min(c).alias(c) for c in ("fp", *wide)]), "texts")
-    root = connected_components(fingerprint_links(classes, radius, 2, "__th", wide, allowed_bits(similarity)))
+    root = similar_components(classes, texts.select("__th", F.coalesce("__text", F.lit("")).alias("__text")), radius, wide, shingle, similarity)
     joined = classes.join(root, classes["__th"] == root["node"], "left").select("__least", F.coalesce("root", "__th").alias("__root"))
     chosen = joined.groupBy("__root").agg(F.min("__least").alias("w")).select(F.coalesce(F.col("w.id").cast("string"), F.lit("")).alias("__wid"), F.col("w.th").alias("__wth"))
     # ids are long or string; the two parts together name one text, and of its equal rows the first stays

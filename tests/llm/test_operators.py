@@ -148,6 +148,24 @@ def test_one_of_each(spark, empty):
     assert simhash.allowed_bits(1.0) == 0 and simhash.allowed_bits(0.8) == 44
 
 
+def test_similarity_is_of_sets(spark):
+    r = random.Random(5)
+    fresh = lambda k: [f"{r.choice(WORDS)}{r.randrange(10**6)}" for _ in range(k)]
+    head, body = fresh(10), fresh(200)
+    pages = [" ".join(x for k in range(15) for x in [*head, *own[k * 14 : k * 14 + 14]]) for own in (fresh(210), fresh(210))]  # one header on 15 pages
+    repeated = [" ".join([*body, *body[:20] * n]) for n in (1, 30)]  # alike as sets, one with many repeats
+    near = fresh(200)
+    bound = [" ".join(near), " ".join([*near[:-28], *fresh(28)]), " ".join([*near[:-14], *fresh(14)])]  # similarity of the first two 0.75, of the last to the first 0.87
+    texts = [*pages, *repeated, *bound, "one two", "one two two two two", None, " ", *(" ".join(fresh(40)) for _ in range(5))]
+    pairs = [(x, y) for x in texts for y in texts]
+    sets = [[shingle_set(t) for t in pair] for pair in pairs]
+    got = simhash.similarities(pa.array([x for x, _ in pairs]), pa.array([y for _, y in pairs]))
+    assert got.tolist() == [len(x & y) / len(x | y) for x, y in sets]
+    df = spark.createDataFrame([(i, t, "en", "s", 1, "", "", 1) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(df).collect()) == [0, 1, 2, 4, 5, 7, 8, 9, *range(11, 16)]
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(df.where("doc_id in (4, 6)")).collect()) == [4]
+
+
 # Benchmark windows
 
 
