@@ -56,6 +56,21 @@ def nearest_before(points: DataFrame, marks: DataFrame, key: str, at: str, value
     return seen.where("__m = 0").select(*points.columns, F.when(near, F.col("__last.v")).alias(f"near_{value}"))
 
 
+def nearest(points: DataFrame, marks: DataFrame, key: str, at: str, value: str, within: float) -> DataFrame:
+    """points with the value of the mark of least distance on either side, if not farther than `within`; ties: the earlier mark, of
+    marks at one place the smallest value. Two running windows, one in each direction; no pair is ever made."""
+    places = marks.where(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(key, at).agg(F.min(value).alias("__v"))
+    both = points.withColumn("__v", F.lit(None).cast(dict(marks.dtypes)[value])).withColumn("__m", F.lit(0))
+    mark = places.select(*[F.col(c) if c in (key, at) else F.lit(None).cast(t).alias(c) for c, t in points.dtypes], "__v", F.lit(1).alias("__m"))
+    own = F.when(F.col("__m") == 1, F.struct(F.col(at).alias("at"), F.col("__v").alias("v")))
+    seen = both.unionByName(mark)
+    for name, order in (("__before", F.col(at).asc()), ("__after", F.col(at).desc())):
+        seen = seen.withColumn(name, F.last(own, ignorenulls=True).over(Window.partitionBy(key).orderBy(order, F.col("__m").desc()).rowsBetween(Window.unboundedPreceding, 0)))
+    before, after = F.col(at) - F.col("__before.at"), F.col("__after.at") - F.col(at)
+    first = (before <= within) & F.coalesce(before <= after, F.lit(True))
+    return seen.where("__m = 0").select(*points.columns, F.when(first, F.col("__before.v")).when(after <= within, F.col("__after.v")).alias(f"near_{value}"))
+
+
 def fill_from_box(df: DataFrame, boxes: DataFrame, code: Column, lat: str, lon: str) -> DataFrame:
     """Coordinates checked against, or filled with the centre of, the box (key, lat_min, lat_max, lon_min, lon_max) of a code."""
     j = df.withColumn("__code", code).join(boxes, F.col("__code") == F.col("key"), "left")

@@ -197,6 +197,15 @@ def nearest_before(t, spark):
     return lookup.nearest_before(e, marks, "user_id", "event_id", "mark", 500)
 
 
+@query("""SELECT e.event_id, e.user_id, arg_min(m.id, 2 * abs(m.id - e.event_id) + CASE WHEN m.id > e.event_id THEN 1 ELSE 0 END) AS near_mark
+    FROM events e LEFT JOIN (SELECT user_id AS u, event_id AS id FROM events WHERE event_type = 'signup') m ON e.user_id = m.u AND abs(m.id - e.event_id) <= 500 GROUP BY e.event_id, e.user_id""")
+def nearest_mark(t, spark):
+    """For each row the nearest mark on either side, within a distance, the earlier of two equally near."""
+    e = t("events").select("event_id", "user_id")
+    marks = t("events").where("event_type = 'signup'").select("user_id", "event_id", F.col("event_id").alias("mark"))
+    return lookup.nearest(e, marks, "user_id", "event_id", "mark", 500)
+
+
 @query("""SELECT n_nationkey, s_suppkey FROM (SELECT n_nationkey, s_suppkey, row_number() OVER (PARTITION BY n_nationkey ORDER BY CASE WHEN s_acctbal > 0 THEN 0 ELSE 1 END, s_acctbal DESC, s_suppkey) AS rn FROM nation JOIN supplier ON s_nationkey = n_nationkey) WHERE rn = 1""")
 def ranked_candidate(t, spark):
     """The best candidate of a lookup by class, then size."""

@@ -75,6 +75,13 @@ def test_nearest_before(spark):
     assert {(r["k"], r["at"]): r["near_v"] for r in lookup.nearest_before(points, marks, "k", "at", "v", 10).collect()} == {("k", 5.0): "b", ("k", 30.0): None, ("m", 1.0): None}
 
 
+def test_nearest_on_either_side(spark):
+    points = spark.createDataFrame([("k", 5.0), ("k", 30.0), ("k", 8.0), ("k", 7.0), ("k", None), ("m", 1.0), (None, 1.0)], "k string, at double")
+    marks = spark.createDataFrame([("k", 4.0, "a"), ("k", 10.0, "d"), ("k", 10.0, "c"), ("m", 2.0, "e"), ("m", None, "f"), (None, 3.0, "g")], "k string, at double, v string")
+    expected = {("k", 5.0): "a", ("k", 30.0): None, ("k", 8.0): "c", ("k", 7.0): "a", ("k", None): None, ("m", 1.0): "e", (None, 1.0): None}
+    assert {(r["k"], r["at"]): r["near_v"] for r in lookup.nearest(points, marks, "k", "at", "v", 10).collect()} == expected
+
+
 def test_packing_keeps_tables():
     table = "# Heading\n\n" + "\n".join("| a | b |" for _ in range(30))
     chunks = text.pack(text.keep_tables("intro\n\n" + table + "\n\nend"), 60)
