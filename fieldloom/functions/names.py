@@ -63,9 +63,11 @@ def is_life_stage(c: Column, terms: tuple[str, ...] = LIFE_STAGES) -> Column:
 
 
 def trigrams(c: Column) -> Column:
-    """Distinct three-character pieces of a text in lower case."""
+    """Distinct three-character pieces of a text in lower case, from its characters side by side: linear in its length."""
     n = F.lower(c)
-    return F.when(F.length(n) < 3, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(n) - 2), lambda i: F.substring(n, i, F.lit(3)))))
+    own, join = F.slice(F.split(n, ""), F.lit(1), F.length(n)), lambda a, b: F.concat(a, b)
+    pieces = F.zip_with(F.zip_with(own, F.slice(own, F.lit(2), F.length(n)), join), F.slice(own, F.lit(3), F.length(n)), join)
+    return F.when(F.length(n) < 3, F.array().cast("array<string>")).otherwise(F.array_distinct(F.filter(pieces, lambda p: p.isNotNull())))
 
 
 def trigram_score(c: Column, known: Column) -> Column:

@@ -124,6 +124,22 @@ def trigram_counts(t, spark):
     return t("documents").select("doc_id", F.size(names.trigrams(F.substring("text", 1, 200))).alias("n"))
 
 
+@query("""WITH k AS (SELECT list(DISTINCT substr(lower(n_name), i, 3)) AS known FROM nation, unnest(range(1, CAST(length(n_name) - 1 AS BIGINT))) AS u(i)),
+    o AS (SELECT p_partkey, list_distinct([substr(lower(p_name), i, 3) FOR i IN range(1, CAST(length(p_name) - 1 AS BIGINT))]) AS own FROM part)
+    SELECT p_partkey, CAST(len(own) AS INT) AS n, CASE WHEN len(own) > 0 THEN len(list_intersect(own, known)) / len(own) ELSE 0.0 END AS score FROM o, k""")
+def trigram_scores(t, spark):
+    """the share of a whole name's trigrams that occur in known names."""
+    known = t("nation").agg(F.array_distinct(F.flatten(F.collect_list(names.trigrams(F.col("n_name"))))).alias("known"))
+    own = F.col("p_name")
+    return t("part").crossJoin(F.broadcast(known)).select("p_partkey", F.size(names.trigrams(own)).alias("n"), names.trigram_score(own, F.col("known")).alias("score"))
+
+
+@query("SELECT doc_id, len(list_distinct([substr(lower(text), i, 3) FOR i IN range(1, CAST(length(text) - 1 AS BIGINT))])) AS n FROM documents")
+def trigram_counts_whole(t, spark):
+    """the distinct trigrams of a whole text."""
+    return t("documents").select("doc_id", F.size(names.trigrams(F.col("text"))).alias("n"))
+
+
 @query(r"SELECT doc_id, list_distinct(regexp_extract_all(text, '[A-Z][a-z]+ [a-z]{4,}'))  IS NOT NULL AS any_, len(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+ [a-z]{4,}'))) AS n FROM documents")
 def binomials(t, spark):
     """Two-part names by pattern, each once."""

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from fieldloom.functions import calls, geo, names, repair, values
 from fieldloom.operators import articles, dedup, graph, lookup, memory, records, review_rules, text
 from fieldloom.streaming import state
+from fieldloom.plans import graph_queries, rule_queries, text_queries  # noqa: F401
+from fieldloom.plans.registry import QUERIES
 
 
 def one(spark, column, **given):
@@ -82,6 +84,14 @@ def test_nearest_on_either_side(spark):
     assert {(r["k"], r["at"]): r["near_v"] for r in lookup.nearest(points, marks, "k", "at", "v", 10).collect()} == expected
 
 
+def test_trigrams_of_whole_texts(spark, tmp_path):
+    spark.createDataFrame([(1, "a" * 250 + "xyz"), (2, "ab"), (3, None)], "doc_id int, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("ABCD",), ("bcde",)], "n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    spark.createDataFrame([(1, "Abcx"), (2, "ab"), (3, "x" * 250 + "CDE")], "p_partkey int, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    assert {r["doc_id"]: r["n"] for r in QUERIES["trigram_counts_whole"](spark, str(tmp_path)).where("doc_id < 3").collect()} == {1: 4, 2: 0}
+    assert {r["p_partkey"]: (r["n"], r["score"]) for r in QUERIES["trigram_scores"](spark, str(tmp_path)).collect()} == {1: (2, 0.5), 2: (0, 0.0), 3: (4, 0.25)}
+
+
 def test_packing_keeps_tables():
     table = "# Heading\n\n" + "\n".join("| a | b |" for _ in range(30))
     chunks = text.pack(text.keep_tables("intro\n\n" + table + "\n\nend"), 60)
