@@ -41,9 +41,10 @@ def density(edges: DataFrame, n_nodes: int) -> DataFrame:
     return pairs.agg((2 * F.count("*") / F.lit(float(max(1, n_nodes * (n_nodes - 1))))).alias("density"))
 
 
-def top_by_degree(edges: DataFrame, k: int) -> DataFrame:
-    """The k nodes of most edges, ties by node_id: a report of bounded size."""
-    return degrees(edges).orderBy(F.desc("degree"), "node_id").limit(k)
+def top_by_degree(edges: DataFrame, k: int, among: DataFrame | None = None) -> DataFrame:
+    """The k nodes of most edges, ties by node_id, among those of a table of node_id if given: a report of bounded size."""
+    found = degrees(edges)
+    return (found if among is None else found.join(among.select("node_id").distinct(), "node_id", "left_semi")).orderBy(F.desc("degree"), "node_id").limit(k)
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -60,6 +60,20 @@ def induced_subgraph(t, spark):
     return graph.induced(_edges(t), nodes).select("src", "rel", "tgt")
 
 
+_LOCATED = "SELECT 'S' || s_suppkey AS src, 'LOCATED_IN' AS rel, 'N' || s_nationkey AS tgt FROM supplier"
+
+
+@query(f"""WITH e AS (SELECT DISTINCT * FROM ({_FOUND} UNION ALL {_LOCATED})), d AS (SELECT node_id, count(*) AS degree FROM (SELECT src AS node_id FROM e UNION ALL SELECT tgt FROM e) GROUP BY node_id),
+    n AS (SELECT node_id FROM d WHERE substr(node_id, 1, 1) IN ('P', 'S') ORDER BY degree DESC, node_id LIMIT 200) SELECT * FROM e WHERE src IN (SELECT node_id FROM n) AND tgt IN (SELECT node_id FROM n)""")
+def induced_top_subgraph(t, spark):
+    """K6: the part of a graph between its 200 nodes of most edges in the whole graph, of the kinds asked for."""
+    located = t("supplier").select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("src"), F.lit("LOCATED_IN").alias("rel"), F.concat(F.lit("N"), F.col("s_nationkey")).alias("tgt"))
+    edges = _edges(t).unionByName(graph.upsert_edges(located))
+    ends = edges.select(F.col("src").alias("node_id")).union(edges.select("tgt")).distinct()
+    nodes = graph.top_by_degree(edges, 200, ends.where(F.substring("node_id", 1, 1).isin("P", "S")))
+    return graph.induced(edges, nodes).select("src", "rel", "tgt")
+
+
 @query("SELECT 'S' || l_suppkey AS tgt, array_to_string(list_sort(list(DISTINCT p_name)), ',') AS labels FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey")
 def species_at_place(t, spark):
     """The names found at each place, in order."""

@@ -46,6 +46,16 @@ def merged_spans(t, spark):
     return rules.merged_spans(s, "user_id", 200).drop("run")
 
 
+@query("""WITH s AS (SELECT user_id, event_id AS a, event_id + 3 AS b, event_type AS label FROM events),
+    f AS (SELECT *, CASE WHEN lag(label) OVER w = label AND a - lag(b) OVER w <= 200 THEN 0 ELSE 1 END AS new FROM s WINDOW w AS (PARTITION BY user_id ORDER BY a)),
+    r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY a) AS run FROM f)
+    SELECT user_id, label, min(a) AS start, max(b) AS "end", count(*) AS pieces FROM r GROUP BY user_id, run, label""")
+def merged_spans_all(t, spark):
+    """neighbouring pieces of the same label as one, of all events."""
+    s = t("events").select("user_id", F.col("event_id").alias("start"), (F.col("event_id") + 3).alias("end"), F.col("event_type").alias("label"))
+    return rules.merged_spans(s, "user_id", 200).drop("run")
+
+
 @query("""SELECT doc_id, w AS name FROM (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS w FROM documents) WHERE w IN ('the', 'hein', 'ung', 'para')""")
 def co_mentions(t, spark):
     """Texts that mention names, by a join on words."""

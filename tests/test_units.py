@@ -92,6 +92,16 @@ def test_trigrams_of_whole_texts(spark, tmp_path):
     assert {r["p_partkey"]: (r["n"], r["score"]) for r in QUERIES["trigram_scores"](spark, str(tmp_path)).collect()} == {1: (2, 0.5), 2: (0, 0.0), 3: (4, 0.25)}
 
 
+def test_all_spans_and_top_nodes(spark, tmp_path):
+    spark.createDataFrame([(1, k, "a") for k in (1, 3, 5)], "user_id int, event_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([(900, 70), (900, 80), (901, 70)], "l_partkey int, l_suppkey int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(70, 1), (80, 1)], "s_suppkey int, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    assert [(r["start"], r["end"], r["pieces"]) for r in QUERIES["merged_spans_all"](spark, str(tmp_path)).collect()] == [(1, 8, 3)]
+    assert {(r["src"], r["tgt"]) for r in QUERIES["induced_top_subgraph"](spark, str(tmp_path)).collect()} == {("P900", "S70"), ("P900", "S80"), ("P901", "S70")}
+    edges = spark.createDataFrame([("P1", "N1"), ("P2", "N1"), ("P2", "N2")], "src string, tgt string")
+    assert [r["node_id"] for r in graph.top_by_degree(edges, 1, spark.createDataFrame([("P1",), ("P2",)], "node_id string")).collect()] == ["P2"]
+
+
 def test_packing_keeps_tables():
     table = "# Heading\n\n" + "\n".join("| a | b |" for _ in range(30))
     chunks = text.pack(text.keep_tables("intro\n\n" + table + "\n\nend"), 60)
