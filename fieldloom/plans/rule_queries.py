@@ -63,6 +63,13 @@ def co_mentions(t, spark):
     return rules.co_mentions(t("documents"), names, "doc_id", "text", "name")
 
 
+@query()
+def sentence_mentions(t, spark):
+    """Sentences that contain names of two words, of a table: those that benchmark items begin with."""
+    names = t("benchmark").select(F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("name"))
+    return rules.sentence_mentions(t("documents"), names, "doc_id", "text", "name")
+
+
 @query("SELECT n_nationkey, 'Harbour' AS one, 'Long Bay' AS two FROM nation")
 def station_map(t, spark):
     """Station ids resolved to the places they stand for."""

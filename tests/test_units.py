@@ -102,6 +102,12 @@ def test_all_spans_and_top_nodes(spark, tmp_path):
     assert [r["node_id"] for r in graph.top_by_degree(edges, 1, spark.createDataFrame([("P1",), ("P2",)], "node_id string")).collect()] == ["P2"]
 
 
+def test_sentence_mentions(spark):
+    texts = spark.createDataFrame([(1, "We saw ELYSIA obtusa here. Elysia was there! No obtusa."), (2, "Elysia. obtusa"), (3, None)], "d int, t string")
+    names = spark.createDataFrame([("Elysia obtusa",), ("Elysia obtusa",), ("elysia",), (None,)], "name string")
+    assert sorted((r["d"], r["sentence"], r["name"]) for r in review_rules.sentence_mentions(texts, names, "d", "t", "name").collect()) == [(1, 0, "Elysia obtusa"), (1, 0, "elysia"), (1, 1, "elysia"), (2, 0, "elysia")]
+
+
 def test_packing_keeps_tables():
     table = "# Heading\n\n" + "\n".join("| a | b |" for _ in range(30))
     chunks = text.pack(text.keep_tables("intro\n\n" + table + "\n\nend"), 60)
