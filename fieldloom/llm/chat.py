@@ -75,8 +75,22 @@ def render(turns: Iterable[Turn], template: Template = default_template, learn:
     The template is a black box. RewritesHistory is raised where a prefix's output does not begin with the shorter one's. Of a
     learnt turn, rendering it with two one-letter texts shows the frame: all that both outputs have in common.
     A conversation of over `window` turns goes on with the latter half of them as context, so that cost stays linear; the half
-    must add the same as it did before, else the template depends on turns long past and the whole prefix is rendered.
+    must add the same as it did before, else the template depends on turns long past and the whole prefix is rendered. At the end
+    the whole conversation is rendered once; where that differs, or windows fail, all prefixes are.
     """
+    turns = list(turns)
+    if len(turns) > window:
+        try:
+            out = _rendered(turns, template, learn, window)
+            if out.text == template(turns):
+                return out
+        except Exception:  # the template's own: it may need the turns that a window leaves out
+            pass
+        window = len(turns)
+    return _rendered(turns, template, learn, window)
+
+
+def _rendered(turns: list[Turn], template: Template, learn: tuple[str, ...], window: int) -> Rendered:
     out, parts, at = Rendered(), [], 0
     context: list[Turn] = []
     before, history = template([]), []

@@ -148,6 +148,21 @@ def test_one_of_each(spark, empty):
     assert simhash.allowed_bits(1.0) == 0 and simhash.allowed_bits(0.8) == 44
 
 
+def test_chat_long_templates():
+    line = lambda t: f"<{t[0]}>{t[1]}\n"
+    turns = [("system", "s"), *[(("user", "assistant")[k % 2], f"text {k}") for k in range(149)]]
+    with pytest.raises(chat.RewritesHistory):
+        chat.render(turns, lambda ts: "".join(map(line, ts[-100:])))
+
+    def opening(ts):
+        if ts and ts[0][0] != "system":
+            raise ValueError("no system turn")
+        return "".join(map(line, ts))
+
+    assert chat.render(turns, opening).text == opening(turns)
+    assert len(chat.render(turns, opening).spans) == len(turns)
+
+
 def test_similarity_is_of_sets(spark):
     r = random.Random(5)
     fresh = lambda k: [f"{r.choice(WORDS)}{r.randrange(10**6)}" for _ in range(k)]
