@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm._arrays import LOWER, NOT_SPACE, Words, blocks, byte_class, mix, text_arrays
@@ -15,7 +15,7 @@ from fieldloom.llm.decontamination import Lookup
 from fieldloom.llm.toxicity import FUNCTION_WORDS
 
 #: Rows used to fit the scorer, about, and the bytes of the longest text among them.
-FIT_ROWS, FIT_BYTES = 3000, 40_000
+FIT_ROWS, FIT_BYTES = 6000, 40_000
 SLOTS = 1 << 16
 #: Votes of a labeller.
 ABSTAIN, GOOD, BAD = 0, 1, 2
@@ -234,12 +234,17 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[La
     seen = docs.select(F.col(text).alias("__text")).mapInArrow(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
     model = LabelModel(np.array([r["pattern"] for r in seen], np.int64), np.array([r["n"] for r in seen], np.int64))
     total = sum(r["n"] for r in seen)
-    some = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).where(hash_share(F.coalesce(F.col("__id").cast("string"), F.lit("")), FIT_ROWS / max(1, total)) & (F.octet_length("__text") <= FIT_BYTES))
+    some = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).where(fit_share(F.col("__id"), F.col("__text"), FIT_ROWS / max(1, total)) & (F.octet_length("__text") <= FIT_BYTES))
     rows = some.limit(2 * FIT_ROWS).toArrow().sort_by([("__id", "ascending"), ("__text", "ascending")])
     texts = rows.column("__text").combine_chunks()
     return model, LinearScorer().fit(texts, model.posterior(_patterns(texts)))
 
 
+def fit_share(ident: Column, text: Column, share: float) -> Column:
+    """Whether a row is learnt from, by a hash of id and text: rows of one id, or without, do not enter together."""
+    return hash_share(F.xxhash64(F.coalesce(ident.cast("string"), F.lit("")), text), share)
+
+
 def score_quality(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), doc_id: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
     """The columns keep, quality (0 to 1), label_quality (the label model's posterior) and kept (quality >= least).
 

@@ -148,6 +148,12 @@ def test_one_of_each(spark, empty):
     assert simhash.allowed_bits(1.0) == 0 and simhash.allowed_bits(0.8) == 44
 
 
+def test_quality_fit_share(spark):
+    assert quality.FIT_ROWS == 6000
+    df = spark.range(4000).select(F.lit(None).cast("long").alias("i"), F.concat(F.lit("text "), F.col("id")).alias("t"))
+    assert 0.2 < df.where(quality.fit_share(F.col("i"), F.col("t"), 0.25)).count() / 4000 < 0.3
+
+
 def test_chat_long_templates():
     line = lambda t: f"<{t[0]}>{t[1]}\n"
     turns = [("system", "s"), *[(("user", "assistant")[k % 2], f"text {k}") for k in range(149)]]
