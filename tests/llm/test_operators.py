@@ -145,7 +145,63 @@ def test_one_of_each(spark, empty):
     assert kept.columns == df.columns
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 7), *((False, 100 + i) for i in range(30)), *((False, 400 + i) for i in range(20, 25)), (False, 500), (True, 0)]
     assert simhash.one_of_each(empty).count() == 0
-    assert simhash.allowed_bits(1.0) == 0 and simhash.allowed_bits(0.8) == 44
+    assert simhash.allowed_bits(1.0, 512, 2.5) == 0
+
+
+def edited(r, words, share):
+    """The words with runs of them replaced, dropped or added, about a share of all."""
+    words, left = list(words), max(1, round(share * len(words)))
+    while left > 0:
+        k = min(left, r.randrange(1, 4))
+        at = r.randrange(len(words))
+        words[at : at + r.choice([0, k, k])] = [f"w{r.randrange(10**6)}" for _ in range(r.choice([0, k, k]))]
+        left -= k
+    return words
+
+
+def test_recall_of_candidates():
+    """Of pairs at a similarity just over the bound, in texts of few and many words, nearly all are candidates."""
+    r = random.Random(12)
+    tight, radius = (simhash.allowed_bits(0.8, 64 * simhash.SKETCH, 2.5, s) for s in (False, True))
+    for n in (8, 20, 45, 150, 500):
+        one = [[f"w{r.randrange(10**6)}" for _ in range(n + 4)] for _ in range(600)]
+        other = [" ".join(edited(r, w, r.random() * 0.06)) for w in one]
+        one = [" ".join(w) for w in one]
+        sim = simhash.similarities(pa.array(one), pa.array(other))
+        assert sim.tolist() == [len(x & y) / len(x | y) for x, y in zip(map(shingle_set, one), map(shingle_set, other), strict=True)]
+        a, b = simhash.sketches(pa.array(one)), simhash.sketches(pa.array(other))
+        found = (a[1] == b[1]).any(1) & simhash.close_sets(a[0], b[0], np.minimum(a[2], b[2]), radius, tight)
+        found &= np.bitwise_count(a[0][:, :4] ^ b[0][:, :4]).sum(1) <= simhash.allowed_bits(0.8, 256, 4.5, True)
+        for lo, hi in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.01)):
+            some = (sim >= lo) & (sim < hi)
+            assert some.sum() < 20 or found[some].mean() >= 0.97, (n, lo)
+
+
+@pytest.mark.parametrize("deal", [4096, 16])
+def test_components_equal_brute_force(spark, monkeypatch, deal):
+    """Groups about the bound, in one task and dealt out to many."""
+    monkeypatch.setattr(simhash, "DEAL", deal)
+    r = random.Random(21)
+    texts = []
+    for size, n, share in ((120, 120, 0.09), (60, 40, 0.05), (30, 300, 0.04), (3, 60, 0.03), (2, 8, 0.1), (2, 5, 0.1), (40, 30, 0.4)):
+        base = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        texts += [" ".join(edited(r, base, r.random() * share)) for _ in range(size)]
+    sets = [shingle_set(t) for t in texts]
+    root = plain_components(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    df = spark.createDataFrame([(i, t, "en", "s", 1, "", "", 1) for i, t in enumerate(texts)], SCHEMA)
+    kept = {x["doc_id"] for x in simhash.one_of_each(df).collect()}
+    exact = {i for i, x in enumerate(root) if x == i}
+    assert exact <= kept  # nothing is linked below the bound
+    assert len(kept - exact) <= 0.02 * len(texts)
+
+
+def test_groups_are_read_whole():
+    keys = np.repeat([5, 7, 9, 9, 2], [3, 10, 1, 4, 6]).astype(np.int64)
+    for size in (1, 2, 3, 7, 50):
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + size]), pa.array(np.arange(i, min(i + size, len(keys))))], names=["k", "v"]) for i in range(0, len(keys), size)]
+        tables = list(simhash._by_group(iter(batches), 1))
+        assert np.concatenate([t.column("v").to_numpy() for t in tables]).tolist() == list(range(len(keys)))
+        assert all(a.column("k")[-1] != b.column("k")[0] for a, b in zip(tables, tables[1:], strict=False))
 
 
 def test_quality_fit_share(spark):
