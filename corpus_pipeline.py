@@ -1,7 +1,8 @@
 """The corpus pipeline: quality, near-duplicates, benchmark passages, personal data, and the mix of sources, in this order.
 
-Each stage takes (spark, docs, sf_dir) and returns a table with the columns of documents (the last one: the mix). It works on
-all rows its predecessor kept. Rows with a null id are documents of their own, told apart by their text.
+Each stage takes (spark, docs, sf_dir) and returns a table with the columns of documents, extra ones included (the last one: the
+mix). It works on all rows its predecessor kept; an empty table gives an empty one. Rows with a null id are documents of their own,
+told apart by their text.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import decontamination, mixing, pii, quality, simhash
-from fieldloom.llm._spark import written
+from fieldloom.llm._spark import dropped, written
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,12 +28,12 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark windows hit no word, or under one word in twenty."""
+    """Documents of which benchmark windows hit no word, or under one word in twenty; null and empty texts stay."""
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind, n_chars counted anew."""
+    """All documents, repeated rows included, personal data replaced by its kind, n_chars counted anew; a null text stays null."""
     return pii.mask_pii(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -49,9 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages one after the other; what a stage gave is deleted once the next one's result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(docs, name.replace(" ", "-"))
-    return docs
+    for name, stage in STAGES[:-1]:
+        before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        dropped(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
