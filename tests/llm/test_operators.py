@@ -395,6 +395,51 @@ def test_neighbours(spark, factor, least):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def plain_nearest(ids, x, asked, k):
+    """By rows: the score summed in order, then the smaller id."""
+    out = {}
+    for q in asked:
+        score = np.cumsum(x[ids.index(q)] * x, axis=1)[:, -1]
+        out[q] = [i for _, i in sorted((-s, i) for s, i in zip(score.tolist(), ids, strict=True) if i != q)[:k]]
+    return out
+
+
+def test_neighbours_that_tie_and_long_vectors(spark):
+    r = np.random.default_rng(7)
+    whole = r.integers(-1, 2, (900, 16)).astype(float)
+    long = r.standard_normal((400, 8))
+    for x in (whole, np.round(long, 1), np.vstack([long * 10.0 ** r.integers(-3, 4, (400, 1)), long[:1] * 1e15, long[1:2] * 1e12, long[2:3] * 1e-12]), np.ones((60, 3)), np.vstack([long, long[:2] * 1e30])):
+        x = x[np.abs(x).sum(1) > 0]
+        ids = list(range(len(x)))
+        r.shuffle(ids)
+        expected = plain_nearest(ids, x, [i for i in ids if i % 20 == 0], 20)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+        got = {}
+        for g in ann.nearest(df, df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
+            got.setdefault(g["query_id"], []).append(g["vec_id"])
+        assert got == expected
+
+
+def test_one_tree_serves_all_queries(monkeypatch):
+    """What is held is cut to the best while points tie; a relaxed factor visits fewer points."""
+    monkeypatch.setattr(ann, "HELD", 200)
+    r = np.random.default_rng(3)
+    x = r.integers(-1, 2, (600, 6)).astype(float)
+    x = x[np.abs(x).sum(1) > 0]
+    ids = np.arange(len(x))
+    q, found, _ = ann.Shard(ids, x).nearest(ids[:50], x[:50], 5, 1.0)
+    expected = plain_nearest(ids.tolist(), x, range(50), 5)
+    assert {i: found[q == i].tolist() for i in range(50)} == expected
+    y = r.standard_normal((4000, 4))
+    seen = {}
+    for factor in (1.0, 1.3):
+        shard = ann.Shard(np.arange(4000), y)
+        q, found, _ = shard.nearest(np.arange(100), y[:100], 20, factor)
+        exact = plain_nearest(list(range(4000)), y, range(100), 20)
+        seen[factor] = shard.visited, np.mean([len({*found[q == i]} & {*exact[i]}) / 20 for i in range(100)])
+    assert seen[1.0][1] == 1 and seen[1.3][1] >= 0.9 and seen[1.3][0] < seen[1.0][0] < 0.6 * 4000 * 100
+
+
 # Mixing
 
 
