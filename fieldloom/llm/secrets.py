@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm._arrays import blocks, byte_class, text_arrays
-from fieldloom.llm._spark import extended
+from fieldloom.llm._spark import extended, hash_share
 
 #: The base kinds, by pattern: assignments (group 2 of 6 characters or more), access keys of 20 or more, hex runs of 24 or more.
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -20,10 +20,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 BASE = ("assign", "access", "hex")
 #: Spans that the network alone finds.
 FOUND = "found"
-#: Candidates of the network: runs of these characters, of so many, with a digit.
+#: Candidates of the network: runs of these characters, of so many.
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 _RUN_BYTES = byte_class(r"[A-Za-z0-9+/_.=-]")
-_DIGIT = byte_class("[0-9]")
+#: Documents, about, from whose candidates the network learns as well, and candidates of each.
+FIT_DOCS, FIT_EACH = 6000, 4
 #: Characters seen before a candidate, of it and after it; of a longer candidate every stretch of INSIDE is seen and the best counts.
 BEFORE, INSIDE, AFTER = 24, 48, 8
 LENGTH = BEFORE + INSIDE + AFTER
@@ -136,6 +137,7 @@ def labelled_findings(n: int = 2400, seed: int = 17) -> tuple[list[tuple[str, in
         lambda: "/".join([word(2), word(2), pick(digit, 4), word(2) + ".html"]), lambda: f"20{pick(digit, 2)}-{pick('01', 1)}{pick('012', 1)}-{pick('012', 1)}{pick(digit, 1)}T{pick('01', 1)}{pick(digit, 1)}.{pick('0123', 1)}{pick(digit, 1)}.00",
         lambda: pick(digit, int(r.integers(16, 22))), lambda: ".".join(pick(digit, int(r.integers(1, 4))) for _ in range(int(r.integers(6, 9)))), lambda: pick("-=._", 1) * int(r.integers(16, 40)) + pick(digit, 1),
         lambda: word(3) + "." + word(3) + "." + pick(digit, 2) + ".example.com", lambda: word(2) + "-v" + ".".join(pick(digit, 1) for _ in range(3)) + "-" + word(3) + ".tar.gz", lambda: word(4).upper() + "_" + word(4).upper() + pick(digit, 1),
+        lambda: word(int(r.integers(6, 10))), lambda: word(int(r.integers(6, 10))).upper(), lambda: word(3).capitalize() + r.choice([".", "-", "/", "="]) + word(5), lambda: pick(lower + upper, 1) * int(r.integers(16, 60)),
     ]
     hint = ["key: ", "auth=", "Bearer ", "pwd = ", 'credential: "', "secret ", "x-api-key: ", "", "", ""]
     plain = ["see ", "file ", "version ", "page ", "http://www.", "id ", "", "", "", ""]
@@ -152,12 +154,48 @@ def labelled_findings(n: int = 2400, seed: int = 17) -> tuple[list[tuple[str, in
     return out, np.array(labels)
 
 
-def trained(seed: int = 3) -> SecretNetwork:
-    """The network, trained on labelled_findings; the same at every run."""
+def trained(seed: int = 3, corpus: list[tuple[str, int, int, int]] | None = None) -> SecretNetwork:
+    """The network, trained on labelled_findings and on findings of the corpus (text, start, end, label); the same at every run.
+
+    Every second made-up finding stands between what surrounds a corpus finding, so that surroundings tell as little as they do there.
+    """
     rows, y = labelled_findings()
+    if corpus:
+        r = np.random.default_rng(seed)
+        for i in range(0, len(rows), 2):
+            k = i + int(r.integers(2))
+            t, a, b = rows[k]
+            own, x, z, _ = corpus[int(r.integers(len(corpus)))]
+            rows[k] = (own[:x] + t[a:b] + own[z:], x, x + b - a)
+        rows = rows + [c[:3] for c in corpus]
+        y = np.concatenate([y, [c[3] for c in corpus]])
+        order = r.permutation(len(rows))
+        rows, y = [rows[k] for k in order], y[order]
     return SecretNetwork(seed).fit(np.stack([_encoded(t, a, min(b, a + INSIDE))[0] for t, a, b in rows]), y)
 
 
+def corpus_findings(df: DataFrame, text: str = "text") -> list[tuple[str, int, int, int]]:
+    """Candidates, with their surroundings, of about FIT_DOCS texts chosen by hash, FIT_EACH of a text: one that a base span touches
+    is labelled a secret, any other is not. Repeated texts count once; the same rows at every run."""
+    docs = df.select(F.col(text).alias("__text")).where("__text is not null")
+    n = docs.count()
+    some = docs.where(hash_share(F.col("__text"), FIT_DOCS / max(1, n)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t in b.column(0).to_pylist():
+                base = base_spans(t)
+                for m, _ in zip(RUN.finditer(t), range(FIT_EACH), strict=False):
+                    lo, hi = max(0, m.start() - BEFORE), min(m.end(), m.start() + INSIDE)
+                    out.append((t[lo : hi + AFTER], m.start() - lo, hi - lo, int(any(x < m.end() and m.start() < z for x, z, _ in base))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["t", "a", "b", "y"])
+
+    found = some.mapInArrow(run, "t string, a long, b long, y long").distinct().orderBy(F.xxhash64("t", "a"), "t", "a", "b").limit(2 * FIT_EACH * FIT_DOCS)
+    return [tuple(r) for r in found.collect()]
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """The base spans of a text: leftmost matches of each kind that do not overlap, failing ones dropped, by start, then kind."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -167,19 +205,15 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def _worth_reading(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Whether each text may hold a span: a colon or equals sign, or a run of 16 candidate characters that has a digit or 20 of
-    them in all, as an access key without a digit may have."""
-    sums = lambda mask: np.concatenate([[0], np.cumsum(mask)])
-    mark = sums((raw == 58) | (raw == 61))
+    """Whether each text may hold a span: a colon or equals sign, or a run of 16 candidate characters, which every access key and
+    hex run has."""
+    mark = np.concatenate([[0], np.cumsum((raw == 58) | (raw == 61))])
     inside = _RUN_BYTES[raw]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    long_ = end - start >= 16
-    start, end = start[long_], end[long_]
-    digits = sums(_DIGIT[raw])
-    use = (digits[end] > digits[start]) | (end - start >= 20)
+    use = end - start >= 16
     out = mark[offsets[1:]] > mark[offsets[:-1]]
     # a run may reach over the end of a text into the next one
     for d in (np.searchsorted(offsets, start[use], "right") - 1, np.searchsorted(offsets, end[use] - 1, "right") - 1):
@@ -215,7 +249,7 @@ def find_secrets(column: pa.Array, network: SecretNetwork) -> list[list[dict]]:
                 while k < len(reach) and reach[k][0] < b:
                     end_so_far = max(end_so_far, reach[k][1])
                     k += 1
-                if end_so_far <= a and any(c.isdigit() for c in m[0]):
+                if end_so_far <= a:
                     spans.append((i + d, a, b, FOUND))
             for s in range(done, len(spans)):
                 own_rows = _encoded(text, spans[s][1], spans[s][2])
@@ -245,9 +279,10 @@ def _scored(spans: list, rows: list, owner: list, network: SecretNetwork, out: l
 def scan_secrets(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns keep and secrets, an array of spans (start, end, kind, score) of each row's whole text.
 
-    Null counts as an empty text, without spans; every input row gives a row.
+    Null counts as an empty text, without spans; every input row gives a row, repeated rows included, and other columns are left
+    out. An empty table gives an empty result. Spans that start together come in the order of their kinds.
     """
-    network = df.sparkSession.sparkContext.broadcast(trained())
+    network = df.sparkSession.sparkContext.broadcast(trained(corpus=corpus_findings(df, text)))
     schema = extended(df.select(*keep), "secrets array<struct<start:int,end:int,kind:string,score:double>>")
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("score", pa.float64())]))
 
