@@ -59,6 +59,8 @@ class Rendered:
     text: str = ""
     spans: list[tuple[int, int]] = field(default_factory=list)
     loss: list[tuple[int, int] | None] = field(default_factory=list)
+    #: Learnt turns whose text the template leaves out.
+    omitted: int = 0
 
 
 def _added(template: Template, context: list[Turn], before: str, turn: Turn) -> tuple[str, str]:
@@ -69,25 +71,32 @@ def _added(template: Template, context: list[Turn], before: str, turn: Turn) ->
     return now[len(before) :], now
 
 
-def render(turns: Iterable[Turn], template: Template = default_template, learn: tuple[str, ...] = ("assistant",), window: int = WINDOW) -> Rendered:
+def render(turns: Iterable[Turn], template: Template = default_template, learn: tuple[str, ...] = ("assistant",), window: int | None = WINDOW) -> Rendered:
     """Renders each prefix and compares it with the one before: what it adds is the last turn's span.
 
     The template is a black box. RewritesHistory is raised where a prefix's output does not begin with the shorter one's. Of a
     learnt turn, rendering it with two one-letter texts shows the frame: all that both outputs have in common.
+    A template that leaves a learnt text out gives both the same output: nothing of that turn is learnt, and `omitted` counts it.
+
     A conversation of over `window` turns goes on with the latter half of them as context, so that cost stays linear; the half
-    must add the same as it did before, else the template depends on turns long past and the whole prefix is rendered. At the end
-    the whole conversation is rendered once; where that differs, or windows fail, all prefixes are.
+    must add the same as it did before, else the template depends on turns long past and the whole prefix is rendered. Whenever the
+    number of turns has doubled, and at the end, the whole prefix is rendered as well; where that differs, or windows fail, all
+    prefixes are. With a window of None all prefixes are rendered from the start, at a cost that grows with the square.
     """
     turns = list(turns)
-    if len(turns) > window:
+    if window is not None and len(turns) > window:
         try:
-            out = _rendered(turns, template, learn, window)
-            if out.text == template(turns):
-                return out
-        except Exception:  # the template's own: it may need the turns that a window leaves out
+            return _rendered(turns, template, learn, window)
+        except Exception:  # the template's own, as it may need the turns that a window leaves out; or windows do not agree
             pass
-        window = len(turns)
-    return _rendered(turns, template, learn, window)
+    return _rendered(turns, template, learn, len(turns))
+
+
+def _common(one: str, two: str) -> int | None:
+    """How many characters two outputs of one length share in front; None where they are equal."""
+    if len(one) != len(two):
+        raise RewritesHistory("the frame of a turn depends on its text")
+    return next((k for k, (x, y) in enumerate(zip(one, two, strict=True)) if x != y), None)
 
 
 def _rendered(turns: list[Turn], template: Template, learn: tuple[str, ...], window: int) -> Rendered:
@@ -97,41 +106,47 @@ def _rendered(turns: list[Turn], template: Template, learn: tuple[str, ...], win
     if before:
         parts.append(before)
         at = len(before)
-    whole = False
-    for turn in turns:
-        if len(context) >= window and not whole:
+    check = 2 * window
+    for done, turn in enumerate(turns, 1):
+        if len(context) >= window:
             half = context[-(window // 2) :]
             again, same = template([]), True
             for k, old in enumerate(half):
                 added, again = _added(template, half[:k], again, old)
                 same &= added == history[-len(half) + k]
-            if same:
-                context, history, before = half, history[-len(half) :], again
-            else:
-                whole = True
+            if not same:
+                raise RewritesHistory("a window adds what the whole prefix does not")
+            context, history, before = half, history[-len(half) :], again
         added, now = _added(template, context, before, turn)
         out.spans.append((at, at + len(added)))
         span = None
         if turn[0] in learn:
             one, two = (_added(template, context, before, (turn[0], probe))[0] for probe in PROBES)
-            front = next(k for k, (x, y) in enumerate(zip(one, two, strict=True)) if x != y)
-            tail = next(k for k, (x, y) in enumerate(zip(one[::-1], two[::-1], strict=True)) if x != y)
-            if len(added) < front + tail or added[:front] != one[:front] or tail and added[-tail:] != one[-tail:]:
-                raise RewritesHistory("the frame of a turn depends on its text")
-            span = (at + front, at + len(added) - tail)
+            front = _common(one, two)
+            if front is None:
+                out.omitted += 1
+            else:
+                tail = _common(one[::-1], two[::-1])
+                if len(added) < front + tail or added[:front] != one[:front] or tail and added[-tail:] != one[-tail:]:
+                    raise RewritesHistory("the frame of a turn depends on its text")
+                span = (at + front, at + len(added) - tail)
         out.loss.append(span)
         parts.append(added)
         at += len(added)
         context.append(turn)
         history.append(added)
         before = now
+        if len(turns) > window and done in (check, len(turns)):
+            check *= 2
+            if "".join(parts) != template(turns[:done]):
+                raise RewritesHistory("windows give what the whole prefix does not")
     out.text = "".join(parts)
     return out
 
 
-def format_conversations(df: DataFrame, template: Template = default_template, learn: tuple[str, ...] = ("assistant",), conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def format_conversations(df: DataFrame, template: Template = default_template, learn: tuple[str, ...] = ("assistant",), window: int | None = WINDOW, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row for each conversation: conv_id, formatted, spans and loss (arrays of start and end in code points, ends exclusive),
-    and rewrites, true where the template rewrites history (then without spans).
+    rewrites, true where the template rewrites history (then without spans), and omitted, the learnt turns whose text it leaves out.
 
     Turns come by number (null first), then role, then text; a null role or text is empty, null ids are one conversation,
     repeated rows are turns of their own. An empty table gives no rows. Rows are dealt by conversation, sorted, and read in a
@@ -139,7 +154,7 @@ def format_conversations(df: DataFrame, template: Template = default_template, l
     """
     rows = df.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.repartition(partitions(df.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    schema = StructType([rows.schema["conv_id"], *StructType.fromDDL("formatted string, spans array<struct<start:int,end:int>>, loss array<struct<start:int,end:int>>, rewrites boolean").fields])
+    schema = StructType([rows.schema["conv_id"], *StructType.fromDDL("formatted string, spans array<struct<start:int,end:int>>, loss array<struct<start:int,end:int>>, rewrites boolean, omitted int").fields])
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,11 +170,12 @@ def format_conversations(df: DataFrame, template: Template = default_template, l
             return pa.RecordBatch.from_arrays([
                 pa.array(ids, kind), pa.array([r.text for r, _ in results]), pa.array([as_spans(r.spans) for r, _ in results], span),
                 pa.array([as_spans([x for x in r.loss if x]) for r, _ in results], span), pa.array([bad for _, bad in results]),
-            ], names=["conv_id", "formatted", "spans", "loss", "rewrites"])
+                pa.array([r.omitted for r, _ in results], pa.int32()),
+            ], names=["conv_id", "formatted", "spans", "loss", "rewrites", "omitted"])
 
         def finished(turns: list[Turn]) -> tuple[Rendered, bool]:
             try:
-                return render(turns, template, learn), False
+                return render(turns, template, learn, window), False
             except RewritesHistory:
                 return Rendered(template(turns)), True
 

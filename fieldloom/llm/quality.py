@@ -223,7 +223,7 @@ def _patterns(column: pa.Array) -> np.ndarray:
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[LabelModel, LinearScorer]:
     """The label model from the votes on all documents, and a scorer fitted on about FIT_ROWS of them, chosen by hash, with
-    the model's posteriors as labels; rows over FIT_BYTES bytes are not learnt from."""
+    the model's posteriors as labels; rows over FIT_BYTES bytes are not learnt from, repeated rows once."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -235,7 +235,9 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[La
     model = LabelModel(np.array([r["pattern"] for r in seen], np.int64), np.array([r["n"] for r in seen], np.int64))
     total = sum(r["n"] for r in seen)
     some = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).where(fit_share(F.col("__id"), F.col("__text"), FIT_ROWS / max(1, total)) & (F.octet_length("__text") <= FIT_BYTES))
-    rows = some.limit(2 * FIT_ROWS).toArrow().sort_by([("__id", "ascending"), ("__text", "ascending")])
+    # rows that are alike enter together, and count once; the limit is far above what the share gives
+    some = some.dropDuplicates().orderBy(F.xxhash64("__id", "__text"), "__id", "__text").limit(2 * FIT_ROWS)
+    rows = some.toArrow().sort_by([("__id", "ascending"), ("__text", "ascending")])
     texts = rows.column("__text").combine_chunks()
     return model, LinearScorer().fit(texts, model.posterior(_patterns(texts)))
 
@@ -248,7 +250,8 @@ def fit_share(ident: Column, text: Column, share: float) -> Column:
 def score_quality(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), doc_id: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
     """The columns keep, quality (0 to 1), label_quality (the label model's posterior) and kept (quality >= least).
 
-    A text without words, or null, has quality 0. Every input row gives a row; an empty table gives an empty result.
+    A text without words, or null, has quality 0. Every input row gives a row, with equal texts scored alike; null ids are no special
+    case; an empty table gives an empty result.
     """
     models = docs.sparkSession.sparkContext.broadcast(fit(docs, doc_id, text))
     schema = extended(docs.select(*keep), "quality double, label_quality double, kept boolean")

@@ -190,14 +190,17 @@ def held_out(doc_id: str = "doc_id"):
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
     """A model fitted on about FIT_TOXIC and FIT_CLEAN labelled rows that are not held out, chosen by hash; rows without a
-    label, id or text, or with one over FIT_BYTES bytes, are not learnt from."""
+    label, id or text, or with one over FIT_BYTES bytes, are not learnt from, nor is an id that labels contradict. Equal labels and
+    rows count once. The same rows are chosen at every run."""
     known = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__toxic")).where(F.col("__id").isNotNull() & F.col("__toxic").isin(0, 1) & ~held_out("__id"))
+    known = known.groupBy("__id").agg(F.min("__toxic").alias("__toxic"), F.max("__toxic").alias("__most")).where("__toxic = __most").select("__id", "__toxic")
     n = {r["__toxic"]: r["count"] for r in known.groupBy("__toxic").count().collect()}
     share = F.when(F.col("__toxic") == 1, hash_share(F.col("__id"), FIT_TOXIC / max(1, n.get(1, 0)))).otherwise(hash_share(F.col("__id"), FIT_CLEAN / max(1, n.get(0, 0))))
-    chosen = known.where(share).dropDuplicates(["__id"]).limit(2 * (FIT_TOXIC + FIT_CLEAN))
+    most, order = 2 * (FIT_TOXIC + FIT_CLEAN), F.xxhash64("__id")
+    chosen = known.where(share).orderBy(order, "__id").limit(most)
     some = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).where(F.octet_length("__text") <= FIT_BYTES)
-    rows = some.join(F.broadcast(chosen), "__id").select("__id", "__toxic", "__text").limit(2 * (FIT_TOXIC + FIT_CLEAN)).toArrow()
-    rows = rows.sort_by([("__id", "ascending"), ("__text", "ascending")])
+    rows = some.join(F.broadcast(chosen), "__id").select("__id", "__toxic", "__text").dropDuplicates()
+    rows = rows.orderBy(F.xxhash64("__id", "__text"), "__id", "__text").limit(most).toArrow().sort_by([("__id", "ascending"), ("__text", "ascending")])
     return ToxicityModel().fit(rows.column("__text").combine_chunks(), rows.column("__toxic").to_numpy())
 
 
@@ -205,7 +208,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (
     """The columns keep, held_out, score (0 to 1, at least 0.5: toxic) and predicted (0 or 1) of each row, from its whole text.
 
     Labels, and any column but the text, only fit the model. Null and empty texts get the score of a text without words;
-    without labels of both classes every score is the same. Every input row gives a row.
+    without labels of both classes every score is the same. Every input row gives a row, equal texts get equal scores; an empty
+    table gives an empty result.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, doc_id, text, label))
     schema = extended(docs.select(*keep).withColumn("held_out", F.lit(True)), "score double, predicted int")

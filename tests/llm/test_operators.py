@@ -223,6 +223,20 @@ def test_chat_long_templates():
 
     assert chat.render(turns, opening).text == opening(turns)
     assert len(chat.render(turns, opening).spans) == len(turns)
+    marked = lambda ts: "".join(f"<{r}>{t}{'*' if k > 70 else ''}\n" for k, (r, t) in enumerate(ts))  # noqa: E731  other turns from the 71st on
+    for window in (chat.WINDOW, None):
+        x = chat.render(turns, marked, window=window)
+        assert x.text == marked(turns) and [x.text[a:b] for a, b in x.spans] == [marked(turns)[len(marked(turns[:k])) : len(marked(turns[: k + 1]))] for k in range(len(turns))]
+
+
+def test_chat_templates_that_leave_texts_out(spark):
+    roles = lambda ts: "".join(f"<{r}>{t if r == 'user' else ''}\n" for r, t in ts)
+    x = chat.render([("user", "a"), ("assistant", "b"), ("assistant", "Q")], roles)
+    assert (x.text, x.loss, x.omitted) == ("<user>a\n<assistant>\n<assistant>\n", [None, None, None], 2)
+    doubled = lambda ts: "".join(f"<{t * 2 if t == 'Q' else t}>" for _, t in ts)
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    assert chat.format_conversations(df, roles).first()["omitted"] == 1
+    assert chat.format_conversations(df, doubled).first()["rewrites"]
 
 
 def test_similarity_is_of_sets(spark):
@@ -566,6 +580,34 @@ def test_toxicity_held_out(spark, empty):
     assert {r["predicted"] for r in toxicity.score_toxicity(docs, labels.limit(0)).collect()} == {0}
 
 
+def test_contradictory_labels_and_repeated_rows(spark):
+    docs, labels = labelled(spark, 300)
+    odd = labels.union(labels.where("doc_id % 3 = 0").selectExpr("doc_id", "quality", "1 - toxic")).union(labels)
+    plain = toxicity.fit(docs, labels.where("doc_id % 3 <> 0"))
+    for d, x in ((docs, odd), (docs.repartition(7).union(docs), odd.repartition(5))):
+        model = toxicity.fit(d, x)
+        assert np.array_equal(model.emb, plain.emb) and np.array_equal(model.threshold, plain.threshold)
+
+
+def test_toxicity_scores_equal_plain_ones():
+    """Embeddings of a word and its prefixes, filters, largest values and the logistic function, one text at a time."""
+    texts = ["Scorn the vilest", "a b c", "", "die der und das Äh", None, "one"] * 20
+    model = toxicity.ToxicityModel().fit(pa.array(texts), np.array([1, 0, 0, 0, 0, 1] * 20))
+    got = model.scores(pa.array(texts[:6]))
+    for t, s in zip(texts[:6], got, strict=True):
+        words = re.findall(r"[A-Za-z\u0080-\U0010ffff]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+        slots = [model._slots(toxicity.Words(*toxicity.text_arrays(pa.array([w])), toxicity.LETTERS, toxicity.LOWER, toxicity.PREFIXES))[0] for w in words]
+        e = [sum(model.emb[k] for k in s) for s in slots]
+        z = float(model.off)
+        for i, w in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                values = [sum(float(e[p + k] @ model.taps[i][k][:, f]) for k in range(w)) + float(model.bias[i * toxicity.FILTERS + f]) for p in range(len(e) - w + 1)]
+                z += max([0, *values]) * float(model.out[i * toxicity.FILTERS + f])
+        n = [sum(w in v.split() for w in words) for v in toxicity.FUNCTION_WORDS.values()]
+        lang = int(np.argmax(n)) if max(n) else len(toxicity.LANGUAGES) - 1
+        assert abs(s - 1 / (1 + np.exp(-(z - model.threshold[lang])))) < 1e-5
+
+
 def junk(r, i):
     words = [r.choice(["the", "of", "and", "in", "that"]) if r.random() < 0.35 else r.choice("bdfgk") + r.choice("aeiou") + r.choice("lmnrst") + r.choice(["an", "el", "or", ""]) for _ in range(r.randrange(30, 120))]
     kind = i % 8
@@ -587,11 +629,42 @@ def test_quality_finds_junk_and_keeps_prose(spark, empty):
     assert np.mean([b for b, (_, j) in zip(bad, made, strict=True) if j]) > 0.97
     assert np.mean([b for b, (_, j) in zip(bad, made, strict=True) if not j]) < 0.01
     assert rows[None]["quality"] == 0
+    nameless = docs.select(F.lit(None).cast("long").alias("doc_id"), *docs.columns[1:])  # null ids only
+    assert nameless.count() - quality.keep_quality(nameless).count() == sum(bad) + 1
     kept = quality.keep_quality(docs)
     assert kept.columns == docs.columns and kept.count() == 1200 - sum(bad)
     assert quality.score_quality(empty).count() == 0
 
 
+def test_label_model_equals_plain_expectation_maximisation():
+    r = np.random.default_rng(5)
+    truth = r.random(3000) < 0.15
+    v = np.zeros((3000, len(quality.LABELLERS)), np.int8)
+    for k in range(v.shape[1]):
+        right = r.random(3000) < 0.75 + 0.02 * k
+        v[:, k] = np.where(r.random(3000) < 0.4, quality.ABSTAIN, np.where(truth == right, quality.BAD, quality.GOOD))
+    patterns, n = np.unique(quality.as_pattern(v), return_counts=True)
+    model = quality.LabelModel(patterns, n)
+    # plainly, row by row
+    prior, theta = 0.1, np.tile(np.array([[0.2, 0.79, 0.01], [0.3, 0.4, 0.3]])[:, None, :], (1, v.shape[1], 1))
+    for step in range(61):
+        z = np.full(len(v), np.log(prior / (1 - prior)))
+        for k in range(v.shape[1]):
+            for vote in (quality.GOOD, quality.BAD):
+                say = theta[:, k, vote] / theta[:, k, 1:].sum(1)
+                z[v[:, k] == vote] += np.log(say[1] / say[0])
+        post = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        if step == 60:
+            break
+        for c, weight in enumerate((1 - post, post)):
+            theta[c] = np.stack([((v == vote) * weight[:, None]).sum(0) + 0.5 for vote in range(3)], axis=1)
+            theta[c] /= theta[c].sum(1, keepdims=True)
+        prior = np.clip(post.mean(), 1e-4, 0.5)
+    assert np.allclose(model.posterior(quality.as_pattern(v)), post, atol=1e-6)
+    assert ((post > 0.5) == truth).mean() > 0.97
+    assert list(model.accuracies().values()) == sorted(model.accuracies().values()) or max(model.accuracies().values()) > 0.85
+
+
 # Chat
 
 
