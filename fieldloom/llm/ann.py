@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Points in a leaf; rows of a shard, at least and at most; shards up to which shards stay small.
-LEAF, SHARD_LEAST, SHARD_MOST, SHARDS = 96, 1024, 65_536, 64
+LEAF, SHARD_LEAST, SHARD_MOST, SHARDS = 96, 4096, 65_536, 64
 #: Queries searched together; pairs of query and point held before they are cut to the best.
 BLOCK, HELD = 4096, 1 << 20
 #: Vectors whose lengths share these many binary digits of the exponent's range lie in one tree.
@@ -203,7 +203,10 @@ def _search_shards(batches: Iterator[pa.RecordBatch], k: int, factor: float) ->
                 shard, points = Shard(*(np.concatenate(x) for x in zip(*points, strict=True))), []
             for i in range(0, hi - lo, BLOCK):
                 q, found, score = shard.nearest(ids[i : i + BLOCK], vectors[i : i + BLOCK], k, factor)
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
+                head = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+                ends = pa.array(np.append(head, len(q)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (found, score)]
+                yield pa.RecordBatch.from_arrays([pa.array(q[head]), *lists], names=["query_id", "ids", "scores"])
 
 
 def nearest(df: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.0, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -225,7 +228,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.0,
     columns = lambda d, kind, shard: d.select(shard, F.size("vector").alias("dim"), F.lit(kind).alias("kind"), "vec_id", "vector")
     both = columns(rows, 0, part).union(columns(asked, 1, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")))
     met = both.repartition(shards, "shard").sortWithinPartitions("shard", "dim", "kind")
-    each = met.mapInArrow(lambda batches: _search_shards(batches, k, factor), "query_id long, vec_id long, score double")
-    paired = F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i"))
-    best = each.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(paired)), 1, k).alias("found"))
+    each = met.mapInArrow(lambda batches: _search_shards(batches, k, factor), "query_id long, ids array<long>, scores array<double>")
+    paired = F.transform(F.arrays_zip("ids", "scores"), lambda x: F.struct((-x["scores"]).alias("s"), x["ids"].alias("i")))
+    best = each.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list(paired))), 1, k).alias("found"))
     return best.select("query_id", F.posexplode("found").alias("rank", "x")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score"))
