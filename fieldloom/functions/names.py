@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.values import strip
 
-_AUTHOR_YEAR = r"\s+\(?[A-Z][A-Za-z.'-]*(?:\s+(?:&\s+|et\s+|and\s+|in\s+)?[A-Z][A-Za-z.'-]*)*,?\s*(?:1[789]|20)[0-9]{2}\)?"
+_AUTHOR_YEAR = r"\s+\(?\p{Lu}[\p{L}.'-]*(?:\s+(?:&\s+|et\s+|and\s+|in\s+)?\p{Lu}[\p{L}.'-]*)*,?\s*(?:1[789]|20)[0-9]{2}\)?"
 _OPEN = r"(^|\s)(cf|aff|sp|spp|nr|gen|indet|ssp|var)\.?(?=\s|$)"
 #: Placeholder names of failed recognition.
 PLACEHOLDER = r"(?i)^_+candidate_"

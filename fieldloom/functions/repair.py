@@ -5,26 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-OBJECT = r"\{[^{}]*\}"
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
+_FLAT = rf"\{{(?:[^{{}}\"]++|{_STRING})*+\}}"
+#: An object with objects in it, up to two levels down; braces within strings do not count.
+OBJECT = rf"\{{(?:[^{{}}\"]++|{_STRING}|\{{(?:[^{{}}\"]++|{_STRING}|{_FLAT})*+\}})*+\}}"
 
 
 def bare(reply: Column) -> Column:
     """A reply without reasoning blocks and code fences."""
-    c = F.regexp_replace(reply, r"(?s)<think>.*?</think>", "")
+    c = F.regexp_replace(F.regexp_replace(reply, r"(?s)<think>.*?</think>", ""), r"(?s)<\|thinking\|>.*?<\|/thinking\|>", "")
     return F.regexp_replace(F.regexp_replace(c, r"```(?:json)?", ""), r"^\s+|\s+$", "")
 
 
-def objects(reply: Column, fewest_keys: int = 1) -> Column:
-    """The flat objects of a reply, as JSON texts: of the list it is or holds, or else those that can be picked out of a broken one.
+def _listed(c: Column) -> Column:
+    """The objects of a JSON list, as JSON texts; null if the text is no list."""
+    whole = F.when(F.try_variant_get(F.try_parse_json(c), "$[0]", "variant").isNotNull(), F.from_json(c, "array<string>"))
+    return F.filter(whole, lambda o: F.ltrim(o).startswith("{"))
 
-    An object is kept if it parses and has at least so many keys.
-    """
+
+def objects(reply: Column, fewest_keys: int = 2) -> Column:
+    """The objects of a reply, as JSON texts: of the list it is, of the first list within the object it is, or that object; else of the
+    list it holds; else those of at least so many keys that can be picked out of a broken one. Nested objects stay whole. None, and
+    for a blank or null reply, an empty array."""
     c = F.coalesce(bare(reply), F.lit(""))
-    found = F.regexp_extract_all(c, F.lit(OBJECT), F.lit(0))
+    whole = F.try_parse_json(c)
+    inner = F.from_json(c, "map<string,string>")
+    lists = F.filter(F.map_values(inner), lambda v: F.ltrim(v).startswith("["))
+    of_object = F.when(F.size(lists) > 0, F.coalesce(_listed(F.try_element_at(lists, F.lit(1))), F.array().cast("array<string>"))).otherwise(F.array(c))
+    held = F.regexp_extract(c, r"(?s)(\[\s*\{.*\}\s*\])", 1)
     keys = lambda o: F.coalesce(F.size(F.json_object_keys(o)), F.lit(0))
-    return F.filter(found, lambda o: keys(o) >= fewest_keys)
+    picked = F.filter(F.regexp_extract_all(c, F.lit(OBJECT), F.lit(0)), lambda o: keys(o) >= fewest_keys)
+    return (
+        F.when(whole.isNotNull() & c.startswith("["), F.coalesce(_listed(c), F.array().cast("array<string>")))
+        .when(whole.isNotNull() & c.startswith("{"), of_object)
+        .otherwise(F.coalesce(F.when(held != "", _listed(held)), picked))
+    )
 
 
-def records(reply: Column, schema: str, fewest_keys: int = 1) -> Column:
+def records(reply: Column, schema: str, fewest_keys: int = 2) -> Column:
     """The objects as structs of a DDL schema."""
     return F.transform(objects(reply, fewest_keys), lambda o: F.from_json(o, schema))

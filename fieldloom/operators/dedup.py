@@ -27,10 +27,12 @@ def best_of_each(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
 
 def priority_dedup(df: DataFrame, keys: Sequence[str], priority: Column, evidence: Column, seq: str = "seq") -> DataFrame:
     """One row for each key: of lowest priority number, then longest evidence, then first seen; with first_seq, the place of the
-    key's first row, by which the result was ordered when it was read one by one."""
-    first = df.groupBy(*keys).agg(F.min(seq).alias("first_seq"))
-    best = best_of_each(df, keys, [priority.asc(), F.length(F.coalesce(evidence, F.lit(""))).desc(), F.col(seq).asc()])
-    return best.join(first, list(keys))
+    key's first row, by which the result was ordered when it was read one by one. A null key is a key like any other, a null evidence
+    is empty; an empty table gives an empty result. One aggregation, with partial ones before the shuffle."""
+    rank = F.struct(priority.alias("priority"), (-F.length(F.coalesce(evidence, F.lit("")))).alias("longest"), F.col(seq).alias("seq"))
+    row = F.struct(*[F.col(c) for c in df.columns if c not in keys])
+    best = df.groupBy(*keys).agg(F.min_by(row, rank).alias("__row"), F.min(seq).alias("first_seq"))
+    return best.select(*[F.col(c) if c in keys else F.col("__row")[c].alias(c) for c in df.columns], "first_seq")
 
 
 def first_of_each(df: DataFrame, keys: Sequence[str], seq: str = "seq") -> DataFrame:

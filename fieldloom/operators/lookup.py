@@ -11,33 +11,99 @@ def canonical(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), r"\([^)]*\)", ""), "[^a-z0-9]", "")
 
 
-def cascade(queries: DataFrame, names: DataFrame, query: str, name: str, ident: str, least: float = 0.8, short: int = 4, short_least: float = 0.92) -> DataFrame:
-    """For each distinct query: id, how (exact 100, canonical 95, fuzzy, phonetic 75, code 90, or none) and score.
+def pieces_of(c: Column, least: float) -> Column:
+    """The parts of a text, one of which every text at a similarity of at least `least` (edit distance) holds unchanged: one part
+    more than the edits that the longest such text may have."""
+    n = F.length(c)
+    edits = F.floor(n / least * (1 - least) + 1e-9).cast("int")
+    cut = lambda i: F.floor(n * i / (edits + 1)).cast("int")
+    return F.transform(F.sequence(F.lit(0), edits), lambda i: F.substring(c, cut(i) + 1, cut(i + 1) - cut(i)))
 
-    Of rows with the same key the smallest id counts. Fuzzy matches share the first letter of their canonical forms and differ in
-    length by at most what the threshold allows; short keys need a better match. Every way is an equi-join on what the ways before
-    have left, so that a query costs as much as its own candidates.
+
+def cascade(queries: DataFrame, names: DataFrame, query: str, name: str, ident: str, least: float = 0.8, short: int = 4, short_least: float = 0.92, order: Column | None = None) -> DataFrame:
+    """For each distinct query: id, how (exact 100, canonical 95, fuzzy, phonetic 75, code 90, or none) and score; the first way that
+    hits counts.
+
+    Of rows with the same key the first in the given order counts (by default the smallest id as text), of rows with the same code
+    the last. Null queries and names take no part; names without a letter or digit of a-z, 0-9 have no canonical key and are only found
+    exactly; an id that is no number has no code. Fuzzy matches share the first letter of their canonical forms; short keys need a better
+    match. Every way is an equi-join, the fuzzy one on a part of the query that a close name must hold unchanged.
     """
-    q = queries.select(F.col(query).alias("q")).where(F.col("q").isNotNull()).distinct().withColumn("cq", canonical(F.col("q")))
-    d = names.select(F.col(name).alias("n"), F.col(ident).cast("string").alias("id")).withColumn("cn", canonical(F.col("n")))
-    first = lambda df, *keys: df.groupBy(*keys).agg(F.min("id").alias("id"))
-    exact = q.join(first(d, "n"), q["q"] == F.col("n")).select("q", "id", F.lit("exact").alias("how"), F.lit(100.0).alias("score"))
-    rest = q.join(exact.select("q"), "q", "left_anti")
-    canon = rest.join(first(d, "cn"), rest["cq"] == F.col("cn")).select("q", "id", F.lit("canonical").alias("how"), F.lit(95.0).alias("score"))
-    rest = rest.join(canon.select("q"), "q", "left_anti")
-    block = first(d, "cn").withColumn("b", F.substring("cn", 1, 1))
-    longest = F.greatest(F.length("cq"), F.length("cn"))
-    ratio = F.bround(1 - F.levenshtein("cq", "cn") / longest, 4)
+    q = queries.select(F.col(query).alias("q")).where(F.col("q").isNotNull()).distinct().withColumn("cq", F.nullif(canonical(F.col("q")), F.lit("")))
+    d = names.select(F.col(name).alias("n"), F.col(ident).cast("string").alias("id"), (F.col(ident).cast("string") if order is None else order).alias("o"))
+    d = d.where(F.col("n").isNotNull()).withColumn("cn", F.nullif(canonical(F.col("n")), F.lit("")))
+    first = lambda df, key: df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by("id", F.struct("o", "id")).alias("id"))
+    way = lambda df, rank, how, score: df.select("q", F.struct(F.lit(rank).alias("rank"), (-score).alias("s"), (F.col("cn") if rank == 2 else F.lit("")).alias("cn"), F.lit(how).alias("how"), F.col("id")).alias("hit"))
+
+    exact = way(q.join(first(d, "n"), q["q"] == F.col("n")), 0, "exact", F.lit(100.0))
+    canon = way(q.join(first(d, "cn"), q["cq"] == F.col("cn")), 1, "canonical", F.lit(95.0))
+    rest = q.where(F.col("cq").isNotNull()).join(exact.unionByName(canon).select("q"), "q", "left_anti")
+
     need = F.when(F.length("cq") <= short, short_least).otherwise(least)
-    fuzzy = rest.join(block, F.substring(rest["cq"], 1, 1) == block["b"]).where(F.abs(F.length("cq") - F.length("cn")) <= (1 - need) * longest + 1e-9).withColumn("r", ratio).where(F.col("r") >= need)
-    fuzzy = fuzzy.groupBy("q").agg(F.min(F.struct((-F.col("r")).alias("r"), F.col("cn"), F.col("id"))).alias("m")).select("q", F.col("m.id").alias("id"), F.lit("fuzzy").alias("how"), (-F.col("m.r") * 100).alias("score"))
-    rest = rest.join(fuzzy.select("q"), "q", "left_anti")
+    longest = F.greatest(F.length("cq"), F.length("cn"))
+    part = F.explode(F.array_distinct(F.when(F.length("cq") <= short, pieces_of(F.col("cq"), short_least)).otherwise(pieces_of(F.col("cq"), least))))
+    asked = rest.select("q", "cq", F.substring("cq", 1, 1).alias("b"), part.alias("part")).where("part <> ''")
+    sizes = asked.select(F.length("part").alias("size")).distinct()
+    held = first(d, "cn").crossJoin(F.broadcast(sizes)).where(F.length("cn") >= F.col("size"))  # a few sizes, as many as the cutting gives
+    held = held.select("cn", "id", F.substring("cn", 1, 1).alias("b"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("cn") - F.col("size") + 1), lambda i: F.substring(F.col("cn"), i, F.col("size"))))).alias("part"))
+    close = asked.join(held, ["b", "part"]).where(F.abs(F.length("cq") - F.length("cn")) <= (1 - need) * longest + 1e-9).select("q", "cq", "cn", "id").distinct()
+    close = close.withColumn("r", F.bround(1 - F.levenshtein("cq", "cn") / longest, 4)).where(F.col("r") >= need)
+    fuzzy = way(close, 2, "fuzzy", F.col("r") * 100)
+
     sound = first(d.withColumn("s", F.soundex("cn")), "s")
-    phonetic = rest.where(F.length("cq") > short).join(sound, F.soundex(rest["cq"]) == sound["s"]).select("q", "id", F.lit("phonetic").alias("how"), F.lit(75.0).alias("score"))
-    rest = rest.join(phonetic.select("q"), "q", "left_anti").withColumn("code", F.nullif(F.regexp_extract("q", "([0-9]{6})", 1), F.lit("")))
-    code = rest.join(d.select(F.col("id").alias("i")).distinct(), rest["code"].cast("long") == F.col("i").cast("long")).select("q", F.col("i").alias("id"), F.lit("code").alias("how"), F.lit(90.0).alias("score"))
-    none = rest.join(code.select("q"), "q", "left_anti").select("q", F.lit(None).cast("string").alias("id"), F.lit("none").alias("how"), F.lit(0.0).alias("score"))
-    return exact.unionByName(canon).unionByName(fuzzy).unionByName(phonetic).unionByName(code).unionByName(none)
+    phonetic = way(rest.where(F.length("cq") > short).join(sound, F.soundex(rest["cq"]) == sound["s"]), 3, "phonetic", F.lit(75.0))
+    code = d.withColumn("code", F.col("id").try_cast("long")).where("code is not null").groupBy("code").agg(F.max_by("id", F.struct("o", "id")).alias("id"))
+    number = F.nullif(F.regexp_extract("q", "([0-9]{6})", 1), F.lit("")).try_cast("long")
+    coded = way(q.join(code, number == F.col("code")), 4, "code", F.lit(90.0))
+    best = exact.unionByName(canon).unionByName(fuzzy).unionByName(phonetic).unionByName(coded).groupBy("q").agg(F.min("hit").alias("hit"))
+    return q.select("q").join(best, "q", "left").select("q", F.col("hit.id").alias("id"), F.coalesce("hit.how", F.lit("none")).alias("how"), F.coalesce(-F.col("hit.s"), F.lit(0.0)).alias("score"))
+
+
+def office_match(queries: DataFrame, offices: DataFrame, query: str, office: str, seq: str) -> DataFrame:
+    """Each distinct query with the row of offices whose name equals it, whatever the case, else of the first one (by seq) that it is
+    within or that is within it, both blank never; queries without a hit stay, with nulls.
+
+    Containment is an equi-join: the first three characters of what is contained (or all, if it is shorter) are among the pieces of
+    that length of the other.
+    """
+    q = queries.select(F.trim(F.lower(F.col(query))).alias("q"), F.col(query).alias("__given")).where("q <> ''").distinct()
+    o = offices.withColumn("__name", F.lower(F.col(office))).where("__name <> ''")
+    first = o.groupBy("__name").agg(F.min_by(F.struct(*offices.columns), seq).alias("row"), F.min(seq).alias("__seq"))
+    of_size = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda i: F.substring(c, i, n))
+    grams = lambda c: F.array_distinct(F.concat(*[of_size(c, n) for n in (1, 2, 3)]))
+    shorter = q.select("q", F.explode(grams(F.col("q"))).alias("g")).join(first.select("__name", F.substring("__name", 1, 3).alias("g")), "g").where(F.contains("q", "__name"))
+    longer = q.select("q", F.substring("q", 1, 3).alias("g")).join(first.select("__name", F.explode(grams(F.col("__name"))).alias("g")), "g").where(F.contains("__name", "q"))
+    hits = shorter.select("q", "__name").union(longer.select("q", "__name")).distinct().join(first, "__name")
+    best = hits.groupBy("q").agg(F.min_by("row", F.struct((F.col("q") != F.col("__name")).alias("other"), F.col("__seq").alias("seq"))).alias("row"))
+    return q.join(best, "q", "left").select(F.col("__given").alias(query), "row.*")
+
+
+def boxes_of(points: DataFrame, keys: list[str], lat: str, lon: str, margin: float) -> DataFrame:
+    """The box of each key (in capitals), widened by a margin: district boxes take one of 0.1. Null coordinates take no part."""
+    up = [F.upper(F.col(k)).alias(k) for k in keys]
+    edge = lambda f, c, by: (f(c) + F.lit(by)).alias(f"{c}_{'max' if by > 0 else 'min'}")
+    return points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).groupBy(*up).agg(edge(F.min, lat, -margin), edge(F.max, lat, margin), edge(F.min, lon, -margin), edge(F.max, lon, margin))
+
+
+def code_boxes(points: DataFrame, code: str, seq: str, lat: str, lon: str, margin: float = 0.15) -> DataFrame:
+    """The box around the last row (by seq) of each code, codes filled with zeros to six digits."""
+    last = points.groupBy(F.lpad(F.trim(F.col(code).cast("string")), 6, "0").alias(code)).agg(F.max_by(F.struct(lat, lon), seq).alias("p"))
+    return last.select(code, *[(F.col(f"p.{c}") + by).alias(f"{c}_{n}") for c in (lat, lon) for by, n in ((-margin, "min"), (margin, "max"))])
+
+
+def named_in(text: Column, names: tuple[str, ...]) -> Column:
+    """The first of the names, in the order given, that a text contains, whatever the case; null if none."""
+    low = F.lower(text)
+    return F.coalesce(*[F.when(F.contains(low, F.lit(n.lower())), n) for n in names])
+
+
+def resolved_stations(df: DataFrame, place: str, stations: DataFrame, doc: str) -> DataFrame:
+    """df with station_place: that of the first station (doc, seq, id, place) of the document whose id is within the record's place, or
+    within which it is, in capitals; blank places none. Stations of a document are few: they are gathered in one array."""
+    some = stations.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("seq", F.upper("id").alias("id"), F.col("place").alias("place")))).alias("__stations"))
+    own = F.upper(F.trim(F.col(place)))
+    hit = F.filter("__stations", lambda s: (own != "") & (F.contains(own, s["id"]) | F.contains(s["id"], own)))
+    return df.join(some, doc, "left").withColumn("station_place", F.try_element_at(hit, F.lit(1))["place"]).drop("__stations")
 
 
 def top_candidate(matches: DataFrame, key: str, order: list[Column]) -> DataFrame:

@@ -96,11 +96,16 @@ def kind_from_context(context: Column, first: str, second: str) -> Column:
 
 
 def merged_spans(df: DataFrame, doc: str, gap: int = 2) -> DataFrame:
-    """Spans (doc, start, end, label) of the same label joined where at most `gap` characters lie between: runs by a window."""
+    """Spans (doc, start, end, label) of the same label joined where at most `gap` characters lie between: runs by a window. A span
+    within another does not shorten the run."""
     w = Window.partitionBy(doc).orderBy("start", "end")
-    new = F.coalesce((F.lag("label").over(w) != F.col("label")) | (F.col("start") - F.lag("end").over(w) > gap), F.lit(True))
-    run = df.withColumn("__new", new.cast("int")).withColumn("run", F.sum("__new").over(w))
-    return run.groupBy(doc, "run", "label").agg(F.min("start").alias("start"), F.max_by("end", "start").alias("end"), F.count("*").alias("pieces"))
+    turn = F.coalesce((F.lag("label").over(w) != F.col("label")).cast("int"), F.lit(1))
+    same = df.withColumn("__turn", turn).withColumn("__stretch", F.sum("__turn").over(w))  # spans of one label in a row
+    own = Window.partitionBy(doc, "__stretch").orderBy("start", "end")
+    reach = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce((F.col("start") - reach > gap).cast("int"), F.lit(1))
+    run = same.withColumn("__new", new).withColumn("run", F.struct("__stretch", F.sum("__new").over(own).alias("part")))
+    return run.groupBy(doc, "run", "label").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("pieces"))
 
 
 def co_mentions(texts: DataFrame, names: DataFrame, doc: str, text: str, name: str) -> DataFrame:

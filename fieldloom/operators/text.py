@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,9 +14,17 @@ ROLES = (("ABSTRACT", "abstract|summary"), ("METHODS", "method|material|study ar
 BREAK = "\x01"
 
 
-def sentences(c: Column) -> Column:
-    """Split after a full stop, question or exclamation mark followed by white space."""
-    return F.split(F.regexp_replace(c, r"([.!?])\s+", f"$1{BREAK}"), BREAK)
+#: Abbreviations after whose full stop a sentence goes on (fixed values).
+ABBREVIATIONS = ("Fig", "Figs", "sp", "spp", "cf", "aff", "et al", "var", "subsp", "Dr", "Prof", "No", "vol", "pp", "ca", "approx", "viz", "nov", "i.e", "e.g", "St", "Mt")
+
+
+def sentences(c: Column, guard: bool = True) -> Column:
+    """Split after a full stop, question or exclamation mark followed by white space; with guard, not after an abbreviation or an
+    initial. No sentence is empty but that of an empty text; null gives null."""
+    cut = F.regexp_replace(c, r"([.!?])\s+", f"$1{BREAK}")
+    for _ in range(2 if guard else 0):  # twice, as of two in a row one match takes what stands before the other
+        cut = F.regexp_replace(cut, rf"(^|[^A-Za-z])({'|'.join(a.replace('.', '[.]') for a in ABBREVIATIONS)}|[A-Z])\.{BREAK}", "$1$2. ")
+    return F.split(cut, BREAK)
 
 
 def paragraphs(c: Column, longer_than: int = 20) -> Column:
@@ -71,17 +79,24 @@ def table_stats(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("bars", F.when(F.length(text) > 0, F.bround(bars / F.length(text), 4)).otherwise(0.0)).withColumn("rows", F.size(lines)).withColumn("has_table", F.col("rows") >= 3)
 
 
-def pack(pieces: list[str], most: int, overlap: int = 0, joint: str = "\n\n") -> list[str]:
-    """Greedy packing of pieces into chunks of at most `most` characters, each begun with the end of the one before; a longer piece
-    is a chunk of its own."""
+def is_table(piece: str) -> bool:
+    return sum(line.count("|") >= 2 for line in piece.split("\n")) >= 2
+
+
+def pack(pieces: list[str], most: int, overlap: int = 0, joint: str = "\n\n", uncut: Callable[[str], bool] = lambda piece: False) -> list[str]:
+    """Greedy packing of pieces into chunks of at most `most` characters, each begun with the end of the one before (as much of it, up to
+    `overlap`, as fits); a longer piece is cut. No chunk is longer than `most`, but for a piece that must stay uncut, which is a chunk of
+    its own."""
     out: list[str] = []
     now = ""
     for piece in pieces:
-        if now and len(now) + len(joint) + len(piece) > most:
-            out.append(now)
-            now = now[-overlap:] + joint + piece if overlap else piece
-        else:
-            now = now + joint + piece if now else piece
+        for part in [piece] if uncut(piece) else [piece[k : k + most] for k in range(0, len(piece), most)]:
+            if now and len(now) + len(joint) + len(part) > most:
+                out.append(now)
+                room = min(overlap, most - len(joint) - len(part))
+                now = now[-room:] + joint + part if room > 0 else part
+            else:
+                now = now + joint + part if now else part
     return [*out, now] if now else out
 
 
@@ -89,8 +104,7 @@ def keep_tables(text: str) -> list[str]:
     """Paragraphs of a text, in which lines of a bar table stay together with the heading right before them."""
     out: list[str] = []
     for block in re.split(r"\n\s*\n", text):
-        lines = block.split("\n")
-        if out and sum(line.count("|") >= 2 for line in lines) >= 2 and out[-1].startswith("#") and "\n" not in out[-1]:
+        if out and is_table(block) and out[-1].startswith("#") and "\n" not in out[-1]:
             out[-1] += "\n" + block
         elif block.strip():
             out.append(block)
@@ -98,15 +112,18 @@ def keep_tables(text: str) -> list[str]:
 
 
 def packed(df: DataFrame, keep: tuple[str, ...], text: str, most: int = 6000, overlap: int = 400, tables: bool = True) -> DataFrame:
-    """keep, pos and chunk: paragraphs packed greedily, tables uncut. What fits depends on all before it, so Arrow batches do it."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema) + ", pos int, chunk string"
+    """keep, pos, chunk and oversize: paragraphs packed greedily, with overlap; with `tables` these stay uncut, and a chunk that is longer
+    than `most` for that is oversize. What fits depends on all before it, so Arrow batches do it. Null and blank texts give no rows."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema) + ", pos int, chunk string, oversize boolean"
+    cuts = lambda t: pack(keep_tables(t), most, overlap, uncut=is_table) if tables else pack([p for p in re.split(r"\n\s*\n", t) if p.strip()], most, overlap)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            cut = [pack(keep_tables(t) if tables else [p for p in re.split(r"\n\s*\n", t) if p.strip()], most, overlap) for t in f.pop("__text").fillna("")]
+            cut = [cuts(t) for t in f.pop("__text").fillna("")]
             f = f.assign(pos=[list(range(len(c))) for c in cut], chunk=cut)
             f = f[f["chunk"].map(len) > 0].explode(["pos", "chunk"])
-            yield f.astype({"pos": "int32"}) if len(f) else f.iloc[:0].astype({"pos": "int32", "chunk": "object"})
+            f = f.astype({"pos": "int32"}) if len(f) else f.iloc[:0].astype({"pos": "int32", "chunk": "object"})
+            yield f.assign(oversize=f["chunk"].map(len).astype("int64") > most)
 
     return df.select(*keep, F.col(text).alias("__text")).mapInPandas(run, schema)
 
@@ -127,6 +144,6 @@ def budgeted(df: DataFrame, key: str, order: str, text: str, budget: int) -> Dat
 
 def page_range(chunk: Column, marker: str, share: Column, pages: Column) -> Column:
     """First and last page that markers in a chunk name; without markers the page at that share of the document, at least the first."""
-    found = F.transform(F.regexp_extract_all(chunk, F.lit(marker), F.lit(1)), lambda p: p.cast("int"))
+    found = F.transform(F.regexp_extract_all(chunk, F.lit(marker), F.lit(1)), lambda p: p.try_cast("int"))
     guess = F.greatest(F.lit(1), F.bround(share * pages).cast("int"))
     return F.struct(F.coalesce(F.array_min(found), guess).alias("first"), F.coalesce(F.array_max(found), guess).alias("last"))

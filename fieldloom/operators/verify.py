@@ -21,9 +21,12 @@ def link_ids(url: Column, patterns: Mapping[str, str] = LINK_IDS) -> list[Column
 
 
 def parsed_reply(reply: Column) -> Column:
-    """name, accepted (itself if it is accepted), status and ranks of a nested reply; null where it is not JSON."""
+    """name, accepted (itself if it is accepted), status and ranks of a nested reply; null where it is not JSON. Of equal ranks the last
+    counts, one without a rank none."""
     r = F.from_json(reply, REPLY)
-    ranks = F.map_from_entries(F.transform(F.coalesce(r["classification"], F.array().cast("array<struct<rank:string,name:string>>")), lambda c: F.struct(F.lower(c["rank"]), c["name"])))
+    pairs = F.filter(F.coalesce(r["classification"], F.array().cast("array<struct<rank:string,name:string>>")), lambda c: c["rank"].isNotNull())
+    keys = F.array_distinct(F.transform(pairs, lambda c: F.lower(c["rank"])))
+    ranks = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda c: F.lower(c["rank"]) == k), -1)["name"]))
     name = r["usage"]["name"]["scientificName"]
     return F.when(r["usage"].isNotNull(), F.struct(name.alias("name"), F.coalesce(r["usage"]["accepted"]["name"]["scientificName"], name).alias("accepted"), F.lower(r["usage"]["status"]).alias("status"), ranks.alias("ranks")))
 
@@ -32,12 +35,14 @@ def verified(df: DataFrame, name: str, authorities: Mapping[str, DataFrame], fie
     """df with fields filled from up to four authorities in order (tables keyed by canonical name, column key, with fields and
     score), confidence from all of them, and status: verified from `accept` on.
 
-    Each is a left equi-join on the canonical name; earlier authorities win, later ones fill what is blank.
+    Each is a left equi-join on the canonical name; earlier authorities win, later ones fill what is blank. Of rows of an authority
+    with the same key that of the highest score counts, then that of the smallest fields.
     """
     out = df.withColumn("__key", canon_name(F.col(name)))
     found = []
     for k, table in enumerate(authorities.values()):
-        one = table.dropDuplicates(["key"]).select(F.col("key").alias("__key"), *[F.col(f).alias(f"__{k}_{f}") for f in fields], F.col("score").alias(f"__{k}_score"))
+        best = F.struct((-F.col("score")).alias("less"), *fields, "score")
+        one = table.groupBy("key").agg(F.min(best).alias("b")).select("key", "b.*").select(F.col("key").alias("__key"), *[F.col(f).alias(f"__{k}_{f}") for f in fields], F.col("score").alias(f"__{k}_score"))
         out = out.join(one, "__key", "left")
         found.append(k)
     for f in fields:

@@ -10,12 +10,14 @@ from fieldloom.plans.registry import query
 from fieldloom.sources import files
 from fieldloom.streaming import state
 
-_SENT = r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+_GUARD = "(^|[^A-Za-z])(" + "|".join(a.replace(".", "[.]") for a in text.ABBREVIATIONS) + r"|[A-Z])\.\x01"
+_ONCE = rf"regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '{_GUARD}', '\1\2. ', 'g')"
+_SENT = rf"string_split(regexp_replace({_ONCE}, '{_GUARD}', '\1\2. ', 'g'), chr(1))"
 
 
 @query(rf"SELECT doc_id, pos - 1 AS pos, s AS sentence FROM (SELECT doc_id, {_SENT} AS l FROM documents), unnest(l) WITH ORDINALITY AS u(s, pos)")
 def sentence_split(t, spark):
-    """Sentences in order."""
+    """Sentences in order, not cut after abbreviations and initials."""
     return t("documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
@@ -171,10 +173,10 @@ def relation_names(t, spark):
 
 @query("SELECT event_id, event_id % 5 <> 4 AS parsed, CASE WHEN event_id % 5 <> 4 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events")
 def json_repair(t, spark):
-    """objects out of fenced, wrapped, truncated and commented replies."""
+    """objects of one key out of fenced, wrapped, truncated and commented replies."""
     kind, p = F.col("event_id") % 5, F.col("props")
     reply = F.when(kind == 0, p).when(kind == 1, F.concat(F.lit("<think>{\"k\": 0}</think>```json\n["), p, F.lit("]\n```"))).when(kind == 2, F.concat(F.lit('{"items": ['), p, F.lit(", {\"k\": 1"))).when(kind == 3, F.concat(F.lit("Here it is: "), p, F.lit(" and more"))).otherwise("nothing {k: }")
-    one = F.try_element_at(repair.records(reply, "k long"), F.lit(1))
+    one = F.try_element_at(repair.records(reply, "k long", 1), F.lit(1))
     return t("events").select("event_id", one.isNotNull().alias("parsed"), one["k"].alias("k"))
 
 

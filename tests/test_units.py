@@ -1,10 +1,12 @@
 """Cases of single functions that the driver's tables do not hold."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.functions import calls, geo, names, repair, values
-from fieldloom.operators import articles, dedup, graph, lookup, memory, records, review_rules, text
+from fieldloom.operators import articles, dedup, graph, lookup, memory, records, review_rules, text, verify
 from fieldloom.streaming import state
 from fieldloom.plans import graph_queries, rule_queries, text_queries  # noqa: F401
 from fieldloom.plans.registry import QUERIES
@@ -39,9 +41,18 @@ def test_degrees(spark, given, expected):
 
 
 def test_json_repair(spark):
-    assert one(spark, F.size(repair.objects(F.col("c"))), c='<think>{"a":1}</think>```json\n[{"b": 1}, {"b": 2}, {"b"') == 2
+    assert one(spark, F.size(repair.objects(F.col("c"), 1)), c='<think>{"a":1}</think>```json\n[{"b": 1}, {"b": 2}, {"b"') == 2
+    nested = '[{"name":"E","taxonomy":{"phylum":"M"}},{"note":"a } b"}]'
+    assert [json.loads(x) for x in one(spark, repair.objects(F.col("c")), c=nested)] == json.loads(nested)
+    broken = 'so: {"name":"E","taxonomy":{"phylum":"M"}}, {"note":"a } b", "k": "\\"{"}, {"x": 1}, {"name": '
+    assert [json.loads(x) for x in one(spark, repair.objects(F.col("c")), c=broken)] == [{"name": "E", "taxonomy": {"phylum": "M"}}, {"note": "a } b", "k": '"{'}]
+    assert [json.loads(x) for x in one(spark, repair.objects(F.col("c")), c='{"n": 1, "items": [{"a": {"b": 2}}, 3], "more": []}')] == [{"a": {"b": 2}}]
+    assert [json.loads(x) for x in one(spark, repair.objects(F.col("c")), c='{"a": {"b": 1}}')] == [{"a": {"b": 1}}]
+    assert [json.loads(x) for x in one(spark, repair.objects(F.col("c")), c='Found: [ {"a": 1}, {"b": [1]} ] done')] == [{"a": 1}, {"b": [1]}]
+    for empty in ("[]", "", None, "nothing", "[1, 2]"):
+        assert spark.createDataFrame([(empty,)], "c string").select(F.size(repair.objects(F.col("c")))).first()[0] == 0
     assert one(spark, F.size(repair.objects(F.col("c"))), c="[]") == 0
-    assert one(spark, F.size(repair.objects(F.col("c"), 2)), c='{"a": 1}') == 0
+    assert one(spark, F.size(repair.objects(F.col("c"), 2)), c='so {"a": 1}') == 0
 
 
 def test_staging_and_commit(spark):
@@ -110,9 +121,9 @@ def test_sentence_mentions(spark):
 
 def test_packing_keeps_tables():
     table = "# Heading\n\n" + "\n".join("| a | b |" for _ in range(30))
-    chunks = text.pack(text.keep_tables("intro\n\n" + table + "\n\nend"), 60)
+    chunks = text.pack(text.keep_tables("intro\n\n" + table + "\n\nend"), 60, uncut=text.is_table)
     assert any(c.count("| a | b |") == 30 and "# Heading" in c for c in chunks)
-    assert text.pack(["x" * 100], 10) == ["x" * 100]
+    assert text.pack(["x" * 100], 10) == ["x" * 10] * 10
     assert text.pack([], 10) == []
 
 
@@ -171,3 +182,93 @@ def test_graphml_lines(spark):
     edges = spark.createDataFrame([("a", "R", "b")], "src string, rel string, tgt string")
     lines = [r["line"] for r in graph.graphml(nodes, edges).orderBy("part", "key").collect()]
     assert lines[0].startswith("<graphml") and lines[-1] == "</graph></graphml>" and "x&lt;y" in lines[1] and len(lines) == 5
+
+
+def test_dedup_keeps_null_keys(spark):
+    df = spark.createDataFrame([(0, None, "secondary", "x"), (1, None, "primary", None), (2, "a", "primary", "y")], "seq int, k string, type string, text string")
+    assert {(r["k"], r["seq"], r["first_seq"]) for r in dedup.priority_dedup(df, ["k"], dedup.type_priority(F.col("type")), F.col("text")).collect()} == {(None, 1, 0), ("a", 2, 2)}
+    assert dedup.priority_dedup(df.limit(0), ["k"], dedup.type_priority(F.col("type")), F.col("text")).count() == 0
+
+
+def test_cascade_keys(spark):
+    names_ = spark.createDataFrame([("x1", "大阪", 1), ("100001", "Harbour", 5), ("100000", "Harbour", 2), ("z", "Longbeach", 3), ("z2", None, 4)], "id string, n string, seq int")
+    q = spark.createDataFrame([("東京",), ("大阪",), ("harbour!",), ("Longbeech",), ("code 100001",), (None,), ("Harbour",)], "q string")
+    got = {r["q"]: (r["id"], r["how"]) for r in lookup.cascade(q, names_, "q", "n", "id", order=F.col("seq")).collect()}
+    assert got == {"東京": (None, "none"), "大阪": ("x1", "exact"), "harbour!": ("100000", "canonical"), "Longbeech": ("z", "fuzzy"), "code 100001": ("100001", "code"), "Harbour": ("100000", "exact")}
+
+
+def test_fuzzy_matches_equal_all_pairs(spark):
+    """The parts on which queries and names meet lose no pair that is close enough."""
+    import random
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abc") for _ in range(r.randrange(2, 14)))
+    known = sorted({word() for _ in range(150)})
+    asked = sorted({word() for _ in range(150)} - set(known))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i, *[0] * len(b)] if False else _next(row, i, x, b)
+        return row[-1]
+
+    def _next(row, i, x, b):
+        out = [i]
+        for j, y in enumerate(b, 1):
+            out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (x != y)))
+        return out
+
+    expected = {}
+    for a in asked:
+        fits = [(-round(1 - distance(a, b) / max(len(a), len(b)), 4), b) for b in known if a[0] == b[0]]
+        fits = [f for f in fits if -f[0] >= (0.92 if len(a) <= 4 else 0.8)]
+        if fits:
+            expected[a] = min(fits)[1]
+    names_ = spark.createDataFrame([(b, b) for b in known], "id string, n string")
+    got = lookup.cascade(spark.createDataFrame([(a,) for a in asked], "q string"), names_, "q", "n", "id")
+    assert {x["q"]: x["id"] for x in got.where("how = 'fuzzy'").collect()} == expected and expected
+
+
+def test_replies_with_repeated_ranks(spark):
+    reply = '{"usage": {"name": {"scientificName": "E v"}, "status": "ACCEPTED"}, "classification": [{"rank": "Phylum", "name": "A"}, {"rank": "PHYLUM", "name": "B"}, {"name": "C"}]}'
+    assert one(spark, verify.parsed_reply(F.col("c"))["ranks"], c=reply) == {"phylum": "B"}
+    table = spark.createDataFrame([("e v", "x", 0.5), ("e v", "y", 0.9), ("e v", "b", 0.9)], "key string, family string, score double")
+    df = spark.createDataFrame([("E v",)], "name string")
+    assert verify.verified(df, "name", {"one": table}, ["family"]).first()["family"] == "b"
+
+
+def test_merged_spans_within_others(spark):
+    df = spark.createDataFrame([("d", 0, 100, "L"), ("d", 5, 10, "L"), ("d", 101, 110, "L"), ("d", 120, 125, "L"), ("d", 126, 127, "M"), ("d", 128, 130, "L")], "doc string, start int, end int, label string")
+    got = sorted((r["start"], r["end"], r["label"], r["pieces"]) for r in review_rules.merged_spans(df, "doc").collect())
+    assert got == [(0, 110, "L", 3), (120, 125, "L", 1), (126, 127, "M", 1), (128, 130, "L", 1)]
+
+
+def test_sentences_after_abbreviations(spark):
+    assert one(spark, text.sentences(F.col("c")), c="See Fig. 2 of E. viridis. It was cf. red! Yes? No. 5 is sp. nov. here.") == ["See Fig. 2 of E. viridis.", "It was cf. red!", "Yes?", "No. 5 is sp. nov. here."]
+
+
+@pytest.mark.parametrize("given", ["Elysia obtusa Rüppell, 1828", "Elysia obtusa (Ørsted & Åsmund, 1901)"])
+def test_accented_authors(spark, given):
+    assert one(spark, names.canon_name(F.col("c")), c=given) == "elysia obtusa"
+
+
+def test_chunks_stay_in_their_budget():
+    import random
+
+    r = random.Random(2)
+    for _ in range(300):
+        pieces = ["x" * r.randrange(1, 90) for _ in range(r.randrange(0, 12))]
+        most, overlap = r.randrange(5, 60), r.randrange(0, 30)
+        chunks = text.pack(pieces, most, overlap)
+        assert all(len(c) <= most for c in chunks)
+        assert sum(c.count("x") for c in text.pack(pieces, most)) == sum(map(len, pieces))
+
+
+def test_offices_and_boxes(spark):
+    offices = spark.createDataFrame([(1, "Narara Bay"), (2, "Narara"), (3, "Oaks"), (4, ""), (5, None)], "seq int, office string")
+    q = spark.createDataFrame([("narara",), ("Bay",), ("The Oaks Road",), ("zz",), ("",), (None,), ("a",)], "q string")
+    got = {r["q"]: r["seq"] for r in lookup.office_match(q, offices, "q", "office", "seq").collect()}
+    assert got == {"narara": 2, "Bay": 1, "The Oaks Road": 3, "zz": None, "a": 1}
+    stations = spark.createDataFrame([("d", 1, "s1", "Harbour"), ("d", 2, "st", "Reef")], "doc string, seq int, id string, place string")
+    df = spark.createDataFrame([("d", "Station S1"), ("d", "S"), ("d", ""), ("e", "S1"), ("d", "x")], "doc string, place string")
+    assert {(r["doc"], r["place"]): r["station_place"] for r in lookup.resolved_stations(df, "place", stations, "doc").collect()} == {("d", "Station S1"): "Harbour", ("d", "S"): "Harbour", ("d", ""): None, ("e", "S1"): None, ("d", "x"): None}
