@@ -66,6 +66,23 @@ def split_places(c: Column, shortest: int = 4) -> Column:
     return F.array_distinct(F.filter(parts, lambda p: F.length(p) >= shortest))
 
 
+#: Words that make a part of a place a wider place (fixed values).
+WIDER_PLACES = (
+    "gulf", "bay", "sea", "ocean", "coast", "island", "district", "taluk", "tehsil", "state", "province", "india", "gujarat", "kerala", "karnataka", "maharashtra", "tamil", "andhra", "odisha",
+    "goa", "lakshadweep", "andaman", "nicobar", "bengal", "assam",
+)
+
+
+def separate_places(c: Column, wider: tuple[str, ...] = WIDER_PLACES) -> Column:
+    """The places in a list by commas or semicolons: one if it has parentheses, or if half of its parts (rounded down) or more name a
+    wider place; null gives null."""
+    whole = F.array(F.trim(c))
+    parts = F.split(c, r"[;,]\s*")
+    hits = F.size(F.filter(parts, lambda p: F.exists(F.array(*[F.lit(w) for w in wider]), lambda w: F.contains(F.lower(p), w))))
+    one = c.rlike("[()]") | (F.size(parts) <= 1) | (hits >= F.floor(F.size(parts) / 2))
+    return F.when(c.isNull(), F.lit(None).cast("array<string>")).when(one, whole).otherwise(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != ""))
+
+
 def completed_place(place: Column, *wider: Column) -> Column:
     """A place followed by its wider ones (district, state, country) that it does not name already, joined by commas."""
     out = place

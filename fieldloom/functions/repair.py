@@ -42,6 +42,13 @@ def objects(reply: Column, fewest_keys: int = 2) -> Column:
     )
 
 
+def only_list(reply: Column) -> Column:
+    """The objects of the list that a reply is or holds, as JSON texts; a reply without a sound list gives none."""
+    c = F.coalesce(bare(reply), F.lit(""))
+    held = F.regexp_extract(c, r"(?s)(\[\s*\{.*\}\s*\])", 1)
+    return F.coalesce(_listed(F.when(held != "", held).otherwise(c)), F.array().cast("array<string>"))
+
+
 def records(reply: Column, schema: str, fewest_keys: int = 2) -> Column:
     """The objects as structs of a DDL schema."""
     return F.transform(objects(reply, fewest_keys), lambda o: F.from_json(o, schema))

@@ -37,3 +37,17 @@ def fill_blanks(df: DataFrame, other: DataFrame, key: str, columns: tuple[str, .
 def round_even(c: Column, digits: int = 0) -> Column:
     """Rounds halves to even."""
     return F.bround(c, digits)
+
+
+def distinct_names(names: Column) -> Column:
+    """The names of an array in order, of names alike but for case and surrounding space the first; blank and null ones are left out."""
+    some = F.filter(F.transform(names, strip), lambda n: n.isNotNull() & (n != ""))
+    keys = F.array_distinct(F.transform(some, lambda n: F.lower(n)))
+    return F.transform(keys, lambda k: F.element_at(F.filter(some, lambda n: F.lower(n) == k), 1))
+
+
+def without_confidence(c: Column) -> tuple[Column, Column]:
+    """A reply before its tag [CONFIDENCE: HIGH, MEDIUM or LOW], without reasoning blocks, and whether it is sure: HIGH, or no tag."""
+    tag = r"(?i)\[CONFIDENCE:\s*(HIGH|MEDIUM|LOW)\]"
+    bare = strip(F.regexp_replace(c, r"(?s)<think>.*?</think>", ""))
+    return F.regexp_replace(bare, rf"(?s)\s*{tag}.*$", ""), ~bare.rlike(tag) | (F.upper(F.regexp_extract(bare, tag, 1)) == "HIGH")

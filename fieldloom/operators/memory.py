@@ -52,6 +52,50 @@ def recall(index: DataFrame, query: DataFrame, doc: str, qid: str, k: int) -> Da
     return scored.where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def recalled(index: DataFrame, query: DataFrame, doc: str, qid: str, k: int) -> DataFrame:
+    """What recall gives on tfidf(index), but weights meet the queries' tokens at once: the whole index only gives each document's
+    length, by partial sums, and no window passes over it."""
+    n = index.agg(F.countDistinct(doc).alias("n"))
+    df_ = index.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("token", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    raw = index.join(df_, "token").withColumn("w", (1 + F.ln("tf")) * F.col("idf"))
+    length = raw.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    hits = raw.join(query.select(qid, "token", F.col("weight").alias("qw")), "token").groupBy(qid, doc).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    scored = hits.join(length, doc).select(qid, doc, F.round(F.col("dot") / F.col("length"), 6).alias("score")).where("score > 0")
+    w = Window.partitionBy(qid).orderBy(F.desc("score"), doc)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def hits(index: DataFrame, nodes: DataFrame, doc: str, words: Sequence[str], k: int = 50) -> DataFrame:
+    """nodes (with the column doc) whose text holds all words, with matched, the sum of their frequencies; the k with most, ties by
+    doc. The index is cut to the words before anything meets the nodes."""
+    some = index.where(F.col("token").isin(*[w.lower() for w in words])).groupBy(doc).agg(F.count("*").alias("n"), F.sum("tf").alias("matched"))
+    top = some.where(F.col("n") == len({w.lower() for w in words})).orderBy(F.desc("matched"), doc).limit(k).select(doc, "matched")
+    return nodes.join(top, doc)
+
+
+def session_rollup(batch: DataFrame, bank: DataFrame, session: str, name: str, place: str) -> DataFrame:
+    """session, n_records of the batch, and n_names and n_places of the whole bank."""
+    own = batch.groupBy(session).agg(F.count("*").alias("n_records"))
+    return own.join(F.broadcast(bank.agg(F.countDistinct(name).alias("n_names"), F.countDistinct(place).alias("n_places"))))
+
+
+def centroid(df: DataFrame, key: str, lat: str, lon: str) -> DataFrame:
+    """The mean of the coordinates of each key, of rows that have both."""
+    return df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).groupBy(key).agg(F.avg(lat).alias(lat), F.avg(lon).alias(lon), F.count("*").alias("n"))
+
+
+def grouped_by_name(df: DataFrame, names: Sequence[str], status: str, approved: str, value: str) -> DataFrame:
+    """name (the first filled of the columns) and n and first of its approved rows; rows without a name are left out."""
+    name = F.coalesce(*[F.nullif(F.trim(F.col(c)), F.lit("")) for c in names])
+    rows = df.where(F.col(status) == approved).withColumn("__name", name).where("__name is not null")
+    return rows.groupBy(F.col("__name").alias("name")).agg(F.count("*").alias("n"), F.min(value).alias("first"))
+
+
+def pending(df: DataFrame, processed: DataFrame, key: str, status: str, approved: str = "approved") -> DataFrame:
+    """Approved rows that are not processed yet; a null key counts as not processed."""
+    return df.where(F.col(status) == approved).join(processed.select(key).distinct(), key, "left_anti")
+
+
 def search(df: DataFrame, column: str, wanted: str, least: float = 0.7) -> DataFrame:
     """Rows that contain the wanted text, whatever the case; where there are none, the most similar one by edit distance."""
     low = F.lower(F.col(column))

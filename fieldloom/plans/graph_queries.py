@@ -142,9 +142,8 @@ def tfidf_matches(t, spark):
 @query()
 def tfidf_recall(t, spark):
     """The five documents nearest to each query by cosine."""
-    index = memory.tfidf(memory.tokens(t("documents"), "doc_id", "text"), "doc_id")
     q = memory.tokens(t("benchmark"), "item_id", "text").select("item_id", "token", F.col("tf").alias("weight"))
-    return memory.recall(index, q, "doc_id", "item_id", 5)
+    return memory.recalled(memory.tokens(t("documents"), "doc_id", "text"), q, "doc_id", "item_id", 5)
 
 
 @query("SELECT p_partkey, p_name, 1.0 AS similarity FROM part WHERE lower(p_name) LIKE '%widget%'")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.functions import calls, geo, names, repair, values
-from fieldloom.operators import articles, dedup, graph, lookup, memory, records, review_rules, text, verify
+from fieldloom.operators import articles, chunks, dedup, graph, lookup, memory, morphology, records, relations, review_rules, text, verify
 from fieldloom.streaming import state
 from fieldloom.plans import graph_queries, rule_queries, text_queries  # noqa: F401
 from fieldloom.plans.registry import QUERIES
@@ -272,3 +272,62 @@ def test_offices_and_boxes(spark):
     stations = spark.createDataFrame([("d", 1, "s1", "Harbour"), ("d", 2, "st", "Reef")], "doc string, seq int, id string, place string")
     df = spark.createDataFrame([("d", "Station S1"), ("d", "S"), ("d", ""), ("e", "S1"), ("d", "x")], "doc string, place string")
     assert {(r["doc"], r["place"]): r["station_place"] for r in lookup.resolved_stations(df, "place", stations, "doc").collect()} == {("d", "Station S1"): "Harbour", ("d", "S"): "Harbour", ("d", ""): None, ("e", "S1"): None, ("d", "x"): None}
+
+
+def test_relation_triples(spark):
+    got = lambda reply: [tuple(x) for x in spark.createDataFrame([(reply,)], "c string").select(relations.triples(F.col("c"))).first()[0]]
+    assert got('[{"subject": "E", "relation": "  found_at  ", "object": "Bay", "confidence": 1.5}]') == [("E", "FOUND_AT", "Bay", "", 1.0)]
+    assert got('[{"subject": "E", "relation": "IS FOUND_AT HERE", "object": "B", "evidence": " x ", "confidence": "0.7"}]') == [("E", "FOUND_AT", "B", "x", 0.7)]
+    assert got('<think>[{"a": 1}]</think>```json\n[{"subject": "E", "relation": "PREVIOUSLY INHABITS", "object": "{x}"}]```') == [("E", "INHABITS", "{x}", "", 1.0)]
+    assert got('[{"subject": "E", "relation": "unknown_rel", "object": "B", "confidence": null}, {"subject": "E", "relation": "x", "object": "B", "confidence": 0.4}, 7]') == [("E", "UNKNOWN_REL", "B", "", 1.0)]
+    for none in ('[{"subject": " ", "relation": "X", "object": "B"}]', '[{"subject": "E", "object": "B"', "[]", "", None, '{"subject": "E", "relation": "R", "object": "B"}', '[{"subject": "E", "relation": "R", "object": "B", "confidence": -0.5}]'):
+        assert got(none) == [], none
+    calls = spark.createDataFrame([("text", ["A ", "A", "", "B"]), (" ", ["A"]), ("t", []), ("t", None), (None, ["A"])], "t string, k array<string>").select(relations.asked(F.col("t"), F.col("k")).alias("a")).collect()
+    assert [c["a"] and tuple(c["a"]) for c in calls] == [(["A", "B"], "text"), None, None, None, None]
+    new = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("b", 4)], "k string, seq int")
+    assert {r["seq"] for r in relations.skip_existing(new, new.where("k = 'a'"), ["k"], "seq").collect()} == {1, 4}
+    assert {r["seq"] for r in relations.skip_existing(new, new.where("k is null"), ["k"], "seq").collect()} == {3, 4}
+
+
+def test_sentence_packing(spark):
+    import random
+
+    r = random.Random(3)
+    for _ in range(200):
+        sentences = ["w" * r.randrange(1, 40) + "." for _ in range(r.randrange(0, 15))]
+        budget = r.randrange(5, 80)
+        got = chunks.pack_sentences(sentences, budget)
+        assert " ".join(got) == " ".join(sentences) and all(len(c) <= budget or " " not in c for c in got)
+        for x, y in zip(got, got[1:], strict=False):  # greedy: the next sentence did not fit
+            assert len(x) + 1 + len(y.split(" ")[0]) > budget
+        over = chunks.pack_sentences(sentences, budget, again=1)
+        assert all(len(c) <= budget or " " not in c for c in over) and [s for c in over for s in c.split(" ")][-1:] == sentences[-1:]
+    df = spark.createDataFrame([(1, "One. Two here. Three.", "ctx"), (2, None, None), (3, " ", "c"), (4, "short", "c")], "id int, t string, c string")
+    assert [(x["id"], x["pos"], x["chunk"]) for x in chunks.sentence_chunks(df, ("id",), "t", 10).orderBy("id", "pos").collect()] == [(1, 0, "One."), (1, 1, "Two here."), (1, 2, "Three."), (4, 0, "short")]
+    assert chunks.sentence_chunks(df, ("id",), "t", 217, "c", 1).where("id = 1").count() == 2
+    assert chunks.sentence_chunks(df.limit(0), ("id",), "t", 10).count() == 0
+
+
+def test_recall_in_two_ways(spark):
+    rows = spark.createDataFrame([(i, " ".join(w * (i % (k + 2)) for k, w in enumerate(("coral ", "reef ", "shore ", "tide "))) + f"word{i % 7}") for i in range(40)], "doc_id int, text string")
+    index = memory.tokens(rows, "doc_id", "text")
+    q = memory.tokens(rows.where("doc_id % 9 = 1").withColumnRenamed("doc_id", "qid"), "qid", "text").select("qid", "token", F.col("tf").alias("weight"))
+    one, two = (sorted(map(tuple, x.select("qid", "doc_id", "rank").collect())) for x in (memory.recall(memory.tfidf(index, "doc_id"), q, "doc_id", "qid", 5), memory.recalled(index, q, "doc_id", "qid", 5)))
+    assert one == two and one
+    assert memory.recalled(index.limit(0), q, "doc_id", "qid", 5).count() == 0
+
+
+def test_morphology_around_names(spark):
+    df = spark.createDataFrame([("a (b) c A (B)", "a (b)"), ("abc" * 2000, "zz"), (None, "x"), ("abc", ""), ("abc", None)], "t string, n string")
+    got = [r["x"] for r in df.select(morphology.around(F.col("t"), F.col("n"), 2, 9).alias("x")).collect()]
+    assert got == ["a (b) c c A (B)", "abcabcabc", "", "abc", "abc"]
+    assert one(spark, morphology.sizes(F.col("c")), c="up to 3.5 – 10 mm, also 2 mm") == [2.0, 10.0]
+    assert spark.createDataFrame([(None,)], "c string").select(morphology.fields(F.col("c")).alias("f")).select("f.*").first().asDict()["status"] is None
+
+
+def test_places_apart(spark):
+    cases = {"Narara, Pirotan, Beyt Dwarka": 1, "Narara; Pirotan; Beyt; Dwarka": 4, "Narara Island, Gulf of Kutch": 1, "Site A (Narara, intertidal)": 1, "Narara": 1, "": 1}
+    cases["Narara, Pirotan, Beyt Dwarka"] = 3
+    for c, n in cases.items():
+        assert one(spark, F.size(geo.separate_places(F.col("c"))), c=c) == n, c
+    assert one(spark, values.distinct_names(F.col("c")), c=["b", " B", None, "", "a"]) == ["b", "a"]
