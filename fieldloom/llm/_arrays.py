@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,8 @@ import pyarrow.compute as pc
 
 #: Bytes that one vectorised step works on; intermediate arrays take about forty times as much.
 PIECE = 1 << 19
+#: Bytes from which a word has a cryptographic hash: sums modulo 2 to the 64 are easy to make collide in long ones.
+LONG = 256
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -127,7 +130,10 @@ def _piece(raw: np.ndarray, heads: np.ndarray, at: int, inside: np.ndarray, fold
     total = np.cumsum(term, dtype=_U)
     before = total[start] - term[start]
     scale = down[start]
-    out = [start + at, end + 1 + at, mix((total[end] - before) * scale)]
+    key = mix((total[end] - before) * scale)
+    for k in np.flatnonzero(end - start >= LONG).tolist():
+        key[k] = int.from_bytes(blake2b(fold[raw[start[k] : end[k] + 1]].tobytes(), digest_size=8).digest(), "little")
+    out = [start + at, end + 1 + at, key]
     for k in prefixes:
         out.append(mix((total[np.minimum(end, start + k - 1)] - before) * scale))
     return tuple(out)

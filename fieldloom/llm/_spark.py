@@ -46,6 +46,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def extended(df: DataFrame, more: str) -> StructType:
     """The schema of df followed by the columns of a DDL string."""
     return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])

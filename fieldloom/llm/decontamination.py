@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm._arrays import ALNUM, LOWER, Words, blocks, mix, text_arrays
-from fieldloom.llm._spark import extended
+from fieldloom.llm._spark import extended, free_name
 
 _U = np.uint64
 _ODD = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)]
@@ -268,4 +268,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
             kept = b.filter(pa.array(np.concatenate(clean) if clean else np.zeros(0, bool)))
             yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=names)
 
-    return docs.select("*", F.col(text).alias("__text")).mapInArrow(run, docs.schema)
+    return docs.select("*", F.col(text).alias(free_name(docs, "__text"))).mapInArrow(run, docs.schema)

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.llm._spark import free_name
+
 #: Stands for a separator inside a number or host name while patterns run, so that they need no nested repetition; the same
 #: character in a text becomes the other one, which no pattern takes.
 MARK, OTHER = "\x01", "\x02"
@@ -97,7 +99,8 @@ def _spans(text: Column, kind: Kind, rank: int) -> Column:
 def with_pii(df: DataFrame, text: str = "text", column: str = "pii", least: float = 0.5) -> DataFrame:
     """df and an array of spans (start, rank, end, kind, score) with a score of at least `least`, by start, then kind.
 
-    Starts and ends count code points, ends exclusive. Null counts as an empty text, without spans; every row stays as it is.
+    Starts and ends count code points, ends exclusive. Null counts as an empty text, without spans; every row stays as it is, repeated
+    rows included; an empty table gives an empty result. A column of df that is named like `column` is replaced.
     """
     value = F.coalesce(F.col(text), F.lit(""))
     found = F.concat(*[_spans(value, kind, rank) for rank, kind in enumerate(KINDS)])
@@ -131,7 +134,7 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def mask_pii(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
-    """df with personal data in `text` masked; a null text stays null."""
-    name = "__pii"
+    """df, with all its columns and rows, with personal data in `text` masked; a null text stays null."""
+    name = free_name(df, "__pii")
     found = with_pii(df, text, name, least)
     return found.withColumn(text, masked(F.col(text), F.col(name))).select(*df.columns)

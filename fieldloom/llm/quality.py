@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm._arrays import LOWER, NOT_SPACE, Words, blocks, byte_class, mix, text_arrays
-from fieldloom.llm._spark import extended, hash_share
+from fieldloom.llm._spark import extended, free_name, hash_share
 from fieldloom.llm.decontamination import Lookup
 from fieldloom.llm.toxicity import FUNCTION_WORDS
 
@@ -277,4 +277,4 @@ def keep_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
             kept = b.filter(pa.array(1 - scorer.bad(b.column(b.num_columns - 1)) >= least))
             yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=names)
 
-    return docs.select("*", F.col(text).alias("__text")).mapInArrow(run, docs.schema)
+    return docs.select("*", F.col(text).alias(free_name(docs, "__text"))).mapInArrow(run, docs.schema)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm._arrays import LOWER, NOT_SPACE, Words, blocks, mix, text_arrays
-from fieldloom.llm._spark import dropped, extended, partitions, written
+from fieldloom.llm._spark import dropped, extended, free_name, partitions, written
 from fieldloom.llm.components import connected_components
 
 _U = np.uint64
@@ -540,5 +540,6 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shing
     joined = classes.join(root, classes["__th"] == root["node"], "left").select("__least", F.coalesce("root", "__th").alias("__root"))
     chosen = joined.groupBy("__root").agg(F.min("__least").alias("w")).select(F.coalesce(F.col("w.id").cast("string"), F.lit("")).alias("__wid"), F.col("w.th").alias("__wth"))
     # ids are long or string; the two parts together name one text, and of its equal rows the first stays
-    keyed = df.withColumn("__wid", F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).withColumn("__wth", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    return keyed.join(chosen, ["__wid", "__wth"], "left_semi").dropDuplicates(["__wid", "__wth"]).drop("__wid", "__wth")
+    wid, wth = free_name(df, "__wid"), free_name(df, "__wth")
+    keyed = df.withColumn(wid, F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).withColumn(wth, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    return keyed.join(chosen.toDF(wid, wth), [wid, wth], "left_semi").dropDuplicates([wid, wth]).drop(wid, wth)

@@ -195,6 +195,15 @@ def test_components_equal_brute_force(spark, monkeypatch, deal):
     assert len(kept - exact) <= 0.02 * len(texts)
 
 
+def test_long_words_do_not_collide():
+    """Words by the Thue-Morse sequence and its opposite have equal sums modulo 2 to the 64, whatever the odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << 12)]
+    one, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    texts = pa.array([one, other, one])
+    w = simhash.Words(*simhash.text_arrays(texts), simhash.NOT_SPACE)
+    assert w.hash[0] != w.hash[1] and w.hash[0] == w.hash[2]
+
+
 def test_groups_are_read_whole():
     keys = np.repeat([5, 7, 9, 9, 2], [3, 10, 1, 4, 6]).astype(np.int64)
     for size in (1, 2, 3, 7, 50):
@@ -357,7 +366,11 @@ def test_pii_spans(spark, empty):
     assert got[None] == []
     masked = {r["text"] for r in pii.mask_pii(df).collect()}
     assert {"mail [EMAIL][EMAIL]", "[CARD]", "é [PHONE]!", None} <= masked
-    assert pii.with_pii(empty).count() == 0
+    assert pii.with_pii(empty).count() == 0 and pii.mask_pii(empty).count() == 0
+    clash = df.union(df).withColumn("__pii", F.lit("own")).withColumn("pii_kind", F.lit(1)).withColumn("kind", F.lit("k")).withColumn("start", F.lit(7))
+    rows = pii.with_pii(clash).collect()  # repeated rows, each with its own spans, and columns named like the spans' fields
+    assert len(rows) == 2 * df.count() and all(r["__pii"] == "own" and r["kind"] == "k" and r["start"] == 7 for r in rows)
+    assert all([x["kind"] for x in r["pii"]] == [x.split(":")[0] for x in cases[r["text"]]] for r in rows if r["text"] in cases)
 
 
 def test_secrets(docs, empty):
@@ -539,6 +552,12 @@ def test_mixing(docs, empty, spark):
     assert firsts == sorted(firsts)
     assert [r["doc_id"] for r in mixing.mix(docs.repartition(7)).collect()] == [r["doc_id"] for r in rows]
     assert mixing.mix(empty).count() == 0
+    again = docs.where("doc_id < 5")
+    for _ in range(4):  # repeated ids and rows: each row counts, sizes add up
+        again = again.union(again)
+    found = mixing.mix(again)
+    assert found.count() == again.count() == 16 * docs.where("doc_id < 5").count()
+    assert {r["source"]: r["source_size"] for r in found.collect()} == {s: 16 * sum(size(r["text"]) for r in docs.where("doc_id < 5").collect() if r["source"] == s) for s in {r["source"] for r in docs.where("doc_id < 5").collect()}}
     assert mixing.mix(spark.createDataFrame([(1, None, "en", None, 0, "", "", 0)], SCHEMA)).first()["taken"] == 0
 
 

@@ -66,6 +66,21 @@ def test_stages_take_effect(spark):
     assert len(mixed) == masked.count()
 
 
+def test_stages_with_other_columns_and_nulls(spark):
+    """Columns named like those used inside, nulls in every column, repeated rows and empty texts."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    more = docs.withColumn("__text", docs["lang"]).withColumn("__id", docs["n_chars"]).withColumn("bits", docs["lang"]).withColumn("fp", docs["n_chars"]).withColumn("pii", docs["lang"]).withColumn("component_id", docs["doc_id"])
+    nulls = spark.createDataFrame([tuple([None] * len(more.columns)), (None, "", *[None] * (len(more.columns) - 2)), (10**9, None, *[None] * (len(more.columns) - 2))], more.schema)
+    rows = more.union(more).union(nulls)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, rows, DATA)
+        if name != "mix":
+            assert out.columns == rows.columns, name
+        n = out.count()
+        assert n == rows.count() if name in ("mix", "personal data") else 0 < n <= rows.count(), name
+        assert stage(spark, rows.limit(0), DATA).count() == 0
+
+
 def test_run_and_empty(spark, tmp_path):
     assert corpus_pipeline.run(spark, DATA).count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
