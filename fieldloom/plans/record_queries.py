@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions import values
-from fieldloom.operators import dedup, records
+from fieldloom.operators import dedup, records, scans
 from fieldloom.plans.registry import query
 
 EVENT_PRIORITY = "CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 WHEN 'click' THEN 2 ELSE 3 END"
@@ -44,34 +43,90 @@ def conflict_detection(t, spark):
 
 @query("SELECT event_id, user_id, event_type, value FROM events ORDER BY event_id DESC LIMIT 500")
 def latest_rows(t, spark):
-    """The latest rows, a report of fixed size."""
-    return t("events").select("event_id", "user_id", "event_type", "value").orderBy(F.desc("event_id")).limit(500)
+    """The latest rows, a report of fixed size."""
+    return scans.latest(t("events").select("event_id", "user_id", "event_type", "value"), "event_id", 500)
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def all_rows_latest_first(t, spark):
+    """All rows, the latest first."""
+    return scans.latest(t("events").select("event_id", "user_id", "event_type", "value"), "event_id")
 
 
 @query("SELECT event_id, event_type, CAST(NULL AS VARCHAR) AS reviewer, 'unknown' AS place FROM events WHERE user_id = 7 AND (event_type IS NULL OR event_type <> 'error')")
 def live_rows_of_key(t, spark):
-    """Rows of one key that are not rejected, null kept; columns that are missing come as null or a default."""
-    rows = t("events").where((F.col("user_id") == 7) & (F.col("event_type").isNull() | (F.col("event_type") != "error")))
-    return values.select_or_null(rows, {"event_id": "long", "event_type": "string", "reviewer": "string", "place": "string"}).na.fill({"place": "unknown"})
+    """S3: rows of one key that are not rejected, null kept; columns that are missing come as null or a default."""
+    columns = {"event_id": "long", "event_type": "string", "reviewer": "string", "place": "string"}
+    return scans.of_key(scans.live(t("events"), "event_type", "error"), "user_id", 7, columns, {"place": "unknown"})
+
+
+@query("SELECT event_id, event_type, 'unknown' AS place FROM events WHERE event_type = 'click' ORDER BY event_id LIMIT 200")
+def capped_rows_of_key(t, spark):
+    """The same, the first two hundred."""
+    return scans.of_key(t("events"), "event_type", "click", {"event_id": "long", "event_type": "string", "place": "string"}, {"place": "unknown"}, "event_id", 200)
 
 
 @query("SELECT user_id, arg_min(event_type, event_id) AS event_type, min(event_id) AS event_id FROM events WHERE value > 5 GROUP BY user_id")
 def first_row_lookup(t, spark):
     """The first row of each key that fulfils a condition."""
-    return t("events").where("value > 5").groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("event_type"), F.min("event_id").alias("event_id"))
+    return scans.first_rows(t("events").select("user_id", "event_type", "event_id", "value"), "user_id", F.col("value") > 5, "event_id").select("user_id", "event_type", "event_id")
 
 
 @query("SELECT DISTINCT coalesce(r_name, '') AS r_name, coalesce(n_name, '') AS n_name, coalesce(c_mktsegment, '') AS c_mktsegment FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey")
 def distinct_hierarchy(t, spark):
     """Distinct paths of a hierarchy, blanks for nulls."""
     h = t("region").join(t("nation"), F.col("r_regionkey") == F.col("n_regionkey")).join(t("customer"), F.col("n_nationkey") == F.col("c_nationkey"))
-    return h.select("r_name", "n_name", "c_mktsegment").distinct().na.fill("")
+    return scans.hierarchy(h, ("r_name", "n_name", "c_mktsegment"))
 
 
 @query("""SELECT event_id FROM events WHERE (CASE WHEN value < 5 THEN NULL ELSE value END IS NULL) AND event_type <> 'error'""")
 def missing_value_scan(t, spark):
     """Rows without a coordinate that are not rejected; by a bare comparison, null status drops out."""
-    return t("events").where(F.when(F.col("value") < 5, None).otherwise(F.col("value")).isNull() & (F.col("event_type") != "error")).select("event_id")
+    e = t("events").select("event_id", "event_type", "props", F.when(F.col("value") >= 5, F.col("value")).alias("lat"), F.lit(1.0).alias("lon"))
+    return scans.live(e.where("lat is null"), "event_type", "error", keep_null=False).select("event_id")
+
+
+@query("""SELECT event_id, keeps FROM (SELECT event_id, value, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_type = 'error' THEN 'rejected' ELSE 'open' END AS status, event_id % 5 > 0 AS placed FROM events), (VALUES (TRUE), (FALSE)) AS v(keeps)
+    WHERE value < 5 AND placed AND (status <> 'rejected' OR (keeps AND status IS NULL))""")
+def rows_to_geocode(t, spark):
+    """Live rows with a place but without a coordinate, with and without those of null status."""
+    e = t("events").select(
+        "event_id", F.when(F.col("value") >= 5, F.col("value")).alias("lat"), F.lit(1.0).alias("lon"), F.when(F.col("event_id") % 5 > 0, "Bay").otherwise(" ").alias("place"),
+        F.when(F.col("event_id") % 7 != 0, F.when(F.col("event_type") == "error", "rejected").otherwise("open")).alias("status"),
+    )
+    both = [scans.without_place(e, "lat", "lon", "place", "status", keep).select("event_id", F.lit(keep).alias("keeps")) for keep in (True, False)]
+    return both[0].union(both[1])
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 < 2")
+def primary_rows(t, spark):
+    """Rows of the primary type, whatever its case."""
+    k = F.col("o_orderkey") % 3
+    return scans.primary_only(t("orders").withColumn("kind", F.when(k == 0, "Primary").when(k == 1, " PRIMARY ").otherwise("secondary")), "kind").select("o_orderkey")
+
+
+@query("SELECT user_id, event_type, count(*) AS times FROM events GROUP BY ALL ORDER BY times DESC, event_type, user_id LIMIT 10")
+def most_confirmed(t, spark):
+    """The ten facts confirmed most often."""
+    atoms = t("events").groupBy("user_id", "event_type").agg(F.count("*").alias("times"))
+    return scans.most_confirmed(atoms.withColumn("key", F.concat_ws("|", "event_type", F.lpad(F.col("user_id").cast("string"), 12, "0"))), "times", "key").drop("key")
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_user_id, CAST(round_even(1000.0 * count(*) FILTER (event_id % 4 > 0) / count(*), 0) AS BIGINT) AS tenths FROM events GROUP BY event_type")
+def coverage_statistics(t, spark):
+    """Counts, distinct counts and the share of rows in which a column is filled (in tenths of a percent)."""
+    e = t("events").withColumn("place", F.when(F.col("event_id") % 4 > 0, "Bay").otherwise(" "))
+    return scans.statistics(e, "event_type", ("user_id",), ("place",)).select("event_type", "n", "n_user_id", F.bround(F.col("pct_place") * 10).cast("long").alias("tenths"))
+
+
+@query("""WITH m AS (SELECT DISTINCT l_suppkey, l_returnflag || l_linestatus || l_linenumber AS n FROM lineitem), p AS (SELECT y.n AS other, count(*) AS weight FROM m x JOIN m y USING (l_suppkey) WHERE x.n = 'AF1' AND y.n <> 'AF1' GROUP BY ALL)
+    SELECT other, weight FROM p WHERE weight >= 2""")
+def co_occurring(t, spark):
+    """O2: what occurs with a name, from a least weight."""
+    from fieldloom.operators import graph
+
+    m = t("lineitem").select("l_suppkey", F.concat("l_returnflag", "l_linestatus", "l_linenumber").alias("n")).distinct()
+    return scans.co_occurring(graph.co_occurrence(m, "l_suppkey", "n"), "AF1", 2)
 
 
 @query("""SELECT c_custkey, n_name, r_name, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
@@ -80,22 +135,20 @@ def hierarchical_filter(t, spark):
     """A cascade of selections, from the top of a hierarchy down; empty selections are ignored."""
     chosen = {"r_name": ["ASIA", "EUROPE"], "n_name": [], "c_mktsegment": ["BUILDING"]}
     df = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    for column, some in chosen.items():
-        if some and column in df.columns:
-            df = df.where(F.col(column).isin(some))
-    return df.select("c_custkey", "n_name", "r_name", "c_mktsegment")
+    return scans.chosen(df, chosen).select("c_custkey", "n_name", "r_name", "c_mktsegment")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE lower(p_type) = 'economy' AND coalesce(p_size, 0) >= 10 ORDER BY p_name, p_partkey LIMIT 5000")
 def filtered_rows(t, spark):
-    """Filters with null as zero, whatever the case, in order, as many as one view shows."""
+    """Filters with null as zero, whatever the case, in order, as many as one view shows."""
     return t("part").where((F.lower("p_type") == "economy") & (F.coalesce("p_size", F.lit(0)) >= 10)).orderBy("p_name", "p_partkey").limit(5000).select("p_partkey", "p_name")
 
 
 @query("SELECT p_partkey FROM part WHERE regexp_matches(p_name, '(?i)RED|ring$') OR regexp_matches(p_brand, '(?i)brand#1$')")
 def contains_filter(t, spark):
     """A pattern in either of two columns, whatever the case; null is no match."""
-    return t("part").where(F.coalesce(F.col("p_name").rlike("(?i)RED|ring$"), F.lit(False)) | F.coalesce(F.col("p_brand").rlike("(?i)brand#1$"), F.lit(False))).select("p_partkey")
+    p = t("part").select("p_partkey", "p_name", "p_brand")
+    return scans.containing(p, ("p_name",), "RED|ring$").union(scans.containing(p, ("p_brand",), "brand#1$")).select("p_partkey").distinct()
 
 
 @query("""SELECT s_suppkey, concat_ws(' > ', nullif(r_name, ''), nullif(n_name, '')) AS path, substr(s_name, 1, 10) AS head, CAST(round(s_acctbal) AS BIGINT) AS score
@@ -156,8 +209,7 @@ def unseen_documents(t, spark):
 @query("SELECT event_id, value FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE event_type = 'purchase' OR n <= 60")
 def gated_rows(t, spark):
     """Rows without a mark are skipped only where their group is large."""
-    n = F.count("*").over(Window.partitionBy("user_id"))
-    return t("events").withColumn("n", n).where((F.col("event_type") == "purchase") | (F.col("n") <= 60)).select("event_id", "value")
+    return scans.gated(t("events"), "user_id", F.col("event_type") == "purchase", 60).select("event_id", "value")
 
 
 @query("""SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'from supplier' ELSE c_mktsegment END AS segment FROM customer""")
@@ -176,8 +228,7 @@ def dashboard_counts(t, spark):
 @query("""SELECT stage, count(*) AS n FROM (SELECT user_id, arg_max(event_type, (event_id % 5) * 1000000000 + event_id) AS stage FROM events GROUP BY user_id) GROUP BY stage""")
 def last_stage_counts(t, spark):
     """The last stage that each key has reached, counted."""
-    last = t("events").groupBy("user_id").agg(F.max_by("event_type", (F.col("event_id") % 5) * 1000000000 + F.col("event_id")).alias("stage"))
-    return last.groupBy("stage").agg(F.count("*").alias("n"))
+    return scans.last_stages(t("events").withColumnRenamed("event_type", "stage"), "user_id", "stage", (F.col("event_id") % 5) * 1000000000 + F.col("event_id"))
 
 
 @query("""SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'""")

@@ -280,3 +280,14 @@ def values_helpers(t, spark):
     """The first filled value and rounding of halves to even."""
     o = t("orders").select("o_orderkey", values.first_filled(F.lit(" "), F.col("o_orderstatus")).alias("s"))
     return o.where("s <> ''").groupBy("o_orderkey").agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH g AS (SELECT doc_id, regexp_extract_all(text, '(?:^|[^\p{L}])([A-Z][a-z]{2,}) [a-z]{4,}', 1) AS genera, list_distinct(regexp_extract_all(text, '(?:^|[^\p{L}.])([A-Z]\. ?[a-z]{3,})', 1)) AS short FROM (SELECT doc_id, replace(text, ', ', ' B. ') AS text FROM documents)),
+    s AS (SELECT doc_id, genera, unnest(short) AS given FROM g)
+    SELECT doc_id, given, list_filter(genera, lambda x: substr(x, 1, 1) = substr(given, 1, 1))[1] || ' ' || regexp_replace(given, '^[A-Z]\. ?', '') AS name FROM s""")
+def abbreviated_names(t, spark):
+    """Names with an abbreviated genus, expanded by the first full name with its letter."""
+    from fieldloom.operators import scans
+
+    d = t("documents").select("doc_id", F.explode(scans.abbreviated(F.replace("text", F.lit(", "), F.lit(" B. ")))).alias("a"))
+    return d.select("doc_id", "a.given", "a.name")

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a local temporary one only where it is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names; a temporary one only in local mode where it is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='fieldloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
