@@ -113,7 +113,7 @@ def memory_conflicts(t, spark):
 @query("""SELECT p_name, count(*) AS n, count(DISTINCT l_suppkey) AS n_places, max(l_quantity) AS best, arg_max(p_brand, (l_quantity, p_brand, p_type)) AS p_brand, arg_max(p_type, (l_quantity, p_brand, p_type)) AS p_type
     FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 10 GROUP BY p_name""")
 def checklist(t, spark):
-    """One row for each name, other columns from the row of the best score."""
+    """One row for each name, other columns from the row of the best score."""
     df = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
     return memory.checklist(df, "p_name", "l_suppkey", "l_quantity", ["p_brand", "p_type"], 10)
 
@@ -141,7 +141,7 @@ def tfidf_matches(t, spark):
 
 @query()
 def tfidf_recall(t, spark):
-    """The five documents nearest to each query by cosine."""
+    """The five documents nearest to each query by cosine."""
     q = memory.tokens(t("benchmark"), "item_id", "text").select("item_id", "token", F.col("tf").alias("weight"))
     return memory.recalled(memory.tokens(t("documents"), "doc_id", "text"), q, "doc_id", "item_id", 5)
 
@@ -196,7 +196,7 @@ def lookup_cascade_first_ways(t, spark):
 
 @query()
 def lookup_cascade(t, spark):
-    """J9, J20, 2.12: exact, canonical, fuzzy, phonetic and code matches, the first hit."""
+    """J9, 2.12: exact, canonical, fuzzy, phonetic and code matches, the first hit."""
     p = t("part")
     return lookup.cascade(p.select(F.expr(_CASCADE.replace("VARCHAR", "STRING")).alias("q")), p, "q", "p_name", "p_partkey")
 

@@ -98,7 +98,7 @@ def spelling_keys(t, spark):
 
 @query("SELECT n_nationkey, 'METHODS' AS role, '' AS context FROM nation UNION ALL SELECT n_nationkey, 'RESULTS', '12 m,5 m' FROM nation")
 def document_context(t, spark):
-    """What a document's methods say goes with its results."""
+    """What a document's methods say goes with its results."""
     md = F.concat(F.lit("# Methods\nat 12 m and 5 m and 12 m\n# Results\nfound at "), F.col("n_name"))
     s = text.sections(t("nation").select("n_nationkey", md.alias("md")), "n_nationkey", "md").where("section > 0")
     return rules.with_document_context(s, "n_nationkey", "role", "body", ("METHODS",), ("RESULTS",), "[0-9]+ m").select("n_nationkey", "role", F.array_join("context", ",").alias("context"))

@@ -56,7 +56,7 @@ def table_stats(t, spark):
 
 @query()
 def packed_chunks(t, spark):
-    """Paragraphs packed greedily with overlap, tables uncut."""
+    """Paragraphs packed greedily with overlap, tables uncut."""
     return text.packed(t("documents"), ("doc_id",), "text", most=1500, overlap=100)
 
 
@@ -72,13 +72,13 @@ def section_roles(t, spark):
 
 @query(r"""SELECT doc_id, round(least(1.0, CASE WHEN contains(low, 'the and') THEN 0.5 ELSE 0 END + CASE WHEN contains(low, 'the') THEN 0.3 ELSE 0 END + CASE WHEN contains(low, 't. and') THEN 0.15 ELSE 0 END + CASE WHEN contains(low, 'and') THEN 0.05 ELSE 0 END) * 100) AS score FROM (SELECT doc_id, lower(text) AS low FROM documents)""")
 def chunk_relevance(t, spark):
-    """How much a text is about a name."""
+    """How much a text is about a name."""
     return t("documents").select("doc_id", F.round(text.relevance(F.col("text"), F.lit("the and"), F.lit("the"), F.lit("and")) * 100).alias("score"))
 
 
 @query("""SELECT source, doc_id, length(substr(text, 1, CAST(5000 - b AS INT))) AS chars FROM (SELECT source, doc_id, text, coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM documents) WHERE b < 5000""")
 def budgeted_texts(t, spark):
-    """Texts of each key while a budget of characters lasts."""
+    """Texts of each key while a budget of characters lasts."""
     return text.budgeted(t("documents").select("source", "doc_id", "text"), "source", "doc_id", "text", 5000).select("source", "doc_id", F.length("text").cast("long").alias("chars"))
 
 
@@ -205,7 +205,7 @@ def marine_context(t, spark):
 
 @query("SELECT c_custkey, x AS place FROM customer, unnest([c_name, 'Harbour', 'Long Beach', 'inner']) AS u(x)")
 def place_split(t, spark):
-    """a compound place as one row for each part."""
+    """a compound place as one row for each part."""
     c = F.concat(F.col("c_name"), F.lit(" and Harbour; Long Beach (inner) & abc"))
     return t("customer").select("c_custkey", F.explode(geo.split_places(c)).alias("place"))
 
