@@ -9,12 +9,29 @@ from pyspark.sql import functions as F
 MARINE_WORDS = ("sea", "ocean", "marine", "offshore", "pelagic", "benthic", "reef", "coral", "deep", "trawl", "demersal", "littoral", "intertidal", "subtidal", "mangrove", "estuary", "coastal", "gulf", "bay", "island", "archipelago", "atoll", "seamount", "abyssal")
 
 _NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
-_DMS = rf"^\s*{_NUMBER}\s*[°º]\s*(?:{_NUMBER}\s*['′’]\s*)?(?:{_NUMBER}\s*(?:\"|″|”|'')\s*)?([NSEWnsew])?\s*$"
-_DECIMAL = r"^\s*(-?[0-9]+(?:\.[0-9]+)?)\s*°?\s*([NSEWnsew])?\s*$"
+_DMS = rf"^\s*([NSEWnsew])?\s*{_NUMBER}\s*[°º]\s*(?:{_NUMBER}\s*['′’]\s*)?(?:{_NUMBER}\s*(?:\"|″|”|'')\s*)?([NSEWnsew])?\s*$"
+_DECIMAL = r"^\s*([NSEWnsew])?\s*(-?[0-9]+(?:\.[0-9]+)?)\s*°?\s*([NSEWnsew])?\s*$"
+
+#: Damage that scanning does to coordinates, and what it is rewritten to (fixed values).
+SCAN_DAMAGE = (
+    (r"([NS])\s*(\d{1,2})0(\d{2}['\u2019\u02bc])", "$1 $2°$3"),
+    (r"([EW])\s*(\d{1,3})0(\d{2}['\u2019\u02bc])", "$1 $2°$3"),
+    (r"(\d)O(\d)", "$1°$2"),
+    (r"(\d+)\s*[dD°]\s*(\d+)\s*[mM']\s*([\d.]+)\s*[sS\"]", "$1°$2'$3\""),
+    (r"[\u2032\u02bc\u2019]", "'"),
+    (r"[\u2033\u201d]", '"'),
+    (r"[\u00a0\u200b\u200c\u200d\ufeff]", " "),
+)
 
 
 def repair_marks(c: Column) -> Column:
-    """Degree, minute and second marks that scanning has damaged."""
+    """Degree, minute and second marks that scanning has damaged, or that are spaces after a hemisphere; seconds without a mark get one."""
+    for pattern, by in SCAN_DAMAGE:
+        c = F.regexp_replace(c, pattern, by)
+    c = F.regexp_replace(c, r"^\s*([NSEWnsew])\s*(\d{1,3})\s+(\d{1,2})(?=\s|$)", "$1 $2°$3'")
+    c = F.regexp_replace(c, r"^\s*([NSEWnsew])\s*(\d{1,3})\s+(?=\d{1,2}\s*')", "$1 $2°")
+    c = F.regexp_replace(c, r"('\s*\d+(?:\.\d+)?)\s*(?=[NSEWnsew]?\s*$)", "$1\"")
+    c = F.regexp_replace(c, "[−–](?=[0-9])", "-")
     c = F.regexp_replace(c, r"(?<=[0-9])\s*(?:deg\.?|degrees)\s*", "°")
     c = F.regexp_replace(c, r"(?<=[0-9])[oO](?=\s*[0-9])", "°")
     c = F.regexp_replace(c, "[`´‘]", "'")
@@ -22,12 +39,14 @@ def repair_marks(c: Column) -> Column:
 
 
 def parse_degrees(c: Column, latitude: bool) -> Column:
-    """Degrees, minutes and seconds, or decimal degrees, as a number of seven digits; S and W are negative, null if implausible."""
+    """Degrees, minutes and seconds, or decimal degrees, the hemisphere before or after, as a number of seven digits; S and W are
+    negative, null if implausible."""
     c = repair_marks(c)
     part = lambda i: F.nullif(F.regexp_extract(c, _DMS, i), F.lit("")).cast("double")
+    side = lambda pattern, after: F.coalesce(F.nullif(F.regexp_extract(c, pattern, 1), F.lit("")), F.regexp_extract(c, pattern, after))
     sign = lambda h: F.when(F.upper(h).isin("S", "W"), -1.0).otherwise(1.0)
-    dms = (part(1) + F.coalesce(part(2), F.lit(0.0)) / 60 + F.coalesce(part(3), F.lit(0.0)) / 3600) * sign(F.regexp_extract(c, _DMS, 4))
-    decimal = F.nullif(F.regexp_extract(c, _DECIMAL, 1), F.lit("")).cast("double") * sign(F.regexp_extract(c, _DECIMAL, 2))
+    dms = (part(2) + F.coalesce(part(3), F.lit(0.0)) / 60 + F.coalesce(part(4), F.lit(0.0)) / 3600) * sign(side(_DMS, 5))
+    decimal = F.nullif(F.regexp_extract(c, _DECIMAL, 2), F.lit("")).cast("double") * sign(side(_DECIMAL, 3))
     value = F.coalesce(F.when(c.rlike(_DMS), dms), decimal)
     most = 90 if latitude else 180
     return F.when(value.between(-most, most), F.bround(value, 7))

@@ -43,6 +43,20 @@ def fold(rows: DataFrame, key: str, seq: str, scalars: Sequence[str] = (), lists
     return seen
 
 
+def unique_items(rows: DataFrame, key: str, seq: str, by: Column, item: Sequence[str], most: int | None = None, keep_blank: bool = False) -> DataFrame:
+    """key and items: of the rows of an article whose `by` is equal the first, in the order of seq (equal ones by item), the last `most`
+    of them. Rows whose `by` is null or blank are left out, or all kept with keep_blank. With `most`, rows are cut before they are
+    collected."""
+    own = rows.select(key, F.col(seq).alias("__seq"), filled(by.cast("string")).alias("__by"), F.struct(*item).alias("__item"))
+    one = own.where("__by is not null").groupBy(key, "__by").agg(F.min(F.struct("__seq", "__item")).alias("r")).select(key, "r.*")
+    if keep_blank:
+        one = one.unionByName(own.where("__by is null").select(key, "__seq", "__item"))
+    if most is not None:
+        late = Window.partitionBy(key).orderBy(F.desc("__seq"), F.desc("__item"))
+        one = one.withColumn("__n", F.row_number().over(late)).where(F.col("__n") <= most)
+    return one.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__seq", "__item"))).alias("l")).select(key, F.col("l.__item").alias("items"))
+
+
 def union_lists(a: Column, b: Column) -> Column:
     """The elements of both lists in order, each once."""
     return F.array_union(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>")))

@@ -31,11 +31,12 @@ def parsed_reply(reply: Column) -> Column:
     return F.when(r["usage"].isNotNull(), F.struct(name.alias("name"), F.coalesce(r["usage"]["accepted"]["name"]["scientificName"], name).alias("accepted"), F.lower(r["usage"]["status"]).alias("status"), ranks.alias("ranks")))
 
 
-def verified(df: DataFrame, name: str, authorities: Mapping[str, DataFrame], fields: Sequence[str], accept: float = 0.6) -> DataFrame:
+def verified(df: DataFrame, name: str, authorities: Mapping[str, DataFrame], fields: Sequence[str], accept: float = 0.6, first: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """df with fields filled from up to four authorities in order (tables keyed by canonical name, column key, with fields and
     score), confidence from all of them, and status: verified from `accept` on.
 
-    Each is a left equi-join on the canonical name; earlier authorities win, later ones fill what is blank. Of rows of an authority
+    Each is a left equi-join on the canonical name; earlier authorities win, later ones fill what is blank. `first` names, for a field,
+    authorities whose values come in this order before df's own value and before the others. Of rows of an authority
     with the same key that of the highest score counts, then that of the smallest fields.
     """
     out = df.withColumn("__key", canon_name(F.col(name)))
@@ -47,7 +48,8 @@ def verified(df: DataFrame, name: str, authorities: Mapping[str, DataFrame], fie
         found.append(k)
     for f in fields:
         own = [filled(F.col(f))] if f in df.columns else []
-        out = out.withColumn(f, F.coalesce(*own, *[filled(F.col(f"__{k}_{f}")) for k in found]))
+        ahead = [list(authorities).index(a) for a in (first or {}).get(f, ())]
+        out = out.withColumn(f, F.coalesce(*[filled(F.col(f"__{k}_{f}")) for k in ahead], *own, *[filled(F.col(f"__{k}_{f}")) for k in found]))
     has = [F.col(f"__{k}_score").isNotNull() for k in found] + [F.lit(False)] * (4 - len(found))
     score = F.col("__0_score") if found else F.lit(None).cast("double")
     exact = F.coalesce(F.col("__1_score") >= 1, F.lit(False)) if len(found) > 1 else F.lit(False)

@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.functions.values import select_or_null
 from fieldloom.sources.tables import shared_dir
 
 
@@ -65,6 +66,24 @@ def write_csv(df: DataFrame, columns: Sequence[str], order: Sequence[str], path:
     df.select(*columns).orderBy(*order).write.csv(path, header=True, quoteAll=True)
 
 
+#: Columns of an export of memory rows, in order (fixed values).
+EXPORT_COLUMNS = (
+    "atom_id", "session_id", "valid_name", "recorded_name", "phylum", "class_", "order_", "family_", "taxon_rank", "taxonomic_status", "worms_id", "itis_id", "name_according_to", "locality",
+    "latitude", "longitude", "geocoding_src", "habitat", "occurrence_type", "sampling_date", "depth_m", "method", "raw_evidence", "source_citation", "confidence", "times_confirmed",
+    "first_seen", "last_seen",
+)
+
+
+def export_rows(df: DataFrame) -> DataFrame:
+    """The 28 columns of an export in their order, as text; those that df lacks are null, further ones are left out."""
+    return select_or_null(df, dict.fromkeys(EXPORT_COLUMNS, "string"))
+
+
+def write_export(df: DataFrame, path: str) -> None:
+    """The export as CSV files, by phylum, family_ and valid_name, rows with equal ones by atom_id."""
+    write_csv(export_rows(df), EXPORT_COLUMNS, ("phylum", "family_", "valid_name", "atom_id"), path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
 

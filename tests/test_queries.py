@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from fieldloom.plans import graph_queries, more_queries, record_queries, rule_queries, text_queries, verify_queries  # noqa: F401
+from fieldloom.plans import graph_queries, more_queries, record_queries, rule_queries, table_queries, text_queries, verify_queries  # noqa: F401
 from fieldloom.plans.registry import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
