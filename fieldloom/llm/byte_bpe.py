@@ -5,10 +5,12 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +18,10 @@ from pyspark.sql import functions as F
 from fieldloom.llm._spark import extended
 from fieldloom.llm.tokens import model_path
 
-#: Splits remembered in one worker, and the bytes of the longest that is.
-SPLITS, SPLIT_BYTES = 400_000, 48
+#: Splits remembered in one worker, and the characters of the longest that is.
+SPLITS, SPLIT = 400_000, 48
 #: Pairs of tokens whose compatibility is remembered in one worker.
-PAIRS = 2_000_000
+PAIRS = 500_000
 #: Letters and numbers that Unicode has gained since version 16.0, first and last of each range. tiktoken's tables end
 #: with 16.0, so these are neither letters nor numbers to it, while the regex module may know them.
 LATER = (
@@ -29,8 +31,13 @@ LATER = (
     "1D6A6 1D6A6 1DF1F 1DF24 1DF2B 1DF81 1DF90 1DF96 1DFCD 1DFFF 1E6C0 1E6DE 1E6E0 1E6E2 1E6E4 1E6E5 1E6E7 1E6ED 1E6F0 1E6F4"
     " 1E6FE 1E6FF 2B73A 2B73F 2B81E 2B81E 2CEA2 2CEAD 323B0 33479 3D000 3FC3F"
 ).split()
-#: Ids that one output batch holds at most, unless a single text has more.
-BATCH_IDS = 1 << 21
+#: Ids that one output batch holds at most, unless a single text has more, and that are decoded at once.
+BATCH_IDS, PIECE_IDS = 1 << 20, 1 << 16
+
+
+#: UTF-8 bytes of characters that come before all of LATER.
+_EARLY = bytes(range(0xD5))
+_NONE = 1 << 60
 
 
 def read_ranks(file: str) -> list[bytes]:
@@ -63,29 +70,31 @@ class ByteBPE:
             raise ValueError("the pattern must have no capturing groups")
         self.later = regex.compile("[" + "".join(f"{chr(int(a, 16))}-{chr(int(b, 16))}" for a, b in zip(LATER[::2], LATER[1::2], strict=True)) + "]")
         self.pairs: dict[int, bool] = {}
-        self.splits: dict[str, list[int]] = {}
+        self.splits = _Splits(self)
         self.automaton = ahocorasick.Automaton()
         #: Tokens that merging can make; any other stands for a whole split only.
         made = [len(t) < 3 or self._merged(t) == [i] for i, t in enumerate(self.names)]
         for i, t in enumerate(self.names):
             if made[i]:
-                self.automaton.add_word(t, (i, len(t)))
+                self.automaton.add_word(t, i)
         self.automaton.make_automaton()
         #: The longest shorter token that each token begins with; -1 for single bytes.
         self.shorter = [next((self.rank[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.rank and made[self.rank[t[:k]]]), -1) for t in self.names]
         self.length = [len(t) for t in self.names]
-        self.data = np.frombuffer(b"".join(self.tokens), np.uint8)
-        self.start = np.concatenate([[0], np.cumsum(self.length)]).astype(np.int64)
 
     def _merged(self, text: str) -> list[int]:
         """Plain merging, lowest rank first, the leftmost of equal ones; for tokens and pairs of tokens."""
-        parts, rank = list(text), self.rank
-        while len(parts) > 1:
-            best, at = min((rank.get(parts[k] + parts[k + 1], 1 << 60), k) for k in range(len(parts) - 1))
-            if best == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [rank[p] for p in parts]
+        parts, rank = list(text), self.rank.get
+        ranks = [rank(a + b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (low := min(ranks)) < _NONE:
+            k = ranks.index(low)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del ranks[k]
+            if k < len(ranks):
+                ranks[k] = rank(parts[k] + parts[k + 1], _NONE)
+            if k:
+                ranks[k - 1] = rank(parts[k - 1] + parts[k], _NONE)
+        return [self.rank[p] for p in parts]
 
     def compatible(self, left: int, right: int) -> bool:
         key = left << 32 | right
@@ -99,22 +108,26 @@ class ByteBPE:
     def encoded(self, split: str) -> list[int]:
         """The ids of one split, its bytes given as Latin-1 characters: a token that is the whole split, or else what merging gives.
 
-        Each step takes the longest token from here on, then shorter ones that it begins with, until one is compatible with the
-        last; where none is, the place is marked as dead and the last token gives way. What stands before a place is always what
-        merging gives for that beginning, so a dead place stays dead, and the time is linear in the split's length.
+        Longest matches from the start on are right where all adjacent ones are compatible, which is the usual case. Otherwise each step
+        takes the longest token from here on, then shorter ones that it begins with, until one is compatible with the last; where none
+        is, the place is marked as dead and the last token gives way. What stands before a place is always what merging gives for
+        that beginning, so a dead place stays dead, and the time is linear in the split's length.
         """
         whole = self.rank.get(split)
         if whole is not None:
             return [whole]
         n = len(split)
-        longest = [-1] * n
-        for end, (i, k) in self.automaton.iter(split):
-            longest[end + 1 - k] = i
+        greedy = [i for _, i in self.automaton.iter_long(split)]
+        if all(map(self.compatible, greedy, greedy[1:])):
+            return greedy
+        longest, length = [-1] * n, self.length
+        for end, i in self.automaton.iter(split):
+            longest[end + 1 - length[i]] = i
         dead = bytearray(n + 1)
         out: list[int] = []
         at, token = 0, longest[0]
         while True:
-            end = at + self.length[token]
+            end = at + length[token]
             if not dead[end] and (not out or self.compatible(out[-1], token)):
                 out.append(token)
                 if end == n:
@@ -125,35 +138,60 @@ class ByteBPE:
             while token < 0:
                 dead[at] = 1
                 token = out.pop()
-                at -= self.length[token]
+                at -= length[token]
                 token = self.shorter[token]
 
     def split(self, text: str) -> list[str]:
         """The matches of the pattern, with LATER's characters taken for an unassigned one."""
-        if text.isascii() or not self.later.search(text):
+        if not text.encode().translate(None, _EARLY) or not self.later.search(text):
             return self.pattern.findall(text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(self.later.sub("\uffff", text))]
 
-    def ids(self, text: str) -> list[int]:
+    def ids(self, text: str) -> np.ndarray:
         """The ids of a whole text, each match of the pattern separately; special strings are ordinary text."""
-        out: list[int] = []
-        splits, extend = self.splits, out.extend
-        for m in self.split(text):
-            found = splits.get(m)
-            if found is None:
-                found = self.encoded(m.encode().decode("latin-1"))
-                if len(m) <= SPLIT_BYTES:
-                    if len(splits) >= SPLITS:
-                        splits.clear()
-                    splits[m] = found
-            extend(found)
-        return out
-
-    def decoded(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of many ids."""
-        size = self.start[ids + 1] - self.start[ids]
-        ends = np.cumsum(size)
-        return self.data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[ids] - (ends - size), size)]
+        return np.fromiter(chain.from_iterable(map(self.splits.__getitem__, self.split(text))), np.int32)
+
+
+class _Splits(dict):
+    """The ids of splits, found when first asked for; short ones are remembered, as many as SPLITS."""
+
+    def __init__(self, bpe: ByteBPE):
+        self.bpe = bpe
+
+    def __missing__(self, split: str) -> tuple[int, ...]:
+        found = tuple(self.bpe.encoded(split.encode().decode("latin-1")))
+        if len(split) <= SPLIT:
+            if len(self) >= SPLITS:
+                self.clear()
+            self[split] = found
+        return found
+
+
+class Decoder:
+    """The bytes of a rank file's tokens, to put texts together from."""
+
+    def __init__(self, file: str):
+        tokens = read_ranks(file)
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+        self.start = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int64)
+
+    def ends(self, ids: np.ndarray) -> np.ndarray:
+        """0 and where the bytes of each id end."""
+        return np.concatenate([[0], np.cumsum(self.start[ids + 1] - self.start[ids])])
+
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """The bytes of many ids, a piece after the other."""
+        out = bytearray()
+        for k in range(0, len(ids), PIECE_IDS):
+            own = ids[k : k + PIECE_IDS]
+            ends = self.ends(own)
+            out += self.data[np.arange(ends[-1]) + np.repeat(self.start[own] - ends[:-1], np.diff(ends))].tobytes()
+        return bytes(out)
+
+
+@lru_cache(2)
+def _decoder(model: str) -> Decoder:
+    return Decoder(model_path(model))
 
 
 @lru_cache(2)
@@ -187,7 +225,7 @@ def encode(df: DataFrame, model: str = "byte_bpe_multi_50k.tiktoken", keep: tupl
             parts: list[np.ndarray] = []
             held = 0
             for k in range(len(b)):
-                parts.append(np.array(bpe.ids(texts[k].as_py() or ""), np.int32))
+                parts.append(bpe.ids(texts[k].as_py() or ""))
                 held += len(parts[-1])
                 if held >= BATCH_IDS or k + 1 == len(b):
                     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
@@ -198,7 +236,7 @@ def encode(df: DataFrame, model: str = "byte_bpe_multi_50k.tiktoken", keep: tupl
     return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, model: str = "byte_bpe_multi_50k.tiktoken", ids: str = "ids", pattern: str | None = None) -> DataFrame:
+def decode(df: DataFrame, model: str = "byte_bpe_multi_50k.tiktoken", ids: str = "ids") -> DataFrame:
     """The columns of df and decoded, the bytes (binary) of each row's array of ids: null for a null array, none for an empty one.
 
     An id that the vocabulary lacks, or a null within an array, is an error. Ids cut from a longer sequence may end within a
@@ -206,27 +244,23 @@ def decode(df: DataFrame, model: str = "byte_bpe_multi_50k.tiktoken", ids: str =
     """
     if "decoded" in {c.lower() for c in df.columns}:
         raise ValueError("there is a column called decoded, as the result is")
-    pattern = pattern or default_pattern()
     schema, at = extended(df, "decoded binary"), df.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _bpe(model, pattern)
+        known = _decoder(model)
         for b in batches:
             column = b.column(at)
             flat = column.flatten()
             if flat.null_count:
                 raise ValueError("a null among the ids")
-            values = flat.to_numpy(zero_copy_only=False).astype(np.int64)
-            if len(values) and not 0 <= values.min() <= values.max() < len(bpe.tokens):
+            values = flat.to_numpy(zero_copy_only=False)
+            if len(values) and not 0 <= values.min() <= values.max() < len(known.start) - 1:
                 raise ValueError("an id that the vocabulary lacks")
             sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            ends = np.concatenate([[0], np.cumsum(bpe.start[values + 1] - bpe.start[values])])[np.cumsum(sizes)]
-            data = bpe.decoded(values).tobytes()
-            starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-            whole = [data[x:y] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
-            mask = column.is_null().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(whole, pa.binary(), mask=mask)], names=schema.names)
+            offsets = pa.array(known.ends(values)[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int64))
+            whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(b), [None, offsets.buffers()[1], pa.py_buffer(known.decoded(values))]).cast(pa.binary())
+            if column.null_count:
+                whole = pa.compute.if_else(column.is_null(), pa.scalar(None, pa.binary()), whole)
+            yield pa.RecordBatch.from_arrays([*b.columns, whole], names=schema.names)
 
     return df.mapInArrow(run, schema)
-
-

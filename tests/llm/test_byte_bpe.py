@@ -2,7 +2,6 @@
 
 import random
 
-import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -35,14 +34,14 @@ def some_text(r):
 
 def test_ids_equal_the_library_s(bpe, library):
     r = random.Random(1)
-    for t in [some_text(r) for _ in range(20_000)] + ["", "<|endoftext|> it's", "a‍b", "퟿", "\U0001f600 \U00033400x"]:
-        assert bpe.ids(t) == library.encode_ordinary(t)
-        assert bpe.decoded(np.array(bpe.ids(t), np.int64)).tobytes() == t.encode()
+    for t in [some_text(r) for _ in range(20_000)] + ["", " ", "  ", " a", "a ", "a\n b", "a\n  b", "a \n b  c", "x\x1c y\x85 z", "<|endoftext|> it's", "a‍b", "퟿", "\U0001f600 \U00033400x"]:
+        assert bpe.ids(t).tolist() == library.encode_ordinary(t)
+        assert byte_bpe._decoder("byte_bpe_multi_50k.tiktoken").decoded(bpe.ids(t)) == t.encode()
 
 
 def test_long_runs_take_linear_time(bpe, library):
     for t in ("a" * 50_000, " " * 20_000 + "x", "ab" * 30_000, "=-" * 20_000, "0123456789abcdef" * 5000, "etaoin" * 20_000):
-        assert bpe.ids(t) == library.encode_ordinary(t)
+        assert bpe.ids(t).tolist() == library.encode_ordinary(t)
 
 
 def test_backtracking_on_made_up_ranks(tmp_path):
@@ -62,9 +61,9 @@ def test_backtracking_on_made_up_ranks(tmp_path):
         file.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(tokens[:256] + extra)))
         own = byte_bpe.ByteBPE(str(file), "[abc]+|[^abc]+")
         library = tiktoken.Encoding("own", pat_str="[abc]+|[^abc]+", mergeable_ranks={t: i for i, t in enumerate(own.tokens)}, special_tokens={})
-        for _ in range(400):
+        for _ in range(600):
             t = "".join(r.choice("abc") for _ in range(r.randrange(1, 40)))
-            assert own.ids(t) == library.encode_ordinary(t)
+            assert own.ids(t).tolist() == library.encode_ordinary(t)
 
 
 def test_round_trip(spark, library):
