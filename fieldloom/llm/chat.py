@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
@@ -15,7 +16,7 @@ from fieldloom.llm._spark import partitions
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
-#: Turns that are rendered together; a longer conversation goes through windows that overlap by half, compared with each other.
+#: A window that suits templates whose output for a turn depends on few turns before it.
 WINDOW = 64
 END = "<|end|>\n"
 #: Texts that show where a template puts a turn's text.
@@ -61,6 +62,8 @@ class Rendered:
     loss: list[tuple[int, int] | None] = field(default_factory=list)
     #: Learnt turns whose text the template leaves out.
     omitted: int = 0
+    #: Whether windows were asked for but all prefixes were rendered, as windows do not agree or the template failed on one.
+    whole: bool = False
 
 
 def _added(template: Template, context: list[Turn], before: str, turn: Turn) -> tuple[str, str]:
@@ -71,25 +74,31 @@ def _added(template: Template, context: list[Turn], before: str, turn: Turn) ->
     return now[len(before) :], now
 
 
-def render(turns: Iterable[Turn], template: Template = default_template, learn: tuple[str, ...] = ("assistant",), window: int | None = WINDOW) -> Rendered:
+def render(turns: Iterable[Turn], template: Template = default_template, learn: tuple[str, ...] = ("assistant",), window: int | None = None) -> Rendered:
     """Renders each prefix and compares it with the one before: what it adds is the last turn's span.
 
     The template is a black box. RewritesHistory is raised where a prefix's output does not begin with the shorter one's. Of a
     learnt turn, rendering it with two one-letter texts shows the frame: all that both outputs have in common.
     A template that leaves a learnt text out gives both the same output: nothing of that turn is learnt, and `omitted` counts it.
 
-    A conversation of over `window` turns goes on with the latter half of them as context, so that cost stays linear; the half
-    must add the same as it did before, else the template depends on turns long past and the whole prefix is rendered. Whenever the
-    number of turns has doubled, and at the end, the whole prefix is rendered as well; where that differs, or windows fail, all
-    prefixes are. With a window of None all prefixes are rendered from the start, at a cost that grows with the square.
+    All prefixes are rendered, at a cost that grows with the square of the turns. A window says that the template is local, that what a turn
+    adds depends on fewer than half so many turns before it: a conversation of over `window` turns then goes on with the latter half
+    of them as context, at a cost that grows with the turns. The half must add the same as it did before, and the whole prefix is
+    rendered whenever the turns have doubled and at the end; where that differs, or the template fails on a window, all prefixes are
+    rendered after all and `whole` tells so. A template that is not local may still rewrite history between these checks unnoticed.
     """
     turns = list(turns)
-    if window is not None and len(turns) > window:
-        try:
-            return _rendered(turns, template, learn, window)
-        except Exception:  # the template's own, as it may need the turns that a window leaves out; or windows do not agree
-            pass
-    return _rendered(turns, template, learn, len(turns))
+    if window is None or len(turns) <= window:
+        return _rendered(turns, template, learn, len(turns))
+    try:
+        return _rendered(turns, template, learn, window)
+    except RewritesHistory:
+        pass
+    except Exception as e:  # the template's own: it may need the turns that a window leaves out; a real fault comes again below
+        logging.getLogger(__name__).info("all prefixes are rendered, as the template failed on a window: %s", e)
+    out = _rendered(turns, template, learn, len(turns))
+    out.whole = True
+    return out
 
 
 def _common(one: str, two: str) -> int | None:
@@ -144,9 +153,10 @@ def _rendered(turns: list[Turn], template: Template, learn: tuple[str, ...], win
     return out
 
 
-def format_conversations(df: DataFrame, template: Template = default_template, learn: tuple[str, ...] = ("assistant",), window: int | None = WINDOW, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def format_conversations(df: DataFrame, template: Template = default_template, learn: tuple[str, ...] = ("assistant",), window: int | None = None, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row for each conversation: conv_id, formatted, spans and loss (arrays of start and end in code points, ends exclusive),
-    rewrites, true where the template rewrites history (then without spans), and omitted, the learnt turns whose text it leaves out.
+    rewrites, true where the template rewrites history (then without spans), omitted, the learnt turns whose text it leaves out, and whole,
+    true where a window was given (see render) and all prefixes were rendered after all.
 
     Turns come by number (null first), then role, then text; a null role or text is empty, null ids are one conversation,
     repeated rows are turns of their own. An empty table gives no rows. Rows are dealt by conversation, sorted, and read in a
@@ -154,7 +164,7 @@ def format_conversations(df: DataFrame, template: Template = default_template, l
     """
     rows = df.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.repartition(partitions(df.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    schema = StructType([rows.schema["conv_id"], *StructType.fromDDL("formatted string, spans array<struct<start:int,end:int>>, loss array<struct<start:int,end:int>>, rewrites boolean, omitted int").fields])
+    schema = StructType([rows.schema["conv_id"], *StructType.fromDDL("formatted string, spans array<struct<start:int,end:int>>, loss array<struct<start:int,end:int>>, rewrites boolean, omitted int, whole boolean").fields])
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +180,8 @@ def format_conversations(df: DataFrame, template: Template = default_template, l
             return pa.RecordBatch.from_arrays([
                 pa.array(ids, kind), pa.array([r.text for r, _ in results]), pa.array([as_spans(r.spans) for r, _ in results], span),
                 pa.array([as_spans([x for x in r.loss if x]) for r, _ in results], span), pa.array([bad for _, bad in results]),
-                pa.array([r.omitted for r, _ in results], pa.int32()),
-            ], names=["conv_id", "formatted", "spans", "loss", "rewrites", "omitted"])
+                pa.array([r.omitted for r, _ in results], pa.int32()), pa.array([r.whole for r, _ in results], pa.bool_()),
+            ], names=["conv_id", "formatted", "spans", "loss", "rewrites", "omitted", "whole"])
 
         def finished(turns: list[Turn]) -> tuple[Rendered, bool]:
             try:

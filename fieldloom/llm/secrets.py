@@ -22,12 +22,16 @@ BASE = ("assign", "access", "hex")
 FOUND = "found"
 #: Candidates of the network: runs of these characters, of so many.
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: Candidates that are words by their looks.
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _RUN_BYTES = byte_class(r"[A-Za-z0-9+/_.=-]")
 #: Documents, about, from whose candidates the network learns as well, and candidates of each.
 FIT_DOCS, FIT_EACH = 6000, 4
 #: Characters seen before a candidate, of it and after it; of a longer candidate every stretch of INSIDE is seen and the best counts.
 BEFORE, INSIDE, AFTER = 24, 48, 8
 LENGTH = BEFORE + INSIDE + AFTER
+#: Score below which a first network's word is taken that an unlabelled candidate of the corpus is no secret.
+HARMLESS = 0.05
 #: Share of labelled findings above the threshold, on findings not learnt from.
 RECALL = 0.97
 
@@ -155,28 +159,47 @@ def labelled_findings(n: int = 2400, seed: int = 17) -> tuple[list[tuple[str, in
 
 
 def trained(seed: int = 3, corpus: list[tuple[str, int, int, int]] | None = None) -> SecretNetwork:
-    """The network, trained on labelled_findings and on findings of the corpus (text, start, end, label); the same at every run.
+    """The network, trained on labelled_findings and on candidates of the corpus (text, start, end, label); the same at every run.
 
-    Every second made-up finding stands between what surrounds a corpus finding, so that surroundings tell as little as they do there.
+    Every second made-up finding stands between what surrounds a corpus candidate, so that surroundings tell as little as they do there;
+    many of the harmless ones among them are words from those surroundings, run together.
+    Corpus candidates of label 1 are secrets. The others are unlabelled, since a base pattern does not know every kind of secret: a first
+    network learns without them, and only those that it finds clearly harmless (below HARMLESS), or that are letters of one case but
+    for a capital in front, as words are, teach the second one as such.
     """
     rows, y = labelled_findings()
-    if corpus:
-        r = np.random.default_rng(seed)
-        for i in range(0, len(rows), 2):
-            k = i + int(r.integers(2))
-            t, a, b = rows[k]
-            own, x, z, _ = corpus[int(r.integers(len(corpus)))]
-            rows[k] = (own[:x] + t[a:b] + own[z:], x, x + b - a)
-        rows = rows + [c[:3] for c in corpus]
-        y = np.concatenate([y, [c[3] for c in corpus]])
-        order = r.permutation(len(rows))
-        rows, y = [rows[k] for k in order], y[order]
-    return SecretNetwork(seed).fit(np.stack([_encoded(t, a, min(b, a + INSIDE))[0] for t, a, b in rows]), y)
+    if not corpus:
+        return SecretNetwork(seed).fit(_windows(rows), y)
+    r = np.random.default_rng(seed)
+    pool = [w for t, a, b, _ in corpus for w in re.findall("[A-Za-z]{3,}", t[:a] + " " + t[b:])]
+    for i in range(0, len(rows), 2):
+        k = i + int(r.integers(2))
+        t, a, b = rows[k]
+        own, x, z, _ = corpus[int(r.integers(len(corpus)))]
+        value = t[a:b]
+        if not y[k] and pool and r.random() < 0.7:  # words of the corpus in one, as its own long words are
+            value = pool[int(r.integers(len(pool)))]
+            while len(value) < 16:
+                value += pool[int(r.integers(len(pool)))].lower()
+        rows[k] = (own[:x] + value + own[z:], x, x + len(value))
+    seen, told = _windows([c[:3] for c in corpus]), np.array([c[3] for c in corpus])
+    x, y = np.concatenate([_windows(rows), seen[told > 0]]), np.concatenate([y, np.ones((told > 0).sum(), int)])
+    order = r.permutation(len(y))
+    first = SecretNetwork(seed).fit(x[order], y[order])
+    words = np.array([bool(WORD.fullmatch(t, a, b)) for t, a, b, _ in corpus])
+    harmless = seen[(told == 0) & (words | (first.scores(seen) < HARMLESS))]
+    x, y = np.concatenate([x, harmless]), np.concatenate([y, np.zeros(len(harmless), int)])
+    order = r.permutation(len(y))
+    return SecretNetwork(seed).fit(x[order], y[order])
+
+
+def _windows(rows: list[tuple[str, int, int]]) -> np.ndarray:
+    return np.stack([_encoded(t, a, min(b, a + INSIDE))[0] for t, a, b in rows]) if rows else np.zeros((0, LENGTH), np.int64)
 
 
 def corpus_findings(df: DataFrame, text: str = "text") -> list[tuple[str, int, int, int]]:
-    """Candidates, with their surroundings, of about FIT_DOCS texts chosen by hash, FIT_EACH of a text: one that a base span touches
-    is labelled a secret, any other is not. Repeated texts count once; the same rows at every run."""
+    """Candidates, with their surroundings, of about FIT_DOCS texts chosen by hash, FIT_EACH of a text: 1 for one that a base span touches,
+    0 for any other, which may be a secret or not. Repeated texts count once; the same rows at every run."""
     docs = df.select(F.col(text).alias("__text")).where("__text is not null")
     n = docs.count()
     some = docs.where(hash_share(F.col("__text"), FIT_DOCS / max(1, n)))

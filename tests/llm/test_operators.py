@@ -238,6 +238,30 @@ def test_chat_long_templates():
         assert x.text == marked(turns) and [x.text[a:b] for a, b in x.spans] == [marked(turns)[len(marked(turns[:k])) : len(marked(turns[: k + 1]))] for k in range(len(turns))]
 
 
+@pytest.mark.parametrize("marks", [lambda n: n == 100, lambda n: 70 <= n < 120])
+def test_rewriting_at_some_lengths_only_is_noticed(spark, marks):
+    """All prefixes are rendered by default, so a template that rewrites history only between two lengths is told."""
+    template = lambda ts: ("!" if marks(len(ts)) else "") + chat.default_template(ts)
+    turns = [(("user", "assistant")[k % 2], str(k)) for k in range(150)]
+    with pytest.raises(chat.RewritesHistory):
+        chat.render(turns, template)
+    df = spark.createDataFrame([(1, k, *t) for k, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    row = chat.format_conversations(df, template).first()
+    assert row["rewrites"] and row["spans"] == [] and not row["whole"]
+
+
+def test_windows_tell_when_all_prefixes_were_needed():
+    turns = [(("system", "user", "assistant")[min(k, 1 + k % 2)], str(k)) for k in range(150)]
+
+    def opening(ts):
+        if ts and ts[0][0] != "system":
+            raise ValueError("no system turn")
+        return chat.default_template(ts)
+
+    assert chat.render(turns, opening, window=chat.WINDOW).whole and not chat.render(turns, window=chat.WINDOW).whole
+    assert chat.render(turns, window=chat.WINDOW).spans == chat.render(turns).spans
+
+
 def test_chat_templates_that_leave_texts_out(spark):
     roles = lambda ts: "".join(f"<{r}>{t if r == 'user' else ''}\n" for r, t in ts)
     x = chat.render([("user", "a"), ("assistant", "b"), ("assistant", "Q")], roles)
@@ -442,6 +466,23 @@ def test_secrets_learn_from_the_corpus(spark):
     assert secrets.scan_secrets(twice).count() == 100
 
 
+def test_frequent_secrets_of_an_unknown_kind_are_found(spark):
+    """400 tokens that no base pattern knows, planted in the corpus the network learns from; its own words are left alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = [x["text"] or "" for x in docs.collect()]
+    r = random.Random(400)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    planted = ["ghp_" + "".join(r.choice(letters) for _ in range(36)) for _ in range(400)]
+    rows = [(10**9 + k, f"{r.choice(texts)[:80]} {r.choice(['the key is', '', 'we saw', 'my note:'])} {t} and more.") for k, t in enumerate(planted)]
+    net = secrets.trained(corpus=secrets.corpus_findings(docs.unionByName(spark.createDataFrame(rows, docs.schema))))
+    found = secrets.find_secrets(pa.array([t for _, t in rows]), net)
+    hit = sum(any(s["kind"] == secrets.FOUND and t[s["start"] : s["end"]].startswith(token) for s in spans) for token, (_, t), spans in zip(planted, rows, found, strict=True))
+    assert hit >= 380
+    candidates = {m[0] for t in texts for m in secrets.RUN.finditer(t) if not any(a < m.end() and m.start() < b for a, b, _ in secrets.base_spans(t))}
+    added = {t[s["start"] : s["end"]] for t, spans in zip(texts, secrets.find_secrets(pa.array(texts), net), strict=True) for s in spans if s["kind"] == secrets.FOUND}
+    assert len(candidates) > 150 and len(added) <= 0.01 * len(candidates)
+
+
 # Neighbours
 
 
