@@ -53,13 +53,6 @@ def repointed_edges(t, spark):
     return graph.repoint(_edges(t), moves)
 
 
-@query(f"SELECT DISTINCT * FROM ({_FOUND}) WHERE CAST(substr(src, 2) AS INT) < 50 AND CAST(substr(tgt, 2) AS INT) < 50")
-def induced_subgraph(t, spark):
-    """K6: the part of a graph between chosen nodes."""
-    nodes = t("part").where("p_partkey < 50").select(F.concat(F.lit("P"), F.col("p_partkey")).alias("node_id")).union(t("supplier").where("s_suppkey < 50").select(F.concat(F.lit("S"), F.col("s_suppkey"))))
-    return graph.induced(_edges(t), nodes).select("src", "rel", "tgt")
-
-
 _LOCATED = "SELECT 'S' || s_suppkey AS src, 'LOCATED_IN' AS rel, 'N' || s_nationkey AS tgt FROM supplier"
 
 
@@ -204,7 +197,7 @@ def lookup_cascade(t, spark):
 @query("""SELECT event_id, user_id, CASE WHEN a.id IS NOT NULL AND e.event_id - a.id <= 500 THEN a.id END AS near_mark FROM events e ASOF LEFT JOIN (SELECT user_id AS u, event_id AS id FROM events WHERE event_type = 'signup') a
     ON e.user_id = a.u AND e.event_id >= a.id""")
 def nearest_before(t, spark):
-    """For each row the nearest mark before it, within a distance, as one sort."""
+    """An as-of join: for each row the last mark at or before it, within a distance, as one sort (J12 takes either side: nearest_mark)."""
     e = t("events").select("event_id", "user_id")
     marks = t("events").where("event_type = 'signup'").select("user_id", "event_id", F.col("event_id").alias("mark"))
     return lookup.nearest_before(e, marks, "user_id", "event_id", "mark", 500)

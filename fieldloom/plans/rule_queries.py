@@ -36,16 +36,6 @@ def number_spans(t, spark):
     return d.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("s.start").alias("starts"), F.sum("s.end").alias("ends"))
 
 
-@query("""WITH s AS (SELECT user_id, event_id AS a, event_id + 3 AS b, event_type AS label, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events WHERE event_id % 2 = 0),
-    f AS (SELECT *, CASE WHEN lag(label) OVER w = label AND a - lag(b) OVER w <= 200 THEN 0 ELSE 1 END AS new FROM s WINDOW w AS (PARTITION BY user_id ORDER BY a)),
-    r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY a) AS run FROM f)
-    SELECT user_id, label, min(a) AS start, max(b) AS "end", count(*) AS pieces FROM r GROUP BY user_id, run, label""")
-def merged_spans(t, spark):
-    """neighbouring pieces of the same label as one."""
-    s = t("events").where("event_id % 2 = 0").select("user_id", F.col("event_id").alias("start"), (F.col("event_id") + 3).alias("end"), F.col("event_type").alias("label"))
-    return rules.merged_spans(s, "user_id", 200).drop("run")
-
-
 @query("""WITH s AS (SELECT user_id, event_id AS a, event_id + 3 AS b, event_type AS label FROM events),
     f AS (SELECT *, CASE WHEN lag(label) OVER w = label AND a - lag(b) OVER w <= 200 THEN 0 ELSE 1 END AS new FROM s WINDOW w AS (PARTITION BY user_id ORDER BY a)),
     r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY a) AS run FROM f)

@@ -120,12 +120,6 @@ def placeholder_names(t, spark):
     return t("supplier").select("s_suppkey", (names.is_placeholder(n) | names.is_life_stage(n)).alias("dropped"))
 
 
-@query("SELECT doc_id, len(list_distinct([substr(l, i, 3) FOR i IN range(1, CAST(length(l) - 1 AS BIGINT))])) AS n FROM (SELECT doc_id, lower(substr(text, 1, 200)) AS l FROM documents)")
-def trigram_counts(t, spark):
-    """the distinct trigrams of a text's beginning."""
-    return t("documents").select("doc_id", F.size(names.trigrams(F.substring("text", 1, 200))).alias("n"))
-
-
 @query("""WITH k AS (SELECT list(DISTINCT substr(lower(n_name), i, 3)) AS known FROM nation, unnest(range(1, CAST(length(n_name) - 1 AS BIGINT))) AS u(i)),
     o AS (SELECT p_partkey, list_distinct([substr(lower(p_name), i, 3) FOR i IN range(1, CAST(length(p_name) - 1 AS BIGINT))]) AS own FROM part)
     SELECT p_partkey, CAST(len(own) AS INT) AS n, CASE WHEN len(own) > 0 THEN len(list_intersect(own, known)) / len(own) ELSE 0.0 END AS score FROM o, k""")
