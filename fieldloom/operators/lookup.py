@@ -5,29 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.functions.phonetic import sounds
+from fieldloom.operators.fuzzy import similar
+
 
 def canonical(c: Column) -> Column:
     """For comparison: lower case, parentheses dropped, other than letters and digits dropped."""
     return F.regexp_replace(F.regexp_replace(F.lower(c), r"\([^)]*\)", ""), "[^a-z0-9]", "")
 
 
-def pieces_of(c: Column, least: float) -> Column:
-    """The parts of a text, one of which every text at a similarity of at least `least` (edit distance) holds unchanged: one part
-    more than the edits that the longest such text may have."""
-    n = F.length(c)
-    edits = F.floor(n / least * (1 - least) + 1e-9).cast("int")
-    cut = lambda i: F.floor(n * i / (edits + 1)).cast("int")
-    return F.transform(F.sequence(F.lit(0), edits), lambda i: F.substring(c, cut(i) + 1, cut(i + 1) - cut(i)))
-
-
 def cascade(queries: DataFrame, names: DataFrame, query: str, name: str, ident: str, least: float = 0.8, short: int = 4, short_least: float = 0.92, order: Column | None = None) -> DataFrame:
     """For each distinct query: id, how (exact 100, canonical 95, fuzzy, phonetic 75, code 90, or none) and score; the first way that
     hits counts.
 
     Of rows with the same key the first in the given order counts (by default the smallest id as text), of rows with the same code
     the last. Null queries and names take no part; names without a letter or digit of a-z, 0-9 have no canonical key and are only found
-    exactly; an id that is no number has no code. Fuzzy matches share the first letter of their canonical forms; short keys need a better
-    match. Every way is an equi-join, the fuzzy one on a part of the query that a close name must hold unchanged.
+    exactly; an id that is no number has no code. Fuzzy matches are the best by ratio (see fuzzy.similar) of canonical forms, the smallest of
+    equal ones; short keys need a better match. Phonetic ones have the same first code of the double metaphone. Every way is an equi-join.
     """
     q = queries.select(F.col(query).alias("q")).where(F.col("q").isNotNull()).distinct().withColumn("cq", F.nullif(canonical(F.col("q")), F.lit("")))
     d = names.select(F.col(name).alias("n"), F.col(ident).cast("string").alias("id"), (F.col(ident).cast("string") if order is None else order).alias("o"))
@@ -39,19 +33,14 @@ def cascade(queries: DataFrame, names: DataFrame, query: str, name: str, ident:
     canon = way(q.join(first(d, "cn"), q["cq"] == F.col("cn")), 1, "canonical", F.lit(95.0))
     rest = q.where(F.col("cq").isNotNull()).join(exact.unionByName(canon).select("q"), "q", "left_anti")
 
-    need = F.when(F.length("cq") <= short, short_least).otherwise(least)
-    longest = F.greatest(F.length("cq"), F.length("cn"))
-    part = F.explode(F.array_distinct(F.when(F.length("cq") <= short, pieces_of(F.col("cq"), short_least)).otherwise(pieces_of(F.col("cq"), least))))
-    asked = rest.select("q", "cq", F.substring("cq", 1, 1).alias("b"), part.alias("part")).where("part <> ''")
-    sizes = asked.select(F.length("part").alias("size")).distinct()
-    held = first(d, "cn").crossJoin(F.broadcast(sizes)).where(F.length("cn") >= F.col("size"))  # a few sizes, as many as the cutting gives
-    held = held.select("cn", "id", F.substring("cn", 1, 1).alias("b"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("cn") - F.col("size") + 1), lambda i: F.substring(F.col("cn"), i, F.col("size"))))).alias("part"))
-    close = asked.join(held, ["b", "part"]).where(F.abs(F.length("cq") - F.length("cn")) <= (1 - need) * longest + 1e-9).select("q", "cq", "cn", "id").distinct()
-    close = close.withColumn("r", F.bround(1 - F.levenshtein("cq", "cn") / longest, 4)).where(F.col("r") >= need)
-    fuzzy = way(close, 2, "fuzzy", F.col("r") * 100)
-
-    sound = first(d.withColumn("s", F.soundex("cn")), "s")
-    phonetic = way(rest.where(F.length("cq") > short).join(sound, F.soundex(rest["cq"]) == sound["s"]), 3, "phonetic", F.lit(75.0))
+    keys = first(d, "cn")
+    close = similar(rest, keys, "cq", "cn", least).withColumnRenamed("q", "cq").withColumnRenamed("n", "cn")
+    close = close.where(F.col("score") >= F.when(F.length("cq") <= short, short_least).otherwise(least)).join(keys, "cn").join(rest, "cq")
+    fuzzy = way(close, 2, "fuzzy", F.bround(F.col("score") * 100, 4))
+
+    sound = lambda c: F.coalesce(F.try_element_at(sounds(F.col(c)), F.lit(1)), F.col(c))  # noqa: E731  the key itself where nothing sounds
+    heard = first(d.withColumn("s", sound("cn")), "s")
+    phonetic = way(rest.where(F.length("cq") > short).withColumn("s", sound("cq")).join(heard, "s"), 3, "phonetic", F.lit(75.0))
     code = d.withColumn("code", F.col("id").try_cast("long")).where("code is not null").groupBy("code").agg(F.max_by("id", F.struct("o", "id")).alias("id"))
     number = F.nullif(F.regexp_extract("q", "([0-9]{6})", 1), F.lit("")).try_cast("long")
     coded = way(q.join(code, number == F.col("code")), 4, "code", F.lit(90.0))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.names import short_hash
+from fieldloom.functions.similarity import ratio
+from fieldloom.sources.tables import cut
 
 
 def merge(rows: DataFrame, key: Sequence[str], fields: Sequence[str], seq: str = "seq") -> DataFrame:
@@ -54,7 +56,8 @@ def recall(index: DataFrame, query: DataFrame, doc: str, qid: str, k: int) -> Da
 
 def recalled(index: DataFrame, query: DataFrame, doc: str, qid: str, k: int) -> DataFrame:
     """What recall gives on tfidf(index), but weights meet the queries' tokens at once: the whole index only gives each document's
-    length, by partial sums, and no window passes over it."""
+    length, by partial sums, and no window passes over it. The index is written once, as three passes read it."""
+    index = cut(index, "index")
     n = index.agg(F.countDistinct(doc).alias("n"))
     df_ = index.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("token", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = index.join(df_, "token").withColumn("w", (1 + F.ln("tf")) * F.col("idf"))
@@ -96,11 +99,11 @@ def pending(df: DataFrame, processed: DataFrame, key: str, status: str, approved
     return df.where(F.col(status) == approved).join(processed.select(key).distinct(), key, "left_anti")
 
 
-def search(df: DataFrame, column: str, wanted: str, least: float = 0.7) -> DataFrame:
-    """Rows that contain the wanted text, whatever the case; where there are none, the most similar one by edit distance."""
+def search(df: DataFrame, column: str, wanted: str, least: float = 0.7, most: int = 50) -> DataFrame:
+    """Rows that contain the wanted text, whatever the case, the first `most` by name; where there are none, the most similar one by ratio, if
+    that is over least, with its similarity. Null names are never found."""
     low = F.lower(F.col(column))
-    hit = df.where(F.contains(low, F.lit(wanted.lower()))).withColumn("similarity", F.lit(1.0))
-    near = 1 - F.levenshtein(low, F.lit(wanted.lower())) / F.greatest(F.length(low), F.lit(len(wanted)))
-    best = df.withColumn("similarity", F.bround(near, 4)).where(F.col("similarity") >= least).orderBy(F.desc("similarity"), column).limit(1)
+    hit = df.where(F.contains(low, F.lit(wanted.lower()))).withColumn("similarity", F.lit(1.0)).orderBy(column, *[c for c in df.columns if c != column]).limit(most)
     none = hit.limit(1).agg(F.count("*").alias("n")).where("n = 0").select(F.lit(True).alias("__none"))
-    return hit.unionByName(best.join(F.broadcast(none)).drop("__none"))
+    near = df.join(F.broadcast(none)).drop("__none").withColumn("similarity", F.bround(ratio(low, F.lit(wanted.lower())), 4))
+    return hit.unionByName(near.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), column).limit(1))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldloom.operators import articles, graph, lookup, memory
+from fieldloom.functions import phonetic
+from fieldloom.operators import articles, fuzzy, graph, lookup, memory
+from fieldloom.operators import communities as modular
+from fieldloom.operators import recall as two_stage
 from fieldloom.plans.registry import query
 
 _FOUND = "SELECT 'P' || l_partkey AS src, 'FOUND_AT' AS rel, 'S' || l_suppkey AS tgt FROM lineitem"
@@ -76,10 +79,10 @@ def species_at_place(t, spark):
 
 @query()
 def communities(t, spark):
-    """Communities of nations by trade, by label propagation."""
+    """Communities of nations by trade, by modularity."""
     o = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     edges = graph.upsert_edges(o.select(F.concat(F.lit("C"), F.col("c_nationkey")).alias("src"), F.lit("TRADE").alias("rel"), F.concat(F.lit("N"), F.col("s_nationkey")).alias("tgt")))
-    return graph.label_propagation(edges, 3)
+    return modular.communities(edges)
 
 
 @query("SELECT user_id, min(value) AS min_x, max(value) AS max_x, min(event_id) AS min_y, max(event_id) AS max_y, count(*) AS n, min(event_id) AS first_seq FROM events GROUP BY user_id")
@@ -139,9 +142,9 @@ def tfidf_recall(t, spark):
     return memory.recalled(memory.tokens(t("documents"), "doc_id", "text"), q, "doc_id", "item_id", 5)
 
 
-@query("SELECT p_partkey, p_name, 1.0 AS similarity FROM part WHERE lower(p_name) LIKE '%widget%'")
+@query("SELECT p_partkey, p_name, 1.0 AS similarity FROM part WHERE lower(p_name) LIKE '%widget%' ORDER BY p_name, p_partkey LIMIT 50")
 def name_search(t, spark):
-    """A search by part of a name, with the most similar name where nothing is found."""
+    """A search by part of a name, the first 50, with the most similar name where nothing is found."""
     return memory.search(t("part").select("p_partkey", "p_name"), "p_name", "Widget")
 
 
@@ -226,3 +229,79 @@ def box_check(t, spark):
     e = t("events").select("event_id", "user_id", F.when(F.col("value") >= 2, F.col("value")).alias("lat"), F.when(F.col("value") >= 2, F.col("value")).alias("lon"))
     boxes = t("events").where("user_id % 2 = 0").groupBy(F.col("user_id").alias("key")).agg(F.lit(5.0).alias("lat_min"), F.lit(15.0).alias("lat_max"), F.lit(5.0).alias("lon_min"), F.lit(15.0).alias("lon_max"))
     return lookup.fill_from_box(e, boxes, F.col("user_id"), "lat", "lon").select("event_id", "note")
+
+
+_TERMS = """r AS (SELECT conv_id || ':' || turn AS id, text, conv_id, length(text) AS size FROM conversations),
+    ws AS (SELECT id, conv_id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') AS w FROM r),
+    t AS (SELECT id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) AS term FROM ws),
+    tf AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL),
+    v AS (SELECT term, ln((1 + (SELECT count(*) FROM r)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 10000),
+    x AS (SELECT id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN v USING (term)), l AS (SELECT id, sqrt(sum(w * w)) AS l FROM x GROUP BY id), n AS (SELECT id, term, w / l AS w FROM x JOIN l USING (id))"""
+
+
+@query(f"""WITH {_TERMS}, p AS (SELECT id, row_number() OVER (ORDER BY size DESC, id) AS place FROM r), q AS (SELECT id AS qid FROM r WHERE conv_id % 50 = 0),
+    qw AS (SELECT DISTINCT id AS qid, unnest(w) AS word FROM ws WHERE conv_id % 50 = 0), dw AS (SELECT DISTINCT id, unnest(w) AS word FROM ws),
+    f AS (SELECT qid, id, rank FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY place) AS rank FROM (SELECT DISTINCT qid, id FROM qw JOIN dw USING (word) WHERE length(word) > 2) JOIN p USING (id)) WHERE rank <= 15),
+    few AS (SELECT qid FROM q LEFT JOIN f USING (qid) GROUP BY qid HAVING count(id) < 5),
+    c AS (SELECT * FROM f UNION ALL SELECT qid, id, 15 + place FROM few, p WHERE place <= 10 AND (qid, id) NOT IN (SELECT (qid, id) FROM f)),
+    s AS (SELECT c.qid, c.id, c.rank AS o, coalesce(round(sum(a.w * b.w), 6), 0.0) AS score FROM c LEFT JOIN n a ON a.id = c.id LEFT JOIN n b ON b.id = c.qid AND b.term = a.term GROUP BY ALL),
+    y AS (SELECT *, max(score) OVER (PARTITION BY qid) > 0 AS any_score FROM s)
+    SELECT qid, CAST(rank AS INT) AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, CASE WHEN any_score THEN 0 ELSE o END, id) AS rank FROM y WHERE NOT any_score OR score > 0) WHERE rank <= 5""")
+def recalled_turns(t, spark):
+    """The five turns of all conversations nearest to each turn of every fiftieth one, in two stages, longer turns being candidates first."""
+    rows = t("conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text", "conv_id")
+    index = two_stage.indexed(rows, "id", "text", [-F.length("text")])
+    return two_stage.recalled(index, rows.where("conv_id % 50 = 0").select(F.col("id").alias("qid"), "text"), "qid", "text", 5)
+
+
+def _common(a: str, b: str) -> str:
+    """The length of the longest common subsequence of two texts, folded over the characters of a and of b, in SQL."""
+    return f"""list_last(list_reduce(list_prepend([0 FOR j IN range(0, len({b}) + 1)], [[ascii(y)] FOR y IN string_split({a}, '')]), lambda above, x:
+      list_reduce(list_prepend([0], [[CAST(j AS INT)] FOR j IN range(1, len({b}) + 1)]),
+                  lambda own, k: list_append(own, CASE WHEN ascii({b}[k[1]]) = x[1] THEN above[k[1]] + 1 ELSE greatest(above[k[1] + 1], own[k[1]]) END))))"""
+
+
+def _alike(asked: str, known: str, least: float) -> str:
+    """The best known name n of each asked q, with the score, in SQL."""
+    return f"""(SELECT q, arg_min(n, (-score, n)) AS n, max(score) AS score FROM (SELECT q, n, 2.0 * {_common('q', 'n')} / (len(q) + len(n)) AS score FROM ({asked}), ({known})) WHERE score >= {least} - 1e-12 GROUP BY q)"""
+
+
+_GARBLED = "CASE WHEN {k} % 4 = 0 THEN substr({n}, 1, 2) || substr({n}, 4) WHEN {k} % 4 = 1 THEN {n} || 's' WHEN {k} % 4 = 2 THEN substr({n}, 2, 1) || substr({n}, 1, 1) || substr({n}, 3) ELSE upper(substr({n}, 1, 3)) || substr({n}, 4) END"
+_ASKED = f"SELECT DISTINCT {_GARBLED.format(k='p_partkey', n='p_name')} AS q FROM part"
+
+
+@query(f"SELECT q, n, round(score, 6) AS score FROM {_alike(_ASKED, 'SELECT DISTINCT p_name AS n FROM part', 0.8)}")
+def names_alike(t, spark):
+    """The most similar known name of each damaged one, by what both have in the same order."""
+    asked = t("part").select(F.expr(_GARBLED.format(k="p_partkey", n="p_name")).alias("q"))
+    return fuzzy.most_similar(asked, t("part"), "q", "p_name", 0.8).withColumn("score", F.round("score", 6))
+
+
+_PLACES = f"SELECT DISTINCT {_GARBLED.format(k='s_suppkey', n='n_name')} AS q FROM supplier JOIN nation ON s_nationkey = n_nationkey"
+
+
+@query(f"""SELECT q AS place, n AS found, array_to_string(list_sort(list(DISTINCT s_name)), ',') AS names FROM {_alike(_PLACES, 'SELECT n_name AS n FROM nation', 0.7)} JOIN nation ON n_name = n JOIN supplier ON s_nationkey = n_nationkey GROUP BY q, n""")
+def names_at_similar_place(t, spark):
+    """The names found at the place most like each one asked for, in order."""
+    j = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    edges = graph.upsert_edges(j.select(F.concat(F.lit("S"), "s_suppkey").alias("src"), F.lit("FOUND_AT").alias("rel"), F.col("n_name").alias("tgt")))
+    nodes = t("supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("node_id"), F.lit("supplier").alias("kind"), F.col("s_name").alias("label"))
+    asked = fuzzy.most_similar(j.select(F.expr(_GARBLED.format(k="s_suppkey", n="n_name")).alias("q")), t("nation"), "q", "n_name", 0.7)
+    return asked.join(graph.neighbours(edges, nodes, "FOUND_AT", "supplier"), F.col("n") == F.col("tgt")).select(F.col("q").alias("place"), F.col("n").alias("found"), F.array_join("labels", ",").alias("names"))
+
+
+@query(f"""WITH m AS (SELECT DISTINCT l_suppkey AS g, p_name AS n FROM lineitem JOIN part ON l_partkey = p_partkey), w AS (SELECT a.n, b.n AS other, count(*) AS weight FROM m a JOIN m b ON a.g = b.g AND a.n <> b.n GROUP BY ALL)
+    SELECT q AS asked, a.n AS found, other, weight FROM {_alike(_ASKED, 'SELECT DISTINCT p_name AS n FROM part', 0.8)} a JOIN w ON a.n = w.n WHERE weight >= 2""")
+def co_occurring_with_similar(t, spark):
+    """O2: what occurs with the name most like each one asked for, from a least weight."""
+    members = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "p_name")
+    pairs = graph.co_occurrence(members, "l_suppkey", "p_name")
+    both = pairs.select(F.col("a").alias("found"), F.col("b").alias("other"), "weight").unionByName(pairs.select(F.col("b").alias("found"), F.col("a").alias("other"), "weight")).where("weight >= 2")
+    asked = fuzzy.most_similar(t("part").select(F.expr(_GARBLED.format(k="p_partkey", n="p_name")).alias("q")), t("part"), "q", "p_name", 0.8)
+    return asked.join(both, F.col("n") == F.col("found")).select(F.col("q").alias("asked"), "found", "other", "weight")
+
+
+@query()
+def name_sounds(t, spark):
+    """how the name of each part and of its maker may sound, as two codes (tested against a table of names)."""
+    return t("part").select("p_partkey", F.array_join(phonetic.sounds(F.col("p_name")), ",").alias("name_codes"), F.array_join(phonetic.sounds(F.col("p_brand")), ",").alias("brand_codes"))

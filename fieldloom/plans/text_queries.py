@@ -174,6 +174,26 @@ def json_repair(t, spark):
     return t("events").select("event_id", one.isNotNull().alias("parsed"), one["k"].alias("k"))
 
 
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN event_id % 6 IN (0, 1, 2, 5) THEN user_id END AS who, event_type AS kind,
+    CASE WHEN event_id % 6 = 2 THEN 2 ELSE 1 END AS n FROM events""")
+def nested_replies(t, spark):
+    """objects six levels deep out of replies that are sound, fenced, in a list within comments, cut off at several places, or have
+    commas before closing brackets and strings with brackets in them."""
+    inner = F.concat(F.lit('{"kind": "'), F.col("event_type"), F.lit('", "a": {"b": [{"c": {"d": '), F.col("props"))
+    who = F.concat(F.lit(', "note": "a } ] \\" {", "who": '), F.col("user_id"))
+    sound = F.concat(inner, F.lit("}}]}"), who, F.lit("}"))
+    swapped = F.concat(F.lit('{"a": {"b": [{"c": {"d": '), F.col("props"), F.lit("}}]}, "), F.lit('"kind": "'), F.col("event_type"))
+    ways = [
+        sound, F.concat(F.lit("<think>{no}</think>```json\n["), sound, F.lit("]\n```")), F.concat(F.lit("Found [none] but ["), sound, F.lit(", "), sound, F.lit(", 7,] and so on")),
+        inner, F.concat(swapped, F.lit('", "kin')), F.concat(inner, F.lit(",},},],},"), F.substring(who, 2, 1000), F.lit(",}")),
+    ]
+    reply = F.element_at(F.array(*ways), (F.col("event_id") % 6 + 1).cast("int"))
+    found = t("events").select("event_id", repair.objects(reply, 2).alias("found"))
+    one = F.try_element_at("found", F.lit(1))
+    get = lambda path: F.get_json_object(one, path)
+    return found.select("event_id", get("$.a.b[0].c.d.k").cast("long").alias("k"), get("$.who").cast("long").alias("who"), get("$.kind").alias("kind"), F.size("found").alias("n"))
+
+
 @query("SELECT event_id, CAST(round((degrees + minutes / 60.0) * 1000) AS BIGINT) * CASE WHEN event_id % 2 = 0 THEN -1 ELSE 1 END AS lat FROM (SELECT event_id, event_id % 90 AS degrees, event_id % 60 AS minutes FROM events)")
 def degrees_parse(t, spark):
     """degrees and minutes, some with damaged marks, as numbers (in thousandths)."""
