@@ -114,15 +114,6 @@ def co_mentions(texts: DataFrame, names: DataFrame, doc: str, text: str, name: s
     return words.join(names.select(F.col(name)).distinct().withColumn("w", F.lower(F.col(name))), "w").select(doc, name)
 
 
-def sentence_mentions(texts: DataFrame, names: DataFrame, doc: str, text: str, name: str) -> DataFrame:
-    """doc, sentence (its place) and name where a sentence contains a name of one or more words, whatever the case: a join on the
-    name's first word, then containment of the whole. Sentences end at [.!?] before white space; names begin at a word's start."""
-    low = texts.select(doc, F.posexplode(F.split(F.lower(F.col(text)), r"(?<=[.!?])\s+")).alias("sentence", "__s"))
-    words = low.withColumn("__w", F.explode(F.array_distinct(F.split("__s", "[^a-z0-9]+")))).where("__w <> ''")
-    own = names.select(F.col(name)).distinct().withColumn("__n", F.lower(F.col(name))).withColumn("__w", F.regexp_extract("__n", "[a-z0-9]+", 0)).where("__w <> ''")
-    return words.join(own, "__w").where(F.contains("__s", "__n")).select(doc, "sentence", name)
-
-
 def stations(text: Column) -> Column:
     """Station ids and the places they stand for, from lines such as `Station 1: Place` or `St. 2 (Place)`, as a map; of equal ids the
     first counts."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldloom.functions import geo
-from fieldloom.operators import review_rules as rules
+from fieldloom.operators import mentions, review_rules as rules
 from fieldloom.operators import text
 from fieldloom.plans.registry import query
 
@@ -53,11 +53,27 @@ def co_mentions(t, spark):
     return rules.co_mentions(t("documents"), names, "doc_id", "text", "name")
 
 
-@query()
+_NAMES = "SELECT DISTINCT lower(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)) AS name FROM benchmark WHERE len(string_split(text, ' ')) > 1"
+
+
+@query(rf"""WITH n AS ({_NAMES}), s AS (SELECT doc_id, ss[i] AS s, i - 1 AS sentence FROM (SELECT doc_id, string_split_regex(regexp_replace(lower(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM documents), unnest(range(1, len(ss) + 1)) AS u(i))
+    SELECT DISTINCT doc_id, CAST(sentence AS INT) AS sentence, name FROM s JOIN n ON contains(s, name) AND regexp_matches(s, '(^|[^a-z0-9])' || name)""")
 def sentence_mentions(t, spark):
     """Sentences that contain names of two words, of a table: those that benchmark items begin with."""
-    names = t("benchmark").select(F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("name"))
-    return rules.sentence_mentions(t("documents"), names, "doc_id", "text", "name")
+    names = t("benchmark").where(F.size(F.split("text", " ")) > 1).select(F.lower(F.array_join(F.slice(F.split("text", " "), 1, 2), " ")).alias("name"))
+    return mentions.sentence_mentions(t("documents"), names, "doc_id", "text", "name")
+
+
+@query(rf"""WITH n AS ({_NAMES} UNION SELECT DISTINCT r_name FROM (SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z]{{5,}}'))) AS r_name FROM benchmark)),
+    p AS (SELECT doc_id, name, unnest(range(1, len(gs))) AS i, gs FROM (SELECT doc_id, name, string_split(lower(text), name) AS gs FROM documents, n WHERE contains(lower(text), name)))
+    SELECT doc_id, count(*) AS n, CAST(sum(a) AS BIGINT) AS starts FROM (SELECT doc_id, name, lower(text) AS t, CAST(list_sum([len(x) FOR x IN gs[1:i]]) + (i - 1) * len(name) AS BIGINT) AS a FROM p JOIN documents USING (doc_id))
+    WHERE NOT regexp_matches(substr(t, a, 1), '^[\p{{L}}\p{{N}}]$') AND NOT regexp_matches(substr(t, a + 1 + len(name), 1), '^[\p{{L}}\p{{N}}]$') GROUP BY doc_id""")
+def name_spans(t, spark):
+    """Every occurrence of the benchmark's long words and first pairs of words, by one automaton; counts and sums of offsets."""
+    items = t("benchmark")
+    names = items.where(F.size(F.split("text", " ")) > 1).select(F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("name")).unionByName(items.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0))).alias("name")))
+    found = mentions.spans(t("documents"), names, "doc_id", "text", "name")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("start").alias("starts"))
 
 
 @query("SELECT n_nationkey, 'Harbour' AS one, 'Long Bay' AS two FROM nation")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def flushed_by_count(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
@@ -59,3 +62,101 @@ def new_documents(stream: DataFrame, content: str, at: str, late: str) -> DataFr
 def write_each(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
     """Starts a stream whose batches a function writes; the checkpoint makes each batch count once."""
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def buffered(stream: DataFrame, key: str, order: str, text: str, chars: int, rows: int, at: str, late: str, idle: int) -> DataFrame:
+    """A stream's buffers: key, flush (its number), texts (in the order they came), n and chars, one row whenever a buffer is emptied.
+
+    A key's buffer empties when it holds so many characters or rows, as flushed_by_size has it, and with what is left once the watermark
+    (`late` behind the latest `at`) has passed its last row by `idle` seconds. State of a key holds fewer rows and characters than a flush,
+    and the number of flushes; within one batch, rows of a key are taken by order. Null texts count as empty; a null key is a key;
+    rows with a null `at` are left out. Append mode; a restart from the checkpoint goes on where it was.
+    """
+    rows_in = stream.select(F.col(key).alias("key"), F.col(order).alias("order"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(at).cast("timestamp").alias("at"))
+    rows_in = rows_in.where("at is not null").withWatermark("at", late)
+    kind = dict(rows_in.dtypes)["key"]
+
+    def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        texts, size, flush, last = state.get if state.exists else ([], 0, 0, 0)
+        texts, out = list(texts), []
+
+        def emptied() -> None:
+            nonlocal texts, size, flush
+            out.append((group[0], flush, texts, len(texts), size))
+            texts, size, flush = [], 0, flush + 1
+
+        if state.hasTimedOut:
+            if texts:
+                emptied()
+            state.update((texts, size, flush, last))
+        else:
+            for row in pd.concat(list(frames)).sort_values("order", kind="stable").itertuples(index=False):
+                texts.append(row.text)
+                size += len(row.text)
+                last = max(last, int(row.at.timestamp() * 1000))
+                if size >= chars or len(texts) >= rows:
+                    emptied()
+            state.update((texts, size, flush, last))
+            if texts:
+                state.setTimeoutTimestamp(max(last + 1000 * idle, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=["key", "flush", "texts", "n", "chars"])
+
+    return rows_in.groupBy("key").applyInPandasWithState(run, f"key {kind}, flush int, texts array<string>, n int, chars int", "texts array<string>, size int, flush int, last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def looked_up(stream: DataFrame, key: str, at: str, late: str, call: Callable[[str], str | None], keep: int) -> DataFrame:
+    """A cache as stream state: key, at, value and cached for each request of a stream, which asks call for a key only if its last answer
+    is `keep` seconds old or more, or if there is none.
+
+    Requests of a key within one batch are answered in order of `at`. An answer that is None is kept as well; where call raises, the value is
+    null and nothing is kept, so that the next request tries again. Old answers leave the state once the watermark has passed their
+    end. Null keys are answered null without a call; rows with a null `at` are left out. State is as large as the keys asked for lately.
+    """
+    rows_in = stream.select(F.col(key).cast("string").alias("key"), F.col(at).cast("timestamp").alias("at")).where("at is not null").withWatermark("at", late)
+
+    def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        value, since, known = (*state.get, True) if state.exists else (None, 0, False)
+        out = []
+        for when in sorted(x for f in frames for x in f["at"]):
+            ms = int(when.timestamp() * 1000)
+            fresh_one = known and ms - since < 1000 * keep
+            if not fresh_one and group[0] is not None:
+                try:
+                    value, since, known = call(group[0]), ms, True
+                except Exception:  # noqa: BLE001  whatever an injected call raises
+                    value, known = None, False
+            out.append((group[0], when, value, fresh_one))
+        if known:
+            state.update((value, since))
+            state.setTimeoutTimestamp(max(since + 1000 * keep, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["key", "at", "value", "cached"])
+
+    return rows_in.groupBy("key").applyInPandasWithState(run, "key string, at timestamp, value string, cached boolean", "value string, since long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def refreshed(stream: DataFrame, keys: list[str], source: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
+    """Starts a stream of changes that refreshes derived rows: for the dirty keys of each batch, source computes them anew, and they are
+    written to path/batch=<number>.
+
+    A batch that is run again after a failure overwrites its own folder, so its rows are there once. latest reads the newest rows.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        dirty = batch.select(*keys).distinct()
+        source(dirty).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write_each(stream, write, checkpoint)
+
+
+def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The rows of the newest batch of each key that refreshed has written; null keys are one key."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    newest = rows.groupBy(*keys).agg(F.max("batch").alias("__newest"))
+    same = [rows[k].eqNullSafe(newest[k]) for k in keys]
+    return rows.join(newest, reduce(and_, same) & (rows["batch"] == newest["__newest"]), "left_semi").drop("batch")

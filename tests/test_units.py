@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.functions import calls, geo, names, repair, values
-from fieldloom.operators import articles, chunks, dedup, graph, lookup, memory, morphology, records, relations, review_rules, text, verify
+from fieldloom.operators import articles, chunks, dedup, graph, lookup, mentions, memory, morphology, records, relations, review_rules, text, verify
 from fieldloom.streaming import state
 from fieldloom.plans import graph_queries, rule_queries, text_queries  # noqa: F401
 from fieldloom.plans.registry import QUERIES
@@ -116,7 +116,7 @@ def test_all_spans_and_top_nodes(spark, tmp_path):
 def test_sentence_mentions(spark):
     texts = spark.createDataFrame([(1, "We saw ELYSIA obtusa here. Elysia was there! No obtusa."), (2, "Elysia. obtusa"), (3, None)], "d int, t string")
     names = spark.createDataFrame([("Elysia obtusa",), ("Elysia obtusa",), ("elysia",), (None,)], "name string")
-    assert sorted((r["d"], r["sentence"], r["name"]) for r in review_rules.sentence_mentions(texts, names, "d", "t", "name").collect()) == [(1, 0, "Elysia obtusa"), (1, 0, "elysia"), (1, 1, "elysia"), (2, 0, "elysia")]
+    assert sorted((r["d"], r["sentence"], r["name"]) for r in mentions.sentence_mentions(texts, names, "d", "t", "name").collect()) == [(1, 0, "Elysia obtusa"), (1, 0, "elysia"), (1, 1, "elysia"), (2, 0, "elysia")]
 
 
 def test_packing_keeps_tables():
