@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldloom.functions import phonetic
-from fieldloom.operators import articles, fuzzy, graph, lookup, memory
+from fieldloom.operators import articles, fuzzy, geocode, graph, lookup, memory
 from fieldloom.operators import communities as modular
 from fieldloom.operators import recall as two_stage
 from fieldloom.plans.registry import query
@@ -305,3 +305,21 @@ def co_occurring_with_similar(t, spark):
 def name_sounds(t, spark):
     """how the name of each part and of its maker may sound, as two codes (tested against a table of names)."""
     return t("part").select("p_partkey", F.array_join(phonetic.sounds(F.col("p_name")), ",").alias("name_codes"), F.array_join(phonetic.sounds(F.col("p_brand")), ",").alias("brand_codes"))
+
+
+_ASKED_PLACE = "CASE s_suppkey % 5 WHEN 1 THEN n_name WHEN 2 THEN '(' || s_suppkey || ') ' || lower(n_name) || '!' WHEN 3 THEN r_name || ' coast' WHEN 4 THEN 'zz' || s_suppkey END"
+
+
+@query(f"""SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN s_nationkey + 0.5 WHEN 1 THEN s_nationkey WHEN 2 THEN s_nationkey WHEN 3 THEN n_regionkey + 50.0 END AS lat,
+    CASE s_suppkey % 5 WHEN 0 THEN -10.25 WHEN 1 THEN n_regionkey WHEN 2 THEN n_regionkey WHEN 3 THEN 1.0 END AS lon,
+    CASE s_suppkey % 5 WHEN 0 THEN 'given' WHEN 1 THEN 'nations_exact_100' WHEN 2 THEN 'nations_canonical_95' WHEN 3 THEN 'gazetteer' END AS coordinate_source FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def geocode_cascade(t, spark):
+    """2.12, J7: coordinates by what a record has, then named places, then a gazetteer's alternate names, each asked for the rest only."""
+    j = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    given = F.col("s_suppkey") % 5 == 0
+    rows = j.select("s_suppkey", F.expr(_ASKED_PLACE).alias("place"), F.when(given, F.concat("s_nationkey", F.lit("°30'N"))).alias("lat"), F.when(given, F.lit("10°15'W")).alias("lon"))
+    places = t("nation").withColumn("la", F.col("n_nationkey").cast("double")).withColumn("lo", F.col("n_regionkey").cast("double"))
+    g = t("region")
+    gazetteer = g.select(F.lower("r_name").alias("name"), F.lit("").alias("ascii"), F.concat(F.lit("other,the "), F.upper("r_name"), F.lit(" Coast road")).alias("alternates"), (F.col("r_regionkey") + 50.0).alias("lat"), F.lit(1.0).alias("lon"), F.lit("P").alias("feature"), F.lit("5").alias("population"))
+    tools = [geocode.by_names(places, "n_name", "n_nationkey", "la", "lo", "nations", 0.95), geocode.by_gazetteer(gazetteer)]
+    return geocode.geocoded(rows, "place", "lat", "lon", tools).select("s_suppkey", "lat", "lon", "coordinate_source")
