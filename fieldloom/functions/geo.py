@@ -12,20 +12,21 @@ _NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
 _DMS = rf"^\s*([NSEWnsew])?\s*{_NUMBER}\s*[°º]\s*(?:{_NUMBER}\s*['′’]\s*)?(?:{_NUMBER}\s*(?:\"|″|”|'')\s*)?([NSEWnsew])?\s*$"
 _DECIMAL = r"^\s*([NSEWnsew])?\s*(-?[0-9]+(?:\.[0-9]+)?)\s*°?\s*([NSEWnsew])?\s*$"
 
-#: Damage that scanning does to coordinates, and what it is rewritten to (fixed values).
+#: Signs taken for minute and second marks, and for blanks (fixed values).
+MINUTE_SIGNS, SECOND_SIGNS, BLANK_SIGNS = "\u2032\u02bc\u2019", "\u2033\u201d", "\u00a0\u200b\u200c\u200d\ufeff"
+#: A degree mark read as a zero after a hemisphere, or as an O; letters for degrees, minutes and seconds, one after the other.
 SCAN_DAMAGE = (
-    (r"([NS])\s*(\d{1,2})0(\d{2}['\u2019\u02bc])", "$1 $2°$3"),
-    (r"([EW])\s*(\d{1,3})0(\d{2}['\u2019\u02bc])", "$1 $2°$3"),
-    (r"(\d)O(\d)", "$1°$2"),
-    (r"(\d+)\s*[dD°]\s*(\d+)\s*[mM']\s*([\d.]+)\s*[sS\"]", "$1°$2'$3\""),
-    (r"[\u2032\u02bc\u2019]", "'"),
-    (r"[\u2033\u201d]", '"'),
-    (r"[\u00a0\u200b\u200c\u200d\ufeff]", " "),
+    ("([NSEW])\\s*([0-9]{1,3})0([0-9]{2}')", "$1 $2°$3"),
+    ("(?<=[0-9])O(?=[0-9])", "°"),
+    ("(?<=[0-9])\\s*[dD](?=\\s*[0-9]+\\s*[mM'])", "°"),
+    ("°\\s*([0-9]+)\\s*[mM](?=\\s*[0-9.]+\\s*[sS\"])", "°$1'"),
+    ("'\\s*([0-9.]+)\\s*[sS]", "'$1\""),
 )
 
 
 def repair_marks(c: Column) -> Column:
     """Degree, minute and second marks that scanning has damaged, or that are spaces after a hemisphere; seconds without a mark get one."""
+    c = F.translate(c, MINUTE_SIGNS + SECOND_SIGNS + BLANK_SIGNS, "'" * len(MINUTE_SIGNS) + '"' * len(SECOND_SIGNS) + " " * len(BLANK_SIGNS))
     for pattern, by in SCAN_DAMAGE:
         c = F.regexp_replace(c, pattern, by)
     c = F.regexp_replace(c, r"^\s*([NSEWnsew])\s*(\d{1,3})\s+(\d{1,2})(?=\s|$)", "$1 $2°$3'")

@@ -103,3 +103,21 @@ def test_export(spark, tmp_path):
     lines = [x for p in sorted((tmp_path / "out").glob("part-*.csv")) for x in p.read_text().splitlines()]
     assert lines[0] == ",".join(files.EXPORT_COLUMNS) or lines[0].replace('"', "") == ",".join(files.EXPORT_COLUMNS)
     assert [x.split(",")[0].strip('"') for x in lines if "atom_id" not in x] == ["3", "1", "2"]
+
+
+def test_fields_of_descriptions(spark):
+    """Own sentences for each field of a description."""
+    from fieldloom.operators import morphology
+
+    text = (
+        "Glossodoris rufa n. sp. (Rüppell & Leuckart, 1828). Type locality: the outer reef of Marsa Bay; length 12.5 to 30 mm alive. Holotype: USNM 12345, paratypes NHM/MOLL/77. "
+        "Radula 45 x 20.1.20. Leg. A. B. Müller Nair, kept in the Natural History Museum. Also AB-2020.5512, re-described later."
+    )
+    f = spark.createDataFrame([(text,), ("",), (None,), ("Re-described by none",), ("First record of it, up to 4 mm",)], "t string").select(morphology.fields(F.col("t")).alias("f"), morphology.signal(F.col("t")).alias("s")).select("f.*", "s").collect()
+    first = f[0]
+    assert first["authority"] == "(Rüppell & Leuckart, 1828)" and first["status"] == "sp. nov." and first["type_status"] == "holotype" and first["type_place"] == "the outer reef of Marsa Bay"
+    assert first["size_mm"] == [12.5, 30.0] and first["radula"] == "45 x 20.1.20" and first["collector"] == "A. B. Müller Nair" and first["repository"] == "Natural History Museum" or first["repository"] == "USNM"
+    assert first["vouchers"] == ["USNM 12345", "NHM/MOLL/77", "AB-2020.5512"] and first["s"] == 11
+    assert f[1]["status"] is None and f[2]["size_mm"] is None and f[3]["status"] == "re-description" and f[4]["status"] == "new record" and f[4]["s"] == 3
+    around = spark.createDataFrame([("İİİ x Name y", "NAME")], "t string, n string").select(morphology.around(F.col("t"), F.col("n"), 2)).first()[0]
+    assert around == "x Name y"
