@@ -28,12 +28,19 @@ class _Open:
         self.close, self.start, self.safe, self.flat = close, start, start + 1, True
 
 
-def _loaded(text: str) -> object:
-    def no_constant(name: str) -> None:
-        raise ValueError(name)
+def _no_constant(name: str) -> None:
+    raise ValueError(name)
+
+
+_decoder = json.JSONDecoder(strict=False, parse_constant=_no_constant)
+_encoded = json.JSONEncoder(ensure_ascii=False).encode
 
+
+def _loaded(text: str) -> object:
+    if text[:1] not in '{["-0123456789tfn' and not text[:1].isspace():
+        return None
     try:
-        return json.loads(text, strict=False, parse_constant=no_constant)
+        return _decoder.decode(text)
     except (ValueError, RecursionError):
         return None
 
@@ -126,7 +133,7 @@ def scanned(text: str) -> list[tuple[object, bool]]:
 
 def recovered(reply: str | None, fewest_keys: int = 2) -> list[str]:
     """What objects gives, of one reply."""
-    text = _AROUND.sub("", reply or "").strip()
+    text = (_AROUND.sub("", reply) if reply and ("<" in reply or "`" in reply) else reply or "").strip()
     if not text:
         return []
     dicts = lambda v: [x for x in v if isinstance(x, dict)]
@@ -147,7 +154,7 @@ def recovered(reply: str | None, fewest_keys: int = 2) -> list[str]:
                 inner = listed(v) if isinstance(v, dict) and not whole else v if isinstance(v, list) else None
                 found += dicts(inner) if inner is not None else [v]
             found = [d for d in found if len(d) >= fewest_keys]
-    return [json.dumps(d, ensure_ascii=False) for d in found]
+    return [_encoded(d) for d in found]
 
 def bare(reply: Column) -> Column:
     """A reply without reasoning blocks and code fences."""

@@ -22,8 +22,9 @@ def sentences(c: Column, guard: bool = True) -> Column:
     """Split after a full stop, question or exclamation mark followed by white space; with guard, not after an abbreviation or an
     initial. No sentence is empty but that of an empty text; null gives null."""
     cut = F.regexp_replace(c, r"([.!?])\s+", f"$1{BREAK}")
-    for _ in range(2 if guard else 0):  # twice, as of two in a row one match takes what stands before the other
-        cut = F.regexp_replace(cut, rf"(^|[^A-Za-z])({'|'.join(a.replace('.', '[.]') for a in ABBREVIATIONS)}|[A-Z])\.{BREAK}", "$1$2. ")
+    if guard:  # the search is for the break itself; what stands before it is only looked at there
+        before = "|".join(a.replace(".", "[.]") for a in ABBREVIATIONS)
+        cut = F.regexp_replace(cut, rf"\.{BREAK}(?<=(?:^|[^A-Za-z])(?:{before}|[A-Z])\.{BREAK})", ". ")
     return F.split(cut, BREAK)
 
 
