@@ -105,10 +105,13 @@ def test_names_in_texts_equal_plain_search(spark):
         mentions.spans(df, known, "d", "t", "n", most=2)
 
 
-def test_words_of_sentences_carry_no_text(spark):
+def test_words_of_sentences_carry_no_text(spark, monkeypatch):
     """The rows that meet names are as many as words, none of them with its sentence."""
     long = " ".join(f"w{k}" for k in range(3000)) + " elysia obtusa"
     df = spark.createDataFrame([(1, long), (2, "Elysia obtusa. xelysia obtusa")], "d long, t string")
     names = spark.createDataFrame([("Elysia obtusa",), ("obtusa",)], "n string")
-    found = mentions.sentence_mentions(df, names, "d", "t", "n")
-    assert sorted(tuple(r) for r in found.collect()) == [(1, 0, "Elysia obtusa"), (1, 0, "obtusa"), (2, 0, "Elysia obtusa"), (2, 0, "obtusa"), (2, 1, "obtusa")]
+    expected = [(1, 0, "Elysia obtusa"), (1, 0, "obtusa"), (2, 0, "Elysia obtusa"), (2, 0, "obtusa"), (2, 1, "obtusa")]
+    for most in (100, 1):  # by an automaton, and by joins
+        monkeypatch.setattr(mentions, "MOST_NAMES", most)
+        assert sorted(tuple(r) for r in mentions.sentence_mentions(df, names, "d", "t", "n").collect()) == expected
+    assert mentions.sentence_mentions(df, names.limit(0), "d", "t", "n").collect() == []
