@@ -22,7 +22,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id; of several rows with this id, one.
 
-    Near-duplicates are texts of a similarity of 0.8 or more in five-word shingles.
+    Near-duplicates are texts of a similarity of 0.8 or more in five-word shingles. None below it is linked; above it candidates are found by
+    min-hashes, so that a few links may be missed (97 % or more are found at 0.8, see the README).
     """
     return simhash.one_of_each(docs, shingle=5, similarity=0.8)
 
