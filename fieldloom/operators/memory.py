@@ -99,11 +99,14 @@ def pending(df: DataFrame, processed: DataFrame, key: str, status: str, approved
     return df.where(F.col(status) == approved).join(processed.select(key).distinct(), key, "left_anti")
 
 
-def search(df: DataFrame, column: str, wanted: str, least: float = 0.7, most: int = 50) -> DataFrame:
-    """Rows that contain the wanted text, whatever the case, the first `most` by name; where there are none, the most similar one by ratio, if
-    that is over least, with its similarity. Null names are never found."""
+def search(df: DataFrame, column: str, wanted: str, least: float = 0.7, most: int | None = 50) -> DataFrame:
+    """Rows that contain the wanted text, whatever the case, the first `most` by name (None: all); where there are none, the most similar one
+    by ratio, if that is over least, with its similarity. Null names are never found."""
     low = F.lower(F.col(column))
-    hit = df.where(F.contains(low, F.lit(wanted.lower()))).withColumn("similarity", F.lit(1.0)).orderBy(column, *[c for c in df.columns if c != column]).limit(most)
+    others = [c for c in df.columns if c != column]
+    hit = df.where(F.contains(low, F.lit(wanted.lower()))).withColumn("similarity", F.lit(1.0))
+    if most is not None:
+        hit = hit.orderBy(column, *others).limit(most)
     none = hit.limit(1).agg(F.count("*").alias("n")).where("n = 0").select(F.lit(True).alias("__none"))
     near = df.join(F.broadcast(none)).drop("__none").withColumn("similarity", F.bround(ratio(low, F.lit(wanted.lower())), 4))
-    return hit.unionByName(near.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), column).limit(1))
+    return hit.unionByName(near.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), column, *others).limit(1))

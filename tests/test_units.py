@@ -139,6 +139,19 @@ def test_search_falls_back(spark):
     assert memory.search(df, "n", "zzzzzz").count() == 0
 
 
+def test_search_of_all_names(spark, tmp_path):
+    """The operator can give all hits, and the query does: 60 of 61 names."""
+    import __spark_entry__
+
+    df = spark.createDataFrame([(i, f"Widget {i}") for i in range(60)] + [(60, "other")], "p_partkey long, p_name string")
+    assert memory.search(df, "p_name", "wIDGET").count() == 50
+    assert memory.search(df, "p_name", "wIDGET", most=None).count() == 60
+    assert [r["p_partkey"] for r in memory.search(df, "p_name", "othr", most=None).collect()] == [60]
+    df.write.parquet(f"{tmp_path}/part.parquet")
+    assert __spark_entry__.queries()["name_search"](spark, str(tmp_path)).count() == 60
+
+
+
 def test_stream_counts(spark, tmp_path):
     spark.range(10).selectExpr("id", "timestamp_seconds(id * 600) AS ts", "'a' AS k").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id long, ts timestamp, k string").parquet(str(tmp_path / "in"))
