@@ -19,6 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def dealt(df: DataFrame, *keys: str, of: DataFrame | None = None, rows: int = 500_000) -> DataFrame:
+    """df dealt out by keys to as many partitions as leave each about `rows` rows of the table `of` (df itself by default), which is counted:
+    a table as read costs only its footers. What a task holds then does not grow with the table, nor do few files leave tasks idle."""
+    n = (df if of is None else of).count()
+    return df.repartition(max(1, -(-n // rows)), *keys)
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """df written and read again: its lineage ends, and a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/fieldloom/{name}-{uuid.uuid4().hex}"

@@ -335,6 +335,19 @@ def test_morphology_around_names(spark):
     assert spark.createDataFrame([(None,)], "c string").select(morphology.fields(F.col("c")).alias("f")).select("f.*").first().asDict()["status"] is None
 
 
+def test_morphology_of_few_files(spark, tmp_path):
+    """Rows of one file go to several tasks, and the context of a name is found once, not by each field."""
+    import __spark_entry__
+
+    spark.range(12_000).selectExpr("id AS p_partkey", "concat('ring ', id) AS p_name", "cast(id % 40 AS int) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = __spark_entry__.queries()["morphology_fields"](spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() == 3
+    assert [tuple(r) for r in got.where("p_partkey = 11").collect()] == [(11, "Smith, 1900", "sp. nov.", "holotype", "ZSI/AB/11", "Rao Patel", 11, 16)]
+    assert got.count() == 12_000
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+
 def test_places_apart(spark):
     cases = {"Narara, Pirotan, Beyt Dwarka": 1, "Narara; Pirotan; Beyt; Dwarka": 4, "Narara Island, Gulf of Kutch": 1, "Site A (Narara, intertidal)": 1, "Narara": 1, "": 1}
     cases["Narara, Pirotan, Beyt Dwarka"] = 3
