@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.names import short_hash
 from fieldloom.functions.similarity import ratio
-from fieldloom.sources.tables import cut
+from fieldloom.sources.tables import cut, dealt
 
 
 def merge(rows: DataFrame, key: Sequence[str], fields: Sequence[str], seq: str = "seq") -> DataFrame:
@@ -35,8 +35,13 @@ def checklist(df: DataFrame, key: str, place: str, score: str, columns: Sequence
 
 def tokens(df: DataFrame, doc: str, text: str, longer_than: int = 2) -> DataFrame:
     """doc, token, tf: letters and digits in lower case, over two characters."""
-    words = F.filter(F.split(F.lower(F.col(text)), "[^a-z0-9]+"), lambda w: F.length(w) > longer_than)
-    return df.select(doc, F.explode(words).alias("token")).groupBy(doc, "token").agg(F.count("*").alias("tf"))
+    words = df.select(doc, F.explode(F.split(F.lower(F.col(text)), "[^a-z0-9]+")).alias("token")).where(F.length("token") > longer_than)
+    return words.groupBy(doc, "token").agg(F.count("*").alias("tf"))
+
+
+def whole_index(df: DataFrame, doc: str, text: str) -> DataFrame:
+    """tokens of all rows, for what reads the whole index: texts are dealt out by doc, as they are shorter than their counted words."""
+    return tokens(dealt(df.select(doc, text), doc, rows=2000), doc, text)
 
 
 def tfidf(index: DataFrame, doc: str) -> DataFrame:
@@ -54,18 +59,30 @@ def recall(index: DataFrame, query: DataFrame, doc: str, qid: str, k: int) -> Da
     return scored.where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def recalled(index: DataFrame, query: DataFrame, doc: str, qid: str, k: int) -> DataFrame:
-    """What recall gives on tfidf(index), but weights meet the queries' tokens at once: the whole index only gives each document's
-    length, by partial sums, and no window passes over it. The index is written once, as three passes read it."""
-    index = cut(index, "index")
+def scored(index: DataFrame, query: DataFrame, doc: str, qid: str, common: int = 1000, few: int = 100_000) -> DataFrame:
+    """qid, doc and score (cosine on tfidf(index)) of each document that shares a token with a query. Weights meet the queries' tokens at
+    once: the whole index only gives each document's length, by partial sums, and no window passes over it.
+
+    The index is written once, as several passes read it. Tokens that one document in `common` has are broadcast with their
+    weight (a document has few of them, so they are at most its mean number of tokens times `common`), only the rest of the index is
+    dealt out by token. Up to `few` query tokens are broadcast, too.
+    """
+    index, query = cut(index, "index"), cut(query.select(qid, "token", F.col("weight").alias("qw")), "query")
     n = index.agg(F.countDistinct(doc).alias("n"))
-    df_ = index.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("token", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = index.join(df_, "token").withColumn("w", (1 + F.ln("tf")) * F.col("idf"))
-    length = raw.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    hits = raw.join(query.select(qid, "token", F.col("weight").alias("qw")), "token").groupBy(qid, doc).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    scored = hits.join(length, doc).select(qid, doc, F.round(F.col("dot") / F.col("length"), 6).alias("score")).where("score > 0")
+    df_ = index.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("token", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"), (F.col("df") * common >= F.col("n")).alias("often"))
+    often = F.broadcast(df_.where("often").select("token", "idf"))
+    rest = index.join(often, "token", "left_anti").join(df_.where(~F.col("often")).select("token", "idf"), "token")
+    w = (1 + F.ln("tf")) * F.col("idf")
+    length = index.join(often, "token").select(doc, w.alias("w")).unionByName(rest.select(doc, w.alias("w"))).groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    asked = query.join(df_.select("token", "idf"), "token")
+    pairs = index.join(F.broadcast(asked) if query.count() <= few else asked, "token").groupBy(qid, doc).agg(F.sum(w * F.col("qw")).alias("dot"))
+    return pairs.join(length, doc).select(qid, doc, F.round(F.col("dot") / F.col("length"), 6).alias("score")).where("score > 0")
+
+
+def recalled(index: DataFrame, query: DataFrame, doc: str, qid: str, k: int) -> DataFrame:
+    """What recall gives on tfidf(index), by scored."""
     w = Window.partitionBy(qid).orderBy(F.desc("score"), doc)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scored(index, query, doc, qid).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def hits(index: DataFrame, nodes: DataFrame, doc: str, words: Sequence[str], k: int = 50) -> DataFrame:

@@ -129,17 +129,15 @@ def token_index(t, spark):
     SELECT item_id, count(*) AS n FROM s WHERE score > 0 GROUP BY item_id""")
 def tfidf_matches(t, spark):
     """Documents that each query recalls, counted (the ranking is in tfidf_recall)."""
-    index = memory.tfidf(memory.tokens(t("documents"), "doc_id", "text"), "doc_id")
     q = memory.tokens(t("benchmark"), "item_id", "text").select("item_id", "token", F.col("tf").alias("weight"))
-    scored = index.join(q.withColumnRenamed("weight", "qw"), "token").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 6).alias("score"))
-    return scored.where("score > 0").groupBy("item_id").agg(F.count("*").alias("n"))
+    return memory.scored(memory.whole_index(t("documents"), "doc_id", "text"), q, "doc_id", "item_id").groupBy("item_id").agg(F.count("*").alias("n"))
 
 
 @query()
 def tfidf_recall(t, spark):
     """The five documents nearest to each query by cosine."""
     q = memory.tokens(t("benchmark"), "item_id", "text").select("item_id", "token", F.col("tf").alias("weight"))
-    return memory.recalled(memory.tokens(t("documents"), "doc_id", "text"), q, "doc_id", "item_id", 5)
+    return memory.recalled(memory.whole_index(t("documents"), "doc_id", "text"), q, "doc_id", "item_id", 5)
 
 
 @query("SELECT p_partkey, p_name, 1.0 AS similarity FROM part WHERE lower(p_name) LIKE '%widget%'")
