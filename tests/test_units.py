@@ -327,6 +327,26 @@ def test_recall_in_two_ways(spark):
     assert memory.recalled(index.limit(0), q, "doc_id", "qid", 5).count() == 0
 
 
+def test_scores_by_common_and_rare_tokens(spark, tmp_path):
+    """Scores are those of tfidf, whatever is broadcast; the count of matches orders no index by document, as a window did."""
+    import __spark_entry__
+
+    rows = spark.createDataFrame([(i % 37 if i else None, " ".join(f"word{j}" for j in range(1, 2 + i % 11)) + f" own{i} reef") for i in range(60)] + [(99, None), (98, "a b")], "doc_id int, text string")
+    index = memory.whole_index(rows, "doc_id", "text")
+    assert sorted(map(str, index.collect())) == sorted(map(str, memory.tokens(rows, "doc_id", "text").collect()))
+    q = spark.createDataFrame([(1, "word3", 2), (1, "own7", 1), (2, "own8", 1), (2, "none", 1), (3, "reef", 1)], "qid int, token string, weight int")
+    plain = memory.tfidf(index, "doc_id").join(q.withColumnRenamed("weight", "qw"), "token").where("doc_id is not null").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 6).alias("score"))
+    expected = sorted(map(tuple, plain.collect()))
+    for common, few in ((1000, 100_000), (2, 100_000), (3, 0)):
+        assert sorted(map(tuple, memory.scored(index, q, "doc_id", "qid", common, few).collect())) == expected
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "word3 reef"), (2, "own8 nothing"), (3, "zz")], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = __spark_entry__.queries()["tfidf_matches"](spark, str(tmp_path))
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in got.collect()} == {(1, 37), (2, 1)}
+
+
+
 def test_morphology_around_names(spark):
     df = spark.createDataFrame([("a (b) c A (B)", "a (b)"), ("abc" * 2000, "zz"), (None, "x"), ("abc", ""), ("abc", None)], "t string, n string")
     got = [r["x"] for r in df.select(morphology.around(F.col("t"), F.col("n"), 2, 9).alias("x")).collect()]
