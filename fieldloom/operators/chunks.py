@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,46 +11,52 @@ from pyspark.sql import functions as F
 from fieldloom.operators import text as texts
 
 
-def pack_sentences(sentences: Sequence[str], budget: int, again: int = 0, again_chars: int = 400) -> list[str]:
-    """Sentences joined by spaces while they fit the budget; one that is longer by itself is a chunk of its own. With `again`, a chunk
-    begins with the last sentence of the one before, if that had several and it has no more than again_chars: each adds a new one."""
-    out: list[str] = []
-    now: list[str] = []
-    size = new = 0
-    for s in sentences:
-        if now and size + 1 + len(s) > budget:
-            out.append(" ".join(now))
-            last = now[-1]
-            now = [last] if again and new > 1 and len(last) <= again_chars and len(last) + 1 + len(s) <= budget else []
-            size, new = sum(map(len, now)), 0
-        size += len(s) + bool(now)
-        now.append(s)
+def packed_ranges(lengths: Sequence[int], budget: int, again: int = 0, again_chars: int = 400) -> list[tuple[int, int]]:
+    """First sentence (from 0) and number of sentences of each chunk: sentences joined by one character while they fit the budget; one that is
+    longer by itself is a chunk of its own. With `again`, a chunk begins with the last sentence of the one before, if that had several
+    and it has no more than again_chars: each adds a new one."""
+    out: list[tuple[int, int]] = []
+    first = size = new = 0
+    for k, n in enumerate(lengths):
+        if k > first and size + 1 + n > budget:
+            out.append((first, k - first))
+            last = lengths[k - 1]
+            over = again and new > 1 and last <= again_chars and last + 1 + n <= budget
+            first, size, new = (k - 1, last, 0) if over else (k, 0, 0)
+        size += n + (k > first)
         new += 1
-    return [*out, " ".join(now)] if now else out
+    return [*out, (first, len(lengths) - first)] if len(lengths) else out
+
+
+def pack_sentences(sentences: Sequence[str], budget: int, again: int = 0, again_chars: int = 400) -> list[str]:
+    """The chunks of packed_ranges, joined by spaces."""
+    return [" ".join(sentences[k : k + n]) for k, n in packed_ranges([len(s) for s in sentences], budget, again, again_chars)]
+
+
+#: What Python's strip takes for white space.
+_BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*"
 
 
 def sentence_chunks(df: DataFrame, keep: tuple[str, ...], text: str, budget: int = 1800, context: str | None = None, again: int = 0) -> DataFrame:
     """keep, pos and chunk: sentences packed greedily; a text within the budget is one chunk as it is. With a column of context, its
     length and 200 characters are taken off the budget (one sentence goes through all the same), and it stands before each chunk. Null
-    and blank texts give no rows. What fits depends on all before it, so Arrow batches do it."""
-    own = df.select(*keep, F.col(text).alias("__text"), (F.coalesce(F.col(context), F.lit("")) if context else F.lit("")).alias("__context"), texts.sentences(F.col(text)).alias("__sentences"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema) + ", pos int, chunk string"
-
-    def cut(t: str | None, before: str, sentences: Sequence[str] | None) -> list[str]:
-        if t is None or not t.strip():
-            return []
-        room = budget - len(before) - 200 if context else budget
-        chunks = [t] if len(t) <= room else pack_sentences([s for s in sentences if s.strip()], room, again)
-        return [before + "\n\n" + c if before else c for c in chunks]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            chunks = [cut(*x) for x in zip(f.pop("__text"), f.pop("__context"), f.pop("__sentences"), strict=True)]
-            f = f.assign(pos=[list(range(len(c))) for c in chunks], chunk=chunks)
-            f = f[f["chunk"].map(len) > 0].explode(["pos", "chunk"])
-            yield f.astype({"pos": "int32"}) if len(f) else f.iloc[:0].astype({"pos": "int32", "chunk": "object"})
-
-    return own.mapInPandas(run, schema)
+    and blank texts give no rows. What fits depends on all before it, so Python does it, on the sentences' lengths alone: texts
+    stay where they are, and a batch is a few numbers for each of its rows."""
+    before = F.coalesce(F.col(context), F.lit("")) if context else F.lit("")
+    room = F.lit(budget) - (F.length(before) + 200 if context else 0)
+    blank = lambda s: s.rlike(rf"\A{_BLANK}\z")
+    own = df.select(*keep, F.col(text).alias("__text"), before.alias("__before"), room.alias("__room")).where(F.col("__text").isNotNull() & ~blank(F.col("__text")))
+    whole = F.length("__text") <= F.col("__room")
+    own = own.withColumn("__sentences", F.when(whole, F.array("__text")).otherwise(F.filter(texts.sentences(F.col("__text")), lambda s: ~blank(s)))).drop("__text")
+
+    @F.pandas_udf("array<struct<first:int,n:int>>")
+    def ranges(lengths: pd.Series, rooms: pd.Series) -> pd.Series:
+        return pd.Series([[{"first": a, "n": n} for a, n in packed_ranges(x.tolist(), room, again)] for x, room in zip(lengths, rooms, strict=True)], dtype=object)
+
+    cut = own.withColumn("__ranges", ranges(F.transform("__sentences", lambda s: F.length(s)), F.col("__room")))
+    joined = F.array_join(F.slice("__sentences", F.col("__r.first") + 1, F.col("__r.n")), " ")
+    chunk = F.when(F.col("__before") != "", F.concat("__before", F.lit("\n\n"), joined)).otherwise(joined)
+    return cut.select("*", F.posexplode("__ranges").alias("pos", "__r")).select(*keep, "pos", chunk.alias("chunk"))
 
 
 def ranked(df: DataFrame, key: str, score: str, text: str, seq: str, least: float = 0.25, most: int = 6, prefix: int = 120) -> DataFrame:

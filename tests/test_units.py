@@ -318,6 +318,29 @@ def test_sentence_packing(spark):
     assert chunks.sentence_chunks(df.limit(0), ("id",), "t", 10).count() == 0
 
 
+def test_sentence_chunks_send_lengths(spark):
+    """Python gets the lengths of sentences, not the texts; chunks are those of packing sentence by sentence."""
+    import random
+
+    r = random.Random(5)
+    rows = [(i, r.choice(["", " ", "\x1c\u2003"]) + r.choice([" ", "\n"]).join("w" * r.randrange(1, 30) + r.choice([".", "?", ". \u3000. ", ""]) for _ in range(r.randrange(0, 40))), r.choice([None, "", "c" * 9])) for i in range(150)]
+    df = spark.createDataFrame([*rows, (900, "\x1c\x85\u3000 ", "c"), (901, None, None)], "id int, t string, c string")
+    sentences = {x["id"]: [s for s in x["s"] if s.strip()] for x in df.where("t is not null").select("id", text.sentences(F.col("t")).alias("s")).collect()}
+    for context, again in ((None, 0), ("c", 1)):
+        got = chunks.sentence_chunks(df, ("id",), "t", 300, context, again)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInPandas" not in plan and "ArrowEvalPython" in plan
+        expected = []
+        for i, t, c in rows:
+            before = (c or "") if context else ""
+            room = 300 - len(before) - 200 if context else 300
+            if t.strip():
+                own = [t] if len(t) <= room else chunks.pack_sentences(sentences[i], room, again)
+                expected += [(i, k, before + "\n\n" + x if before else x) for k, x in enumerate(own)]
+        assert sorted(map(tuple, got.collect())) == sorted(expected) and len(expected) > 150
+
+
+
 def test_recall_in_two_ways(spark):
     rows = spark.createDataFrame([(i, " ".join(w * (i % (k + 2)) for k, w in enumerate(("coral ", "reef ", "shore ", "tide "))) + f"word{i % 7}") for i in range(40)], "doc_id int, text string")
     index = memory.tokens(rows, "doc_id", "text")
