@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.sources.tables import cut
+from fieldloom.sources.tables import cut, dealt
 
 
 def upsert_nodes(rows: DataFrame, seq: str = "seq") -> DataFrame:
@@ -18,12 +18,15 @@ def upsert_edges(rows: DataFrame, initial: float = 1.0) -> DataFrame:
     return rows.groupBy("src", "rel", "tgt").agg((F.count("*") - 1 + F.lit(initial)).alias("weight"))
 
 
-def co_occurrence(members: DataFrame, group: str, item: str, most: int | None = None) -> DataFrame:
+def co_occurrence(members: DataFrame, group: str, item: str, most: int | None = None, of: DataFrame | None = None) -> DataFrame:
     """Pairs a < b of distinct items in the same group, with the number of groups; groups over `most` items are left out if given.
 
-    Both directions have the same weight, so half of the ordered pairs is made and counted before the shuffle.
+    Both directions have the same weight, so half of the ordered pairs is made and counted before the shuffle. With `of`, a table of
+    about as many rows as members, groups are dealt by its size, so that a task makes the pairs of a bounded number of rows (of one group
+    at least).
     """
-    own = members.select(group, item).distinct()
+    own = members.select(group, item)
+    own = (dealt(own, group, of=of) if of is not None else own).distinct()
     if most:
         own = own.join(own.groupBy(group).count().where(F.col("count") <= most).select(group), group, "left_semi")
     a, b = own.select(group, F.col(item).alias("a")), own.select(group, F.col(item).alias("b"))

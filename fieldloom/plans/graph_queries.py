@@ -34,7 +34,7 @@ def graph_nodes(t, spark):
 @query("""WITH m AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) SELECT x.l_partkey AS a, y.l_partkey AS b, count(*) AS weight FROM m x JOIN m y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey GROUP BY ALL""")
 def co_occurrence(t, spark):
     """Pairs found together, with their weight."""
-    return graph.co_occurrence(t("lineitem"), "l_orderkey", "l_partkey")
+    return graph.co_occurrence(t("lineitem"), "l_orderkey", "l_partkey", of=t("lineitem"))
 
 
 @query(f"SELECT node_id, count(*) AS degree FROM (SELECT src AS node_id FROM (SELECT DISTINCT * FROM ({_FOUND})) UNION ALL SELECT tgt FROM (SELECT DISTINCT * FROM ({_FOUND}))) GROUP BY node_id ORDER BY degree DESC, node_id LIMIT 10")
