@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.operators import text as texts
+from fieldloom.sources.tables import dealt
 
 
 def packed_ranges(lengths: Sequence[int], budget: int, again: int = 0, again_chars: int = 400) -> list[tuple[int, int]]:
@@ -85,19 +86,23 @@ def quotas(df: DataFrame, key: str, seq: str, text: str, budget: int = 3000, lea
     return cut.withColumn("__before", before).where(F.col("__before") < budget).drop("__before", "__n")
 
 
-def with_parent(sentences: DataFrame, paragraphs: DataFrame, doc: str, prefix: int = 300) -> DataFrame:
+def with_parent(sentences: DataFrame, paragraphs: DataFrame, doc: str, prefix: int = 300, of: DataFrame | None = None) -> DataFrame:
     """sentences (doc, start, end, parent: the beginning of their paragraph's text) with para: the first paragraph (doc, para, start, end,
     text) of the document that begins with it, else the one in whose range the sentence lies (paragraphs do not overlap), else null.
 
-    The fallback is one running window over both tables, not a comparison of all pairs.
+    Both are windows over both tables, dealt out once by document, not a comparison of all pairs. With `of`, a table of about as many rows,
+    it is its size that says to how many tasks.
     """
-    by_text = paragraphs.groupBy(doc, F.substring("text", 1, prefix).alias("parent")).agg(F.min("para").alias("__by_text"))
-    own = sentences.join(by_text, [doc, "parent"], "left").withColumn("__p", F.lit(None).cast("struct<para:bigint,stop:bigint>")).withColumn("__s", F.lit(1))
-    mark = paragraphs.select(*[F.col(c) if c in (doc, "start") else F.lit(None).cast(t).alias(c) for c, t in own.drop("__p", "__s").dtypes], F.struct(F.col("para").cast("long").alias("para"), F.col("end").cast("long").alias("stop")).alias("__p"), F.lit(0).alias("__s"))
+    found = F.struct(F.col("para").alias("para"), F.col("end").cast("long").alias("stop"))
+    mark = paragraphs.select(*[F.col(c) if c in (doc, "start") else F.lit(None).cast(t).alias(c) for c, t in sentences.dtypes], F.substring("text", 1, prefix).alias("__begin"), found.alias("__p"), F.lit(0).alias("__s"))
+    own = sentences.withColumn("__begin", F.col("parent")).withColumn("__p", F.lit(None).cast(mark.schema["__p"].dataType)).withColumn("__s", F.lit(1))
+    both = own.unionByName(mark)
+    both = dealt(both, doc, of=of) if of is not None else both.repartition(doc)
+    by_text = F.when(F.col(doc).isNotNull() & F.col("__begin").isNotNull(), F.min("__p.para").over(Window.partitionBy(doc, "__begin")))
     w = Window.partitionBy(doc).orderBy("start", "__s").rowsBetween(Window.unboundedPreceding, 0)
-    seen = own.unionByName(mark).withColumn("__last", F.last("__p", ignorenulls=True).over(w)).where("__s = 1")
+    seen = both.withColumn("__by_text", by_text).withColumn("__last", F.last("__p", ignorenulls=True).over(w)).where("__s = 1")
     within = F.when(F.col("end") <= F.col("__last.stop"), F.col("__last.para"))
-    return seen.select(*sentences.columns, F.coalesce("__by_text", within).alias("para"))
+    return seen.select(*sentences.columns, F.coalesce("__by_text", within).cast("long").alias("para"))
 
 
 def extraction_batches(paragraphs: DataFrame, sentences: DataFrame, doc: str, intro: int = 400, near: int = 5) -> DataFrame:

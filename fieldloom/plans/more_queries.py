@@ -197,11 +197,11 @@ def index_hits(t, spark):
 def sentence_parents(t, spark):
     """Sentences with the paragraph that begins like their parent, else the one in whose range they lie."""
     k = F.struct("l_partkey", "l_suppkey")
-    p = t("lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("long").alias("para")).agg(F.min_by("l_returnflag", k).alias("f"))
+    p = dealt(t("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey", "l_suppkey"), "l_orderkey").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("long").alias("para")).agg(F.min_by("l_returnflag", k).alias("f"))
     p = p.select("doc", "para", (F.col("para") * 100).alias("start"), (F.col("para") * 100 + 50).alias("end"), F.concat("f", "para").alias("text"))
     at = F.col("para") * 7 % 5 * 100 + 10
     s = p.select("doc", at.alias("start"), (at + F.col("para") * 10).alias("end"), F.when(F.col("para") % 2 == 0, F.col("text")).otherwise("?").alias("parent"), F.col("para").alias("own"))
-    return chunks.with_parent(s, p, "doc").select("doc", "own", "para")
+    return chunks.with_parent(s, p, "doc", of=t("lineitem")).select("doc", "own", "para")
 
 
 @query("""WITH p AS (SELECT user_id AS doc, event_id AS para, event_type AS section, props AS text FROM events WHERE event_id % 3 = 0),
