@@ -62,11 +62,14 @@ def neighbours(edges: DataFrame, nodes: DataFrame, rel: str, kind: str) -> DataF
     return edges.where(F.col("rel") == rel).join(sources, "src").groupBy("tgt").agg(F.sort_array(F.collect_set("label")).alias("labels"))
 
 
-def repoint(edges: DataFrame, moves: DataFrame) -> DataFrame:
-    """Edges after nodes moved (old_id -> new_id): both ends follow, and edges that now coincide add their weights."""
+def repoint(edges: DataFrame, moves: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """Edges after nodes moved (old_id -> new_id): both ends follow, and edges that now coincide add their weights. With `of`, a table of
+    about as many rows as there are edges, they are dealt by its size, so that a task adds up a bounded number."""
     a = moves.select(F.col("old_id").alias("src"), F.col("new_id").alias("__src"))
     b = moves.select(F.col("old_id").alias("tgt"), F.col("new_id").alias("__tgt"))
     moved = edges.join(a, "src", "left").join(b, "tgt", "left").select(F.coalesce("__src", "src").alias("src"), "rel", F.coalesce("__tgt", "tgt").alias("tgt"), "weight")
+    if of is not None:
+        moved = dealt(moved, "src", "tgt", of=of)
     return moved.groupBy("src", "rel", "tgt").agg(F.sum("weight").alias("weight"))
 
 

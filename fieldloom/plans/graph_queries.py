@@ -9,13 +9,14 @@ from fieldloom.operators import articles, fuzzy, geocode, graph, lookup, memory
 from fieldloom.operators import communities as modular
 from fieldloom.operators import recall as two_stage
 from fieldloom.plans.registry import query
+from fieldloom.sources.tables import dealt
 
 _FOUND = "SELECT 'P' || l_partkey AS src, 'FOUND_AT' AS rel, 'S' || l_suppkey AS tgt FROM lineitem"
 
 
 def _edges(t):
     found = t("lineitem").select(F.concat(F.lit("P"), F.col("l_partkey")).alias("src"), F.lit("FOUND_AT").alias("rel"), F.concat(F.lit("S"), F.col("l_suppkey")).alias("tgt"))
-    return graph.upsert_edges(found)
+    return graph.upsert_edges(dealt(found, "src", "tgt", of=t("lineitem")))
 
 
 @query(f"SELECT src, rel, tgt, CAST(count(*) AS DOUBLE) AS weight FROM ({_FOUND}) GROUP BY ALL")
@@ -53,7 +54,7 @@ def relation_counts(t, spark):
 def repointed_edges(t, spark):
     """Nodes move into another one, and their edges with them."""
     moves = t("supplier").where("s_suppkey % 10 = 0").select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("old_id"), F.lit("S1").alias("new_id"))
-    return graph.repoint(_edges(t), moves)
+    return graph.repoint(_edges(t), moves, of=t("lineitem"))
 
 
 _LOCATED = "SELECT 'S' || s_suppkey AS src, 'LOCATED_IN' AS rel, 'N' || s_nationkey AS tgt FROM supplier"
