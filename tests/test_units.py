@@ -397,3 +397,45 @@ def test_places_apart(spark):
     for c, n in cases.items():
         assert one(spark, F.size(geo.separate_places(F.col("c"))), c=c) == n, c
     assert one(spark, values.distinct_names(F.col("c")), c=["b", " B", None, "", "a"]) == ["b", "a"]
+
+
+def _members(spark, path):
+    spark.createDataFrame([(g, i, i % 4 + 9 * ((g or 0) % 2), n, "A") for g, n, i in [(1, 1, 5), (1, 2, 6), (1, 3, 5), (2, 1, 6), (2, 2, 5), (3, 1, 9), (None, 1, 5), (None, 2, 6)]], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string").write.parquet(f"{path}/lineitem.parquet")
+    spark.createDataFrame([(10,), (11,)], "s_suppkey long").write.parquet(f"{path}/supplier.parquet")
+
+
+def test_pairs_dealt_by_size(spark, tmp_path):
+    """As many tasks make pairs as the table's size asks for; duplicates and groups without a key count as before."""
+    from fieldloom.sources.tables import dealt
+
+    assert dealt(spark.range(95), "id", rows=10).rdd.getNumPartitions() == 10 and dealt(spark.range(0), "id").rdd.getNumPartitions() == 1
+    _members(spark, tmp_path)
+    got = QUERIES["co_occurrence"](spark, str(tmp_path))
+    assert "RepartitionByExpression" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in got.collect()] == [(5, 6, 2)]
+
+
+def test_parents_in_one_shuffle(spark, tmp_path):
+    """Sentences find their paragraphs by windows of a document, not by joins; null documents have ranges but no beginnings."""
+    p = spark.createDataFrame([("d", 1, 0, 9, "ab c"), ("d", 2, 10, 19, "ab d"), ("d", 3, 20, 29, "ab d"), ("e", 4, 0, 9, None), (None, 5, 0, 9, "ab")], "doc string, para long, start int, end int, text string")
+    s = spark.createDataFrame([("d", 12, 15, "ab", 0), ("d", 25, 26, "ab d"[:2], 0), ("d", 25, 26, "zz", 1), ("d", 25, 31, "zz", 2), ("d", 9, 10, "zz", 3), ("e", 1, 2, None, 4), (None, 1, 2, "ab", 5), ("f", 1, 2, "ab", 6)], "doc string, start int, end int, parent string, own int")
+    for of in (None, p):
+        got = chunks.with_parent(s, p, "doc", prefix=2, of=of)
+        assert sorted((r["own"], r["para"]) for r in got.collect() if r["own"] not in (2, 3, 6)) == [(0, 1), (0, 1), (1, 3), (4, 4), (5, 5)]
+        assert [r["para"] for r in got.where("own in (2, 3, 6)").collect()] == [None] * 3 and got.columns == [*s.columns, "para"]
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_moved_edges_dealt_by_size(spark, tmp_path, monkeypatch):
+    """Edges are dealt once as they are counted and once as they are moved, by the table's size; no other exchange holds them."""
+    from functools import partial
+
+    from fieldloom.sources.tables import dealt
+
+    for place in (graph, graph_queries):
+        monkeypatch.setattr(place, "dealt", partial(dealt, rows=2))
+    _members(spark, tmp_path)
+    got = QUERIES["repointed_edges"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 4), REPARTITION_BY_NUM") == plan.count("Exchange hashpartitioning") == 2, plan
+    assert sorted(tuple(r) for r in got.collect()) == [("P5", "FOUND_AT", "S1", 4.0), ("P6", "FOUND_AT", "S11", 1.0), ("P6", "FOUND_AT", "S2", 2.0), ("P9", "FOUND_AT", "S1", 1.0)]
