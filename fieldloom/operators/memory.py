@@ -59,13 +59,14 @@ def recall(index: DataFrame, query: DataFrame, doc: str, qid: str, k: int) -> Da
     return scored.where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def scored(index: DataFrame, query: DataFrame, doc: str, qid: str, common: int = 1000, few: int = 100_000) -> DataFrame:
+def scored(index: DataFrame, query: DataFrame, doc: str, qid: str, common: int = 1000, few: int = 100_000, rows: int = 500_000) -> DataFrame:
     """qid, doc and score (cosine on tfidf(index)) of each document that shares a token with a query. Weights meet the queries' tokens at
     once: the whole index only gives each document's length, by partial sums, and no window passes over it.
 
     The index is written once, as several passes read it. Tokens that one document in `common` has are broadcast with their
     weight (a document has few of them, so they are at most its mean number of tokens times `common`), only the rest of the index is
-    dealt out by token. Up to `few` query tokens are broadcast, too.
+    dealt out by token. Up to `few` query tokens are broadcast, too: then the rows of the index that have one are dealt out by document,
+    so many tasks that each stands for about `rows` rows of the index, and pairs are made, summed and divided by lengths there: no pair is moved.
     """
     index, query = cut(index, "index"), cut(query.select(qid, "token", F.col("weight").alias("qw")), "query")
     n = index.agg(F.countDistinct(doc).alias("n"))
@@ -74,8 +75,16 @@ def scored(index: DataFrame, query: DataFrame, doc: str, qid: str, common: int =
     rest = index.join(often, "token", "left_anti").join(df_.where(~F.col("often")).select("token", "idf"), "token")
     w = (1 + F.ln("tf")) * F.col("idf")
     length = index.join(often, "token").select(doc, w.alias("w")).unionByName(rest.select(doc, w.alias("w"))).groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    asked = query.join(df_.select("token", "idf"), "token")
-    pairs = index.join(F.broadcast(asked) if query.count() <= few else asked, "token").groupBy(qid, doc).agg(F.sum(w * F.col("qw")).alias("dot"))
+    idf = df_.select("token", "idf")
+    if query.count() <= few:
+        words = cut(query.select("token").distinct().withColumn("word", F.monotonically_increasing_id()), "words")
+        found = index.where(F.col(doc).isNotNull()).join(F.broadcast(words), "token").select(doc, "word", "tf")
+        asked = F.broadcast(query.join(words, "token").join(idf, "token").select("word", qid, "qw", "idf"))
+        pairs = dealt(found, doc, of=index, rows=rows).join(asked, "word")
+        length = dealt(length, doc, of=index, rows=rows).hint("shuffle_hash")
+    else:
+        pairs = index.join(query.join(idf, "token"), "token")
+    pairs = pairs.groupBy(qid, doc).agg(F.sum(w * F.col("qw")).alias("dot"))
     return pairs.join(length, doc).select(qid, doc, F.round(F.col("dot") / F.col("length"), 6).alias("score")).where("score > 0")
 
 

@@ -370,6 +370,22 @@ def test_scores_by_common_and_rare_tokens(spark, tmp_path):
 
 
 
+def test_scores_move_no_pairs(spark):
+    """Postings of the queries' tokens go to the document's task, by the size of the index; pairs of query and document are summed there."""
+    rows = spark.createDataFrame([(i % 50 if i else None, f"reef coral tide{i % 3} own{i} reef") for i in range(120)] + [(90, "zz"), (91, None)], "doc_id int, text string")
+    index = memory.whole_index(rows, "doc_id", "text")
+    q = spark.createDataFrame([(g, t, w) for g in range(8) for t, w in (("reef", 1), ("coral", g), (f"own{g}", 2), ("none", 1))] + [(None, "tide1", 1)], "qid int, token string, weight int")
+    plain = memory.tfidf(index, "doc_id").join(q.withColumnRenamed("weight", "qw"), "token").where("doc_id is not null").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 6).alias("score"))
+    expected = sorted(map(str, plain.collect()))
+    for few in (100_000, 0):
+        assert sorted(map(str, memory.scored(index, q, "doc_id", "qid", 2, few, 40).collect())) == expected
+    got = memory.scored(index, q, "doc_id", "qid", rows=40)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(qid" not in plan
+    assert got.rdd.getNumPartitions() == -(-index.count() // 40) > 4
+
+
+
 def test_morphology_around_names(spark):
     df = spark.createDataFrame([("a (b) c A (B)", "a (b)"), ("abc" * 2000, "zz"), (None, "x"), ("abc", ""), ("abc", None)], "t string, n string")
     got = [r["x"] for r in df.select(morphology.around(F.col("t"), F.col("n"), 2, 9).alias("x")).collect()]
